@@ -14,6 +14,15 @@ from palaver.fixed import THRESHOLD
 from palaver.operators.cleaning import CleaningOptions
 
 PREDICTIONS, RUNS = "predictions", "runs"
+CSV_WRITE = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "nullValue": "",
+    "emptyValue": '""',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def write_run(
@@ -88,7 +97,7 @@ def write_evaluation(
 ) -> None:
     """Per-class CSV and summary JSON of one model and task (``emotions``, ``sentiment``)."""
     base = f"{folder}/model={model_key}"
-    per_label.coalesce(1).write.mode("overwrite").csv(f"{base}/{task}_per_class", header=True)
+    export_csv(per_label.coalesce(1), f"{base}/{task}_per_class")
     known = [c for c in summary.columns if c != "task"]
     summary.select(*known).coalesce(1).write.mode("overwrite").option(
         "ignoreNullFields", False
@@ -97,7 +106,7 @@ def write_evaluation(
 
 def write_benchmark(folder: str, summary: DataFrame) -> None:
     """The combined summary of all models."""
-    summary.coalesce(1).write.mode("overwrite").csv(f"{folder}/benchmark_summary", header=True)
+    export_csv(summary.coalesce(1), f"{folder}/benchmark_summary")
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -106,6 +115,4 @@ def export_csv(df: DataFrame, path: str) -> None:
         F.array_join(name, "|").alias(name) if kind == "array<string>" else F.col(name)
         for name, kind in df.dtypes
     ]
-    df.select(*flat).write.mode("overwrite").options(
-        header=True, quote='"', escape='"', escapeQuotes=True, nullValue="", emptyValue='""'
-    ).csv(path)
+    df.select(*flat).write.mode("overwrite").options(**CSV_WRITE).csv(path)

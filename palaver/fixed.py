@@ -122,7 +122,6 @@ WS_CHARS = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 WORD_SET = r"\p{L}\p{N}_"
-TOKEN_SET = "a-z0-9'"
 URL_STOP_SET = WS_SET + r"\)\]>" + "\"'"
 # A run over these ranges is one emoji term.  The last range is wide: it also
 # takes in CJK, kana and Hangul, and U+1F900-U+1F9FF is absent.

@@ -109,7 +109,7 @@ def parse_reply(raw: Column) -> Column:
         F.schema_of_variant(answer) == "STRING",
         F.array(F.try_variant_get(answer, "$", "string")),
     ).otherwise(F.transform(items, lambda item: F.try_variant_get(item, "$", "string")))
-    spoken = F.array_intersect(vocabulary, word_tokens(raw))
+    spoken = F.array_intersect(vocabulary, word_tokens(F.lower(raw)))
     candidates = F.when(F.size(named) > 0, named).otherwise(spoken)
     return F.array_intersect(
         F.transform(candidates, lambda name: F.lower(strip(name))), vocabulary

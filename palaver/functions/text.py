@@ -11,17 +11,17 @@ from palaver.fixed import (
     EMOJI_SET,
     MARKDOWN_LINK,
     STOPWORDS,
-    TOKEN_SET,
-    URL_STOP_SET,
     WORD_SET,
     WS_CHARS,
-    WS_SET,
 )
 
 _WORD = f"[{WORD_SET}]"
 # A word edge that treats every Unicode letter and digit as a word character, on
 # any Java version: the built-in \b changed its meaning between releases.
 WORD_EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+# The whitespace set of `WS_SET` in Java's terms.  Under (?U), \s is one test for
+# all Unicode whitespace; listing the ranges one by one is several times slower.
+_SPACE = r"\s\x1c-\x1f"
 
 
 def strip(text: Column) -> Column:
@@ -32,20 +32,44 @@ def strip(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Whitespace-separated tokens; 0 for blank text."""
     bare = strip(text)
-    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, f"[{WS_SET}]+")))
+    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, f"(?U)[{_SPACE}]+")))
+
+
+def word_count_collapsed(text: Column) -> Column:
+    """``word_count`` of text that is stripped and holds only single spaces."""
+    spaces = F.length(text) - F.length(F.replace(text, F.lit(" ")))
+    return F.when(text == "", F.lit(0)).otherwise(spaces + 1)
+
+
+def collapse_whitespace(text: Column) -> Column:
+    """Every whitespace run to one space, ends stripped.
+
+    Lone spaces, the bulk of all runs, are not matched and so not rewritten.
+    """
+    runs = rf"(?U)[{_SPACE}&&[^ ]][{_SPACE}]*| [{_SPACE}]+"
+    return strip(F.regexp_replace(text, runs, " "))
 
 
 def strip_urls(text: Column) -> Column:
-    """Keep the label of markdown links, blank out URLs, collapse whitespace."""
-    urls = rf"(?iu)https?://[^{URL_STOP_SET}]+|www\.[^{URL_STOP_SET}]+"
-    out = F.regexp_replace(text, MARKDOWN_LINK, "$1")
-    out = F.regexp_replace(out, urls, " ")
-    return strip(F.regexp_replace(out, f"[{WS_SET}]+", " "))
+    """Keep the label of markdown links, blank out URLs, collapse whitespace.
+
+    A plain substring test guards each pattern: text without ``](`` holds no link,
+    and text without ``://`` or ``www.`` holds no URL.
+    """
+    out = F.when(
+        F.contains(text, F.lit("](")), F.regexp_replace(text, MARKDOWN_LINK, "$1")
+    ).otherwise(text)
+    stop = rf"[^{_SPACE}\)\]>\"']+"
+    maybe = F.contains(out, F.lit("://")) | F.contains(F.lower(out), F.lit("www."))
+    out = F.when(
+        maybe, F.regexp_replace(out, rf"(?iU)https?://{stop}|www\.{stop}", " ")
+    ).otherwise(out)
+    return collapse_whitespace(out)
 
 
 def raw_tokens(text: Column) -> Column:
     """Lower-case ASCII token candidates, apostrophes removed, unfiltered."""
-    return F.split(F.replace(F.lower(text), F.lit("'")), f"[^{TOKEN_SET}]+")
+    return F.split(F.replace(F.lower(text), F.lit("'")), r"\P{Alnum}+")
 
 
 def is_term(token: Column, min_length: int = 3) -> Column:
@@ -72,13 +96,24 @@ def emoji_runs(text: Column) -> Column:
 
     The widest range also covers CJK, kana and Hangul, so such text counts as
     emoji.  That is the defined behaviour, not an accident of this expression.
+    All ranges begin at or above U+24C2; text below it is not searched.
     """
-    return F.regexp_extract_all(text, F.lit(f"[{EMOJI_SET}]+"), F.lit(0))
+    runs = F.regexp_extract_all(text, F.lit(f"[{EMOJI_SET}]+"), F.lit(0))
+    return F.when(text.rlike(r"[^\x00-\x{24C1}]"), runs)
+
 
+def fold_case(text: Column) -> Column:
+    """Lower case in which every letter that matches i, s or k regardless of case
+    is that letter."""
+    out = text
+    for odd, plain in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s")):
+        out = F.replace(out, F.lit(odd), F.lit(plain))
+    return F.lower(out)
 
-def word_tokens(text: Column) -> Column:
-    """Whole words in lower case (letters, digits and underscore of any script)."""
-    return F.split(F.lower(text), f"[^{WORD_SET}]+")
+
+def word_tokens(lowered: Column) -> Column:
+    """Whole words (letters, digits and underscore of any script) of lower-cased text."""
+    return F.split(lowered, f"[^{WORD_SET}]+")
 
 
 def java_regex(pattern: str) -> str:
@@ -87,9 +122,27 @@ def java_regex(pattern: str) -> str:
     ``\\b``, ``\\w``, ``\\d`` and ``\\s`` take their Unicode meaning, the one the
     built-in keyword patterns are written for.
     """
-    spelled = {"b": WORD_EDGE, "w": _WORD, "d": r"\p{Nd}", "s": f"[{WS_SET}]"}
+    spelled = {"b": WORD_EDGE, "w": _WORD, "d": r"\p{Nd}", "s": f"[{_SPACE}]"}
     body = re.sub(r"\\(.)", lambda m: spelled.get(m.group(1), m.group(0)), pattern)
-    return "(?iu)" + body
+    return "(?iU)" + body
+
+
+def pattern_hits(text: Column, folded: Column, pattern: str) -> Column:
+    """Number of hits of a user's regular expression in a text.
+
+    ``folded`` is ``fold_case(text)``.  A word or phrase between word edges is
+    looked up there as a substring first.  Any other pattern without groups is
+    first tried without its word edges, which can only match more.  Either way the
+    full pattern, with its costly edges, runs on candidate texts alone.
+    """
+    hits = F.regexp_count(text, F.lit(java_regex(pattern)))
+    phrase = re.fullmatch(r"\\b([a-z0-9 ]+)\\b", pattern)
+    if phrase:
+        return F.when(F.contains(folded, F.lit(phrase.group(1))), hits).otherwise(0)
+    if r"\b" in pattern and "(" not in pattern and r"\\" not in pattern:
+        loose = java_regex(pattern.replace(r"\b", ""))
+        return F.when(text.rlike(loose), hits).otherwise(0)
+    return hits
 
 
 def java_literal(text: str) -> str:
@@ -110,10 +163,7 @@ def contains_term(text: Column, term: str) -> Column:
 
     before = f"(?<!{_WORD})" if is_word(needle[0]) else f"(?<={_WORD})"
     after = f"(?!{_WORD})" if is_word(needle[-1]) else f"(?={_WORD})"
-    return F.lower(text).rlike(before + java_literal(needle) + after)
-
-
-def word_list_hits(text: Column, words: tuple[str, ...]) -> Column:
-    """Number of whole-word hits of any listed word, ignoring case."""
-    pattern = f"(?iu)(?<!{_WORD})(?:{'|'.join(words)})(?!{_WORD})"
-    return F.regexp_count(text, F.lit(pattern))
+    lowered = F.lower(text)
+    return F.contains(lowered, F.lit(needle)) & lowered.rlike(
+        before + java_literal(needle) + after
+    )

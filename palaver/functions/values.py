@@ -24,9 +24,15 @@ def utc_from_epoch(seconds: Column) -> Column:
     return origin + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
+def utc_from_instant(instant: Column) -> Column:
+    """A zoned timestamp to its UTC wall-clock time, whatever the session zone."""
+    seconds = F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")
+    return utc_from_epoch(seconds)
+
+
 def month_key(timestamp: Column) -> Column:
-    """``yyyy-MM``."""
-    return F.date_format(timestamp, "yyyy-MM")
+    """``yyyy-MM`` of a UTC wall-clock timestamp, whatever the session zone."""
+    return F.date_format(timestamp.cast("date"), "yyyy-MM")
 
 
 def weekday_name(number: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from palaver import fixed
 from palaver.functions import text as X
 from palaver.functions.values import ratio
-from palaver.operators.common import first_per_key
+from palaver.operators.common import compute_once, first_per_key
 from palaver.sources.comments import with_text_metrics
 
 
@@ -70,7 +70,8 @@ def remove_deleted(df: DataFrame) -> DataFrame:
 
 def strip_body_urls(df: DataFrame) -> DataFrame:
     """Strip URLs from the body and refresh the text metrics."""
-    return with_text_metrics(df.withColumn("comment_body", X.strip_urls(F.col("comment_body"))))
+    stripped = compute_once(df, "comment_body", X.strip_urls(F.col("comment_body")))
+    return with_text_metrics(stripped, collapsed=True)
 
 
 def remove_empty(df: DataFrame) -> DataFrame:
@@ -113,9 +114,13 @@ def cleaning_funnel(
     drop it.  Only that number travels with the comment id; no text is shuffled.
     """
     survives = 99
+    order = _order(df, order_by)
     body = F.col("comment_body")
-    stripped = X.strip_urls(body) if options.strip_urls else body
-    length = F.length(stripped) if options.strip_urls else F.col("comment_length")
+    if options.strip_urls:
+        df = compute_once(df, "_text", X.strip_urls(body))
+        text, length = F.col("_text"), F.length("_text")
+    else:
+        text, length = body, F.col("comment_length")
 
     dedupe = options.dedupe_comments and "comment_id" in df.columns
     steps: list[tuple[str, int]] = []
@@ -130,23 +135,19 @@ def cleaning_funnel(
         steps.append((fixed.FUNNEL_URLS, 2))
     if options.remove_empty:
         steps.append((fixed.FUNNEL_EMPTY, 3))
-        tests.append((3, is_empty(F.col("_text"))))
+        tests.append((3, is_empty(text)))
     if options.min_comment_length > 0:
         label = fixed.FUNNEL_MIN_LENGTH.format(n=options.min_comment_length)
         steps.append((label, 4))
-        tests.append((4, F.col("_length") < options.min_comment_length))
+        tests.append((4, length < options.min_comment_length))
     steps.append((fixed.FUNNEL_FINAL, 4))
 
     dropped_at = F.coalesce(*[F.when(test, at) for at, test in tests], F.lit(survives))
-    order = _order(df, order_by)
     key = F.col("comment_id") if dedupe else F.lit(None)
-    staged = (
-        df.withColumns({"_text": stripped, "_length": length})
-        .select(
-            key.alias("_key"),
-            (order[0] if len(order) == 1 else F.struct(*order)).alias("_order"),
-            dropped_at.alias("_dropped_at"),
-        )
+    staged = df.select(
+        key.alias("_key"),
+        (order[0] if len(order) == 1 else F.struct(*order)).alias("_order"),
+        dropped_at.alias("_dropped_at"),
     )
     if dedupe:
         kept = staged.groupBy("_key").agg(

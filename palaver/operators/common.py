@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add or replace a costly column that is evaluated exactly once per row.
+
+    A filter on a projected column is pushed below the projection, where the
+    optimizer repeats the column's expression.  It is not pushed below a generator,
+    so the value goes through one that yields a single row.
+    """
+    others = [F.col(c) for c in df.columns if c != name]
+    return df.select(*others, F.explode(F.array(value)).alias(name))
+
+
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """First n rows in an order.  Runs as a per-partition heap, not a full sort."""
     return df.orderBy(*order).limit(n)

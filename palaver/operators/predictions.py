@@ -69,18 +69,24 @@ def _vocabulary_counts(df: DataFrame) -> DataFrame:
     28 conditional counts in one global aggregate: zeros need no join.
     """
     labels = _labels(df)
-    everything = [("", F.lit(True))]
-    tests = [(name, F.array_contains(labels, name)) for name in EMOTIONS]
+    return _counted_shares(
+        df, "emotion", [(name, F.array_contains(labels, name)) for name in EMOTIONS]
+    )
+
+
+def _counted_shares(df: DataFrame, name: str, cases: Sequence[tuple[str, Column]]) -> DataFrame:
+    """Per case the comments that meet its test and their share of all comments."""
     counted = df.agg(
-        *[F.count_if(test).alias(f"_{i}") for i, (_, test) in enumerate(everything + tests)]
+        F.count(F.lit(1)).alias("_n"),
+        *[F.count_if(test).alias(f"_{i}") for i, (_, test) in enumerate(cases)],
     )
     entries = [
         F.struct(
-            F.lit(name).alias("emotion"),
+            F.lit(label).alias(name),
             F.col(f"_{i}").alias("comments"),
-            ratio(F.col(f"_{i}"), F.col("_0")).alias("share"),
+            ratio(F.col(f"_{i}"), F.col("_n")).alias("share"),
         )
-        for i, name in enumerate(EMOTIONS, start=1)
+        for i, (label, _) in enumerate(cases)
     ]
     return counted.select(F.inline(F.array(*entries)))
 
@@ -185,7 +191,13 @@ def emotion_cooccurrence_matrix(df: DataFrame, top_n: int = 12) -> DataFrame:
     """
     sets = label_sets(df)
     axis = _most_frequent(sets, top_n)
-    cells = sets.select("n", "labels", axis.alias("axis"))
+    # Cut to the axis there are at most 2**top_n sets, however many labels were seen.
+    cut = (
+        sets.select(F.array_intersect("labels", axis).alias("labels"), "n")
+        .groupBy("labels")
+        .agg(F.sum("n").alias("n"))
+    )
+    cells = cut.select("n", "labels", axis.alias("axis"))
     cells = cells.select("n", "labels", "axis", F.explode("axis").alias("emotion_a"))
     cells = cells.select("n", "labels", "emotion_a", F.explode("axis").alias("emotion_b"))
     both = F.array_contains("labels", F.col("emotion_a")) & F.array_contains(
@@ -220,20 +232,8 @@ def labels_per_comment(df: DataFrame) -> DataFrame:
 
 def sentiment_distribution(df: DataFrame) -> DataFrame:
     """``(sentiment, comments, share)``: always the three classes, in fixed order."""
-    tests = [F.col("predicted_sentiment") == name for name in SENTIMENTS]
-    counted = df.agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.count_if(test).alias(f"_{i}") for i, test in enumerate(tests)],
-    )
-    entries = [
-        F.struct(
-            F.lit(name).alias("sentiment"),
-            F.col(f"_{i}").alias("comments"),
-            ratio(F.col(f"_{i}"), F.col("_n")).alias("share"),
-        )
-        for i, name in enumerate(SENTIMENTS)
-    ]
-    return counted.select(F.inline(F.array(*entries)))
+    cases = [(name, F.col("predicted_sentiment") == name) for name in SENTIMENTS]
+    return _counted_shares(df, "sentiment", cases)
 
 
 def with_percent(df: DataFrame, digits: int, name: str = "share_pct") -> DataFrame:

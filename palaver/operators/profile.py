@@ -143,26 +143,29 @@ def length_histogram(df: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
         ),
         "x",
     )
+    # The total keeps the counts in this branch of the plan, so that both branches
+    # are the same up to the shuffle and Spark runs it once.
     limits = lengths.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("copies").alias("n"))
-    same = F.col("lo") == F.col("hi")
+    widen = (F.col("lo") == F.col("hi")).cast("bigint")
     limits = limits.select(
-        F.struct(
-            F.when(same, F.col("lo") - 1).otherwise(F.col("lo")).alias("lo"),
-            F.when(same, F.col("hi") + 1).otherwise(F.col("hi")).alias("hi"),
-        ).alias("range")
+        F.struct((F.col("lo") - widen).alias("lo"), (F.col("hi") + widen).alias("hi"), "n")
     )
-    ranged = lengths.withColumn("range", single(limits))
-    position = F.expr(f"((x - range.lo) * {bins}) div (range.hi - range.lo)")
-    binned = ranged.select(
-        "range", "copies", F.least(position, F.lit(bins - 1)).alias("at")
+    limit = single(limits)
+    position = F.least(
+        F.call_function(
+            "div",
+            (F.col("x") - limit["lo"]) * bins,
+            limit["hi"] - limit["lo"],
+        ),
+        F.lit(bins - 1),
     )
-    counted = binned.agg(
-        F.any_value("range").alias("range"),
+    counted = lengths.select("copies", position.alias("at")).agg(
         *[
-            F.sum(F.when(F.col("at") == i, F.col("copies")).otherwise(0)).alias(f"_{i}")
+            F.coalesce(F.sum(F.when(F.col("at") == i, F.col("copies"))), F.lit(0)).alias(f"_{i}")
             for i in range(bins)
-        ],
-    ).where(F.col("range").isNotNull())
+        ]
+    )
+    counted = counted.withColumn("range", limit).where(F.col("range.n") > 0)
     entries = F.array(
         *[F.struct(F.lit(i).alias("bin"), F.col(f"_{i}").alias("count")) for i in range(bins)]
     )

@@ -82,9 +82,10 @@ def keyword_frequencies(
     a hit stay.  Patterns are case-insensitive and Unicode-aware.
     """
     keywords = list(keywords or KEYWORDS)
-    hits = df.select(
+    body, folded = F.col("comment_body"), F.col("_folded")
+    hits = df.select(body, X.fold_case(body).alias("_folded")).select(
         *[
-            F.regexp_count("comment_body", F.lit(X.java_regex(pattern))).alias(f"_{i}")
+            X.pattern_hits(body, folded, pattern).alias(f"_{i}")
             for i, (_, pattern) in enumerate(keywords)
         ]
     )
@@ -118,7 +119,7 @@ def lexicon_word_counts(df: DataFrame) -> DataFrame:
     A body is split into words once; only lexicon words survive to the aggregate,
     which therefore holds at most one entry per lexicon word.
     """
-    words = df.select(F.explode(X.word_tokens(F.col("comment_body"))).alias("word"))
+    words = df.select(F.explode(X.word_tokens(F.lower("comment_body"))).alias("word"))
     known = words.where(F.col("word").isin(*POSITIVE_WORDS, *NEGATIVE_WORDS))
     polarity = F.when(F.col("word").isin(*POSITIVE_WORDS), "positive").otherwise("negative")
     return top(
@@ -133,9 +134,13 @@ def lexicon_word_counts(df: DataFrame) -> DataFrame:
 
 def lexicon_summary(df: DataFrame) -> DataFrame:
     """One row: mentions, comments and percentage of comments per polarity."""
-    hits = df.select(
-        X.word_list_hits(F.col("comment_body"), POSITIVE_WORDS).alias("pos"),
-        X.word_list_hits(F.col("comment_body"), NEGATIVE_WORDS).alias("neg"),
+    listed = F.filter(
+        X.word_tokens(X.fold_case(F.col("comment_body"))),
+        lambda word: word.isin(*POSITIVE_WORDS, *NEGATIVE_WORDS),
+    )
+    hits = df.select(listed.alias("hits")).select(
+        F.size(F.filter("hits", lambda word: word.isin(*POSITIVE_WORDS))).alias("pos"),
+        F.size(F.filter("hits", lambda word: word.isin(*NEGATIVE_WORDS))).alias("neg"),
     )
     counted = hits.agg(
         F.count(F.lit(1)).alias("n"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -28,6 +29,7 @@ from palaver.operators.evaluation import benchmark_summary
 MAX_FEATURES = 50_000
 MIN_DOCUMENTS = 2
 MAX_ITERATIONS = 1000
+TOLERANCE = 1e-4
 
 
 def fit_tfidf(
@@ -101,6 +103,7 @@ def fit_label_models(
     max_iterations: int = MAX_ITERATIONS,
     max_features: int = MAX_FEATURES,
     min_documents: int = MIN_DOCUMENTS,
+    parallel_fits: int = 8,
 ) -> LabelModels:
     """Fit one binary model per label; a label all or no examples have is constant.
 
@@ -119,23 +122,29 @@ def fit_label_models(
             ],
         ).first()
         n = totals["n"]
-        models: dict[str, LogisticRegressionModel | bool] = {}
-        for i, name in enumerate(vocabulary):
+        learner = LogisticRegression(
+            regParam=1.0 / (c * n) if n else 0.0,
+            standardization=False,
+            maxIter=max_iterations,
+            tol=TOLERANCE,
+            threshold=THRESHOLD,
+        )
+
+        def fit(numbered: tuple[int, str]) -> LogisticRegressionModel | bool:
+            i, name = numbered
             positive = totals[f"_{i}"]
             if positive in (0, n):
-                models[name] = positive > 0
-                continue
-            learner = LogisticRegression(
-                regParam=1.0 / (c * n),
-                standardization=False,
-                maxIter=max_iterations,
-                threshold=THRESHOLD,
-            )
+                return positive > 0
             target = F.array_contains(labels, name).cast("double").alias("label")
-            models[name] = learner.fit(rows.select("features", target))
+            return learner.fit(rows.select("features", target))
+
+        # The fits are independent; running several at once keeps executors busy
+        # while another fit waits for its driver step.
+        with ThreadPool(parallel_fits) as pool:
+            fitted = pool.map(fit, enumerate(vocabulary))
     finally:
         rows.unpersist()
-    return LabelModels(features, models)
+    return LabelModels(features, dict(zip(vocabulary, fitted)))
 
 
 # A runner takes (train, test) and returns test rows as (id, predicted).

@@ -350,6 +350,7 @@ def _labelled_documents(spark, sf_dir) -> DataFrame:
     )
     return (
         adapter.table(spark, sf_dir, "documents")
+        .repartition("doc_id")
         .join(marks, "doc_id")
         .select(
             F.col("doc_id").alias("id"),

@@ -242,13 +242,19 @@ full_counts as (
   from (select unnest({EMO}) as emotion) v left join hits h on h.emotion = v.emotion
   group by v.emotion
 )"""
-TOY = f"""{CLEAN},
-scored as (
+
+
+def toy_scored(name: str, threshold: float) -> str:
+    hits = f"length(comment_body) - length(replace(comment_body, {quote(CHARACTERS)}[i], ''))"
+    return f"""{name} as (
   select *, [{EMO}[i] for i in range(1, 29)
-    if {GAIN} * (length(comment_body) - length(replace(comment_body, {quote(CHARACTERS)}[i], '')))
-       / greatest(length(comment_body), 1) >= 0.5] as emotions
+    if {GAIN} * ({hits}) / greatest(length(comment_body), 1)
+       >= cast({threshold} as double)] as emotions
   from cleaned
 )"""
+
+
+TOY = f"{CLEAN}, {toy_scored('scored', 0.5)}"
 SHA = "sha256(text)"
 CACHED = f"""
 texts as (
@@ -729,4 +735,16 @@ from scored""",
         "select emotion, count(*) as comments, count(*) / (select count(*) from scored) as share "
         "from found group by emotion order by comments desc, emotion limit 28",
     ),
+    "run_registry": with_(
+        f"{TOY}, {toy_scored('strict', 0.7)}",
+        " union all ".join(
+            f"select 'run_{key}' as experiment, '{key}' as model_key, '{label}' as model_label, "
+            f"count(*) as comments_scored, cast({threshold} as double) as threshold, "
+            f"count(*) as rows, max({sentiment('emotions')}) as last_sentiment from {source}"
+            for key, label, threshold, source in (
+                ("roberta_samlowe", "RoBERTa (SamLowe)", 0.5, "scored"),
+                ("bert_monologg", "BERT (monologg)", 0.7, "strict"),
+            )
+        ),
+    ),
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palaver import schema
-from palaver.functions.text import word_count
+from palaver.functions.text import word_count, word_count_collapsed
 from palaver.functions.values import utc_from_epoch
 
 CSV_OPTIONS = {
@@ -22,12 +22,17 @@ CSV_OPTIONS = {
 }
 
 
-def with_text_metrics(df: DataFrame) -> DataFrame:
-    """(Re)compute ``comment_length`` in code points and ``comment_word_count``."""
+def with_text_metrics(df: DataFrame, collapsed: bool = False) -> DataFrame:
+    """(Re)compute ``comment_length`` in code points and ``comment_word_count``.
+
+    ``collapsed`` promises bodies whose whitespace is single inner spaces, whose
+    words can be counted without splitting.
+    """
+    count = word_count_collapsed if collapsed else word_count
     return df.withColumns(
         {
             "comment_length": F.length("comment_body"),
-            "comment_word_count": word_count(F.col("comment_body")),
+            "comment_word_count": count(F.col("comment_body")),
         }
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palaver import schema
 from palaver.functions.labels import decode
+from palaver.functions.values import utc_from_instant
 from palaver.sources.comments import CSV_OPTIONS, csv_schema
 
 
@@ -29,12 +30,7 @@ def prepare_predictions(df: DataFrame) -> DataFrame:
             F.concat(text, F.lit("+00:00"))
         )
         out = out.withColumn(
-            "comment_created_at",
-            F.convert_timezone(
-                F.current_timezone(),
-                F.lit("UTC"),
-                F.try_to_timestamp(aware).cast("timestamp_ntz"),
-            ),
+            "comment_created_at", utc_from_instant(F.try_to_timestamp(aware))
         )
     return out
 

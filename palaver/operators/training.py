@@ -30,6 +30,7 @@ MAX_FEATURES = 50_000
 MIN_DOCUMENTS = 2
 MAX_ITERATIONS = 1000
 TOLERANCE = 1e-4
+ROWS_PER_FIT_TASK = 5_000
 
 
 def fit_tfidf(
@@ -122,6 +123,9 @@ def fit_label_models(
             ],
         ).first()
         n = totals["n"]
+        # Every task returns a gradient as wide as the vocabulary, so tasks should not
+        # be smaller than that is worth.
+        packed = rows.coalesce(max(1, -(-n // ROWS_PER_FIT_TASK)))
         learner = LogisticRegression(
             regParam=1.0 / (c * n) if n else 0.0,
             standardization=False,
@@ -136,7 +140,7 @@ def fit_label_models(
             if positive in (0, n):
                 return positive > 0
             target = F.array_contains(labels, name).cast("double").alias("label")
-            return learner.fit(rows.select("features", target))
+            return learner.fit(packed.select("features", target))
 
         # The fits are independent; running several at once keeps executors busy
         # while another fit waits for its driver step.

@@ -1,0 +1,126 @@
+"""Hand-written edge rows for the text expressions."""
+
+import re
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from palaver import fixed
+from palaver.functions import text as X
+
+GRIN = "\U0001f600"
+
+
+def test_whitespace_set_is_unicode_whitespace():
+    assert {chr(i) for i in range(0x110000) if chr(i).isspace()} == set(fixed.WS_CHARS)
+
+
+def test_strip_and_word_count(one):
+    texts = ["\xa0\t\x1c", " a b\x1fc \n", "", "one", "  two words\x85"]
+    assert one(X.strip, *texts) == [t.strip() for t in texts]
+    assert one(X.word_count, *texts) == [len(t.split()) for t in texts]
+    collapsed = [" ".join(t.split()) for t in texts]
+    assert one(X.collapse_whitespace, *texts) == collapsed
+    assert one(X.word_count_collapsed, *collapsed) == [len(t.split()) for t in texts]
+
+
+def test_strip_urls(one):
+    cases = {
+        "[x](http://a.b) $1": "x $1",
+        "(https://a.b/c) <www.q.org>": "( ) < >",
+        "HTTPS://A.B": "",
+        "see www.a.b/c?d=[1] end": "see ] end",
+        "[a](b) [c] (d) [](e)": "a [c] (d)",
+        "[multi\nline](http://x.y/z)\n\nnext": "multi line next",
+        "no link at all": "no link at all",
+        "quote 'http://q.q' \"www.w\"": "quote ' ' \" \"",
+        "www. alone and http:// alone": "www. alone and http:// alone",
+        "WWW.Shout.COM": "",
+        "\x1cpadded\xa0": "padded",
+        "": "",
+    }
+    assert one(X.strip_urls, *cases) == list(cases.values())
+
+
+@settings(
+    max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+@given(
+    st.lists(
+        st.text(alphabet=" \t\n\xa0\x1c ab[]()<>'\"w.:/htpsHTPS$\\", max_size=40),
+        min_size=1,
+        max_size=30,
+    )
+)
+def test_strip_urls_follows_the_definition(one, texts):
+    # The definition, spelled with Python's own regular expressions.
+    def expected(text):
+        text = re.sub(r"\[([^\]]*)\]\([^)]+\)", lambda m: m[1], text)
+        text = re.sub(r"(?i)(https?://|www\.)[^\s)\]>\"']+", " ", text)
+        return " ".join(text.split())
+
+    assert one(X.strip_urls, *texts) == [expected(t) for t in texts]
+
+
+def test_terms(one):
+    texts = ["It's don't dog's", "red and blue", "red", "", "''' a1b2 Cafés RED-Green"]
+    assert one(X.terms, *texts) == [
+        ["dogs"],
+        ["red", "blue"],
+        ["red"],
+        [],
+        ["a1b2", "caf", "red", "green"],
+    ]
+    pairs = one(lambda c: X.adjacent_pairs(X.terms(c)), *texts)
+    assert [[p for p in row if p is not None] for row in pairs] == [
+        [],
+        ["red blue"],
+        [],
+        [],
+        ["a1b2 caf", "caf red", "red green"],
+    ]
+
+
+def test_emoji_runs(one):
+    got = one(X.emoji_runs, GRIN * 2 + " x " + GRIN, "\U0001f914", "中文 ok", "plain", "")
+    assert [row or [] for row in got] == [[GRIN * 2, GRIN], [], ["中文"], [], []]
+
+
+def test_term_search(one):
+    def search(term):
+        return lambda c: X.contains_term(c, term)
+
+    assert one(search("c++"), "c++ rocks", "c++x") == [False, True]
+    assert one(search("Love"), "LOVE it", "lové loveé", "a_love", "(love)") == [
+        True,
+        False,
+        False,
+        True,
+    ]
+    assert one(search("a.b"), "a.b", "axb", "xa.b") == [True, False, False]
+
+
+@pytest.mark.parametrize(
+    ("pattern", "text", "hits"),
+    [
+        (r"\bdall[\s-]?e\b", "dall-e dalle DALL\xa0E dallee", 3),
+        (r"\bfake\b", "fake FAKE faké fakeé _fake unfake fake.fake", 4),
+        (r"\bstable diffusion\b", "Stable Diffusion stable  diffusion", 1),
+        (r"\breal\b", "really real? REAL", 2),
+        (r"\bsora\b", "ſora ſORA", 2),
+        (r"\w+x", "ax éx x", 2),
+        (r"(?:a|b)\d", "a1 b2 c3 a٣", 3),
+    ],
+)
+def test_pattern_hits(one, pattern, text, hits):
+    assert len(re.findall(pattern, text, re.IGNORECASE)) == hits
+    got = one(lambda c: X.pattern_hits(c, X.fold_case(c), pattern), text)
+    assert got == [hits]
+
+
+def test_word_tokens(one):
+    assert one(lambda c: X.word_tokens(F.lower(c)), "Loveé a_b 1x") == [
+        ["loveé", "a_b", "1x"]
+    ]

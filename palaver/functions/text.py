@@ -53,18 +53,16 @@ def collapse_whitespace(text: Column) -> Column:
 def strip_urls(text: Column) -> Column:
     """Keep the label of markdown links, blank out URLs, collapse whitespace.
 
-    A plain substring test guards each pattern: text without ``](`` holds no link,
-    and text without ``://`` or ``www.`` holds no URL.
+    Plain substring tests guard the patterns: text without ``](`` holds no link, and
+    text that also lacks ``://`` and ``www.`` holds no URL.  Each pattern appears
+    once in the expression, so nothing relies on common subexpressions being found.
     """
-    out = F.when(
-        F.contains(text, F.lit("](")), F.regexp_replace(text, MARKDOWN_LINK, "$1")
-    ).otherwise(text)
+    linked = F.contains(text, F.lit("]("))
+    urls = linked | F.contains(text, F.lit("://")) | F.contains(F.lower(text), F.lit("www."))
+    labels = F.when(linked, F.regexp_replace(text, MARKDOWN_LINK, "$1")).otherwise(text)
     stop = rf"[^{_SPACE}\)\]>\"']+"
-    maybe = F.contains(out, F.lit("://")) | F.contains(F.lower(out), F.lit("www."))
-    out = F.when(
-        maybe, F.regexp_replace(out, rf"(?iU)https?://{stop}|www\.{stop}", " ")
-    ).otherwise(out)
-    return collapse_whitespace(out)
+    bare = F.regexp_replace(labels, rf"(?iU)https?://{stop}|www\.{stop}", " ")
+    return collapse_whitespace(F.when(urls, bare).otherwise(text))
 
 
 def raw_tokens(text: Column) -> Column:

@@ -40,9 +40,14 @@ def label_sets(df: DataFrame, *keys: Column) -> DataFrame:
 
 
 def _label_counts(sets: DataFrame) -> DataFrame:
-    """``(emotion, comments)`` of observed labels."""
-    exploded = sets.select(F.explode("labels").alias("emotion"), "n")
-    return exploded.groupBy("emotion").agg(F.sum("n").alias("comments"))
+    """``(emotion, comments)`` of observed labels.
+
+    The outer form of explode adds no filter on the label set.  One would be pushed
+    into the count per label set, which then could not be shared with the total.
+    """
+    exploded = sets.select(F.explode_outer("labels").alias("emotion"), "n")
+    known = exploded.where(F.col("emotion").isNotNull())
+    return known.groupBy("emotion").agg(F.sum("n").alias("comments"))
 
 
 def _most_frequent(sets: DataFrame, n: int) -> Column:
@@ -141,9 +146,8 @@ def monthly_emotion_trend(
     sets = label_sets(df, month_key(F.col("comment_created_at")).alias("month"))
     chosen = _most_frequent(sets, n) if emotions is None else string_array(list(emotions))
     # Every set meets every chosen label, so each observed month has each label.
-    cells = sets.select(
-        "month", "labels", "n", F.explode(chosen).alias("emotion")
-    )
+    cells = sets.select("month", "labels", "n", F.explode_outer(chosen).alias("emotion"))
+    cells = cells.where(F.col("emotion").isNotNull())
     hits = F.sum(F.when(F.array_contains("labels", F.col("emotion")), F.col("n")).otherwise(0))
     return (
         cells.groupBy("month", "emotion")
@@ -198,7 +202,8 @@ def emotion_cooccurrence_matrix(df: DataFrame, top_n: int = 12) -> DataFrame:
         .agg(F.sum("n").alias("n"))
     )
     cells = cut.select("n", "labels", axis.alias("axis"))
-    cells = cells.select("n", "labels", "axis", F.explode("axis").alias("emotion_a"))
+    cells = cells.select("n", "labels", "axis", F.explode_outer("axis").alias("emotion_a"))
+    cells = cells.where(F.col("emotion_a").isNotNull())
     cells = cells.select("n", "labels", "emotion_a", F.explode("axis").alias("emotion_b"))
     both = F.array_contains("labels", F.col("emotion_a")) & F.array_contains(
         "labels", F.col("emotion_b")

@@ -67,8 +67,8 @@ def _apply_batched(
             for start in range(0, len(texts), batch_size):
                 part = predict(texts[start : start + batch_size])
                 out.extend(part.tolist() if hasattr(part, "tolist") else part)
-            if len(out) != len(texts):
-                raise ValueError("the model must return one result per text")
+                if len(out) != min(start + batch_size, len(texts)):
+                    raise ValueError("the model must return one result per text")
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(out, type=arrow_type)],
                 names=[*batch.schema.names, output.name],

@@ -1,0 +1,293 @@
+"""Prediction analysis and evaluation on hand-written rows and by brute force."""
+
+import itertools
+import random
+from collections import Counter
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from palaver.fixed import EMOTIONS, NEGATIVE_EMOTIONS, POSITIVE_EMOTIONS, SENTIMENTS
+from palaver.operators import evaluation as E
+from palaver.operators import predictions as P
+from palaver.operators import sampling as G
+from palaver.sources.predictions import prepare_predictions
+
+
+def sentiment(labels):
+    if set(labels) & set(NEGATIVE_EMOTIONS):
+        return "negative"
+    return "positive" if set(labels) & set(POSITIVE_EMOTIONS) else "neutral"
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(5)
+    out = []
+    for i in range(200):
+        labels = rng.sample(EMOTIONS[:6] + ("weird", "neutral"), rng.choice([0, 1, 1, 2, 3]))
+        if i % 50 == 0:
+            labels = ["joy", "joy"]
+        out.append(
+            {
+                "comment_id": f"c{i:03}",
+                "post_id": f"p{i % 7}" if i % 3 else "p0",
+                "predicted_emotions": "|".join(labels),
+                "predicted_sentiment": sentiment(labels),
+                "comment_score": None if i % 11 == 0 else rng.randint(-120, 1100),
+                "comment_created_at": None if i % 40 == 7 else datetime(2025, 1 + i % 4, 3),
+            }
+        )
+    return out
+
+
+@pytest.fixture(scope="module")
+def df(spark, rows):
+    schema = (
+        "comment_id string, post_id string, predicted_emotions string, "
+        "predicted_sentiment string, comment_score bigint, comment_created_at timestamp_ntz"
+    )
+    data = [tuple(r.values()) for r in rows]
+    return prepare_predictions(spark.createDataFrame(data, schema)).persist()
+
+
+def label_sets(rows):
+    return [set(filter(None, r["predicted_emotions"].split("|"))) for r in rows]
+
+
+def test_emotion_frequencies(df, rows):
+    counts = Counter(label for labels in label_sets(rows) for label in labels)
+    ranked = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))
+    got = P.emotion_frequency(df, 3).collect()
+    assert [(r["emotion"], r["comments"]) for r in got] == ranked[:3]
+    assert got[0]["share"] == ranked[0][1] / len(rows)
+    full = {r["emotion"]: r["comments"] for r in P.emotion_frequency_all(df).collect()}
+    assert full == {name: counts.get(name, 0) for name in EMOTIONS}
+    hits = {r["sentiment_group"]: r["comments"] for r in P.group_hits(df).collect()}
+    assert sum(hits.values()) == sum(full.values()) and set(hits) == set(SENTIMENTS)
+    head = P.headline_emotions(df).first()
+    assert (head["comments_scored"], head["top_emotion"]) == (200, ranked[0][0])
+    assert head["emotions_seen"] == sum(v > 0 for v in full.values())
+
+
+def test_months(df, rows):
+    dated = [(r, s) for r, s in zip(rows, label_sets(rows)) if r["comment_created_at"]]
+    cells = Counter(
+        (r["comment_created_at"].strftime("%Y-%m"), label) for r, s in dated for label in s
+    )
+    got = P.monthly_emotion_trend(df, ["anger", "grief"]).collect()
+    months = sorted({r["comment_created_at"].strftime("%Y-%m") for r, _ in dated})
+    assert [(r["month"], r["emotion"], r["comments"]) for r in got] == [
+        (m, e, cells[m, e]) for m in months for e in ("anger", "grief")
+    ]
+    top = [r["emotion"] for r in P.emotion_frequency(df, 8).collect()]
+    default = P.monthly_emotion_trend(df).collect()
+    assert {r["emotion"] for r in default} == set(top) and len(default) == 8 * len(months)
+    shares = Counter()
+    for r in P.monthly_emotion_share(df).collect():
+        shares[r["month"]] += r["share"]
+    assert all(total == pytest.approx(1) for total in shares.values())
+    empty = P.monthly_emotion_share(df, ["grief"]).collect()
+    assert {r["share"] for r in empty} == {None}
+    table = {r["month"]: r for r in P.monthly_sentiment_table(df).collect()}
+    for r in P.monthly_sentiment_share(df).collect():
+        assert table[r["month"]][r["predicted_sentiment"]] == r["comments"]
+
+
+def test_cooccurrence(df, rows):
+    pairs = Counter(
+        pair for labels in label_sets(rows) for pair in itertools.combinations(sorted(labels), 2)
+    )
+    got = {(r["emotion_a"], r["emotion_b"]): r["comments"] for r in P.emotion_cooccurrence(df, 500).collect()}
+    assert got == dict(pairs)
+    top = [(r["emotion"], r["comments"]) for r in P.emotion_frequency(df, 4).collect()]
+    matrix = {(r["emotion_a"], r["emotion_b"]): r["comments"] for r in P.emotion_cooccurrence_matrix(df, 4).collect()}
+    assert len(matrix) == 16
+    for (a, n), (b, _) in itertools.product(top, top):
+        assert matrix[a, b] == matrix[b, a] == (n if a == b else pairs[tuple(sorted((a, b)))])
+    names = [name for name, _ in top]
+    wide = P.matrix_wide(P.emotion_cooccurrence_matrix(df, 4), names).collect()
+    assert [r["emotion"] for r in wide] == names and wide[0][names[1]] == matrix[names[0], names[1]]
+
+
+def test_labels_per_comment(spark):
+    data = [("",), ("joy",), ("joy|joy",), ("joy|anger",)]
+    got = P.labels_per_comment(spark.createDataFrame(data, "predicted_emotions string")).collect()
+    assert [tuple(r) for r in got] == [(1, 2), (2, 2)]
+
+
+def test_sentiment_scores(df, rows):
+    import statistics
+
+    scores = {
+        name: [
+            r["comment_score"]
+            for r in rows
+            if r["predicted_sentiment"] == name and r["comment_score"] is not None
+        ]
+        for name in SENTIMENTS
+    }
+    means = P.avg_score_by_sentiment(df).collect()
+    assert [r["predicted_sentiment"] for r in means] == list(SENTIMENTS)
+    spread = P.score_spread_by_sentiment(df).collect()
+    for mean, row in zip(means, spread):
+        values = scores[row["predicted_sentiment"]]
+        assert mean["comments"] == len(values)
+        assert mean["mean_score"] == pytest.approx(statistics.mean(values))
+        assert row["median_score"] == statistics.median(values)
+        assert (row["min_score"], row["max_score"]) == (min(values), max(values))
+    buckets = P.sentiment_by_score_bucket(df).collect()
+    inside = [v for name in SENTIMENTS for v in scores[name] if -100 < v <= 1000]
+    assert sum(r[name] for r in buckets for name in SENTIMENTS) == len(inside)
+
+
+def test_filters_and_preview(df, rows):
+    both = P.filter_predictions(df, "positive", "caring")
+    expected = [
+        r for r, s in zip(rows, label_sets(rows)) if r["predicted_sentiment"] == "positive" and "caring" in s
+    ]
+    assert both.count() == len(expected)
+    assert P.filter_predictions(df, "All", None).count() == 200
+    shown = P.preview(df, P.PREDICTION_PREVIEW, rows=5)
+    assert shown.columns[:2] == ["predicted_emotions", "predicted_sentiment"] and shown.count() == 5
+
+
+def test_missing_columns_give_empty_tables(df):
+    bare = df.drop("comment_score", "comment_created_at")
+    for operator in (
+        P.avg_score_by_sentiment,
+        P.score_spread_by_sentiment,
+        P.avg_post_score_by_sentiment,
+        P.sentiment_by_score_bucket,
+        P.monthly_emotion_trend,
+        P.monthly_sentiment_trend,
+        P.monthly_sentiment_table,
+    ):
+        assert operator(bare).count() == 0
+
+
+def test_no_labels_at_all(df):
+    none = df.where("predicted_emotions = ''")
+    assert P.emotion_frequency(none).count() == 0
+    assert P.monthly_emotion_trend(none).count() == 0
+    assert P.emotion_cooccurrence_matrix(none).count() == 0
+    assert {r["comments"] for r in P.emotion_frequency_all(none).collect()} == {0}
+    head = P.headline_emotions(none).first()
+    assert (head["emotions_seen"], head["top_emotion"], head["top_share"]) == (0, None, 0.0)
+    assert {r["share"] for r in P.sentiment_distribution(df.limit(0)).collect()} == {0.0}
+
+
+def test_post_scores_with_a_hot_post(spark, df, rows):
+    posts = spark.createDataFrame(
+        [(f"p{i}", 10 * i) for i in range(1, 7) for _ in range(3)], "post_id string, post_score bigint"
+    )
+    joined = G.attach_post_scores(df, posts)
+    got = {r["comment_id"]: r["post_score"] for r in joined.collect()}
+    assert len(got) == joined.count() == 200
+    for r in rows:
+        n = int(r["post_id"][1:])
+        assert got[r["comment_id"]] == (10 * n if n else None)
+    assert G.attach_post_scores(joined, posts) is joined
+    means = {r["predicted_sentiment"]: r["comments"] for r in P.avg_post_score_by_sentiment(joined).collect()}
+    assert sum(means.values()) == sum(r["post_id"] != "p0" for r in rows)
+
+
+# --- evaluation ----------------------------------------------------------------
+
+
+def brute_force(truth, guess, vocabulary):
+    def div(a, b):
+        return a / b if b else 0.0
+
+    def f1(tp, fp, fn):
+        p, r = div(tp, tp + fp), div(tp, tp + fn)
+        return div(2 * p * r, p + r)
+
+    cells = []
+    for name in vocabulary:
+        tp = sum(name in t and name in g for t, g in zip(truth, guess))
+        fp = sum(name not in t and name in g for t, g in zip(truth, guess))
+        fn = sum(name in t and name not in g for t, g in zip(truth, guess))
+        cells.append((tp, fp, fn))
+    n = len(truth)
+    known = set(vocabulary)
+    return {
+        "macro_f1": sum(f1(*c) for c in cells) / len(cells),
+        "micro_f1": f1(*map(sum, zip(*cells))),
+        "accuracy": div(sum(t & known == g & known for t, g in zip(truth, guess)), n),
+        "hamming_loss": div(sum(fp + fn for _, fp, fn in cells), n * len(cells)),
+        "mean_jaccard": div(sum(len(t & g) / len(t | g) if t | g else 1 for t, g in zip(truth, guess)), n),
+        "at_least_one_match": div(sum(bool(t & g) or not (t | g) for t, g in zip(truth, guess)), n),
+    }
+
+
+def evaluated(spark, truth, guess):
+    data = [(i, list(t), list(g)) for i, (t, g) in enumerate(zip(truth, guess))]
+    return spark.createDataFrame(data, "id int, truth array<string>, predicted array<string>")
+
+
+def test_evaluation_by_brute_force(spark):
+    rng = random.Random(8)
+    pool = EMOTIONS[:5] + ("weird", "odd")
+    truth = [set(rng.sample(pool, rng.randint(0, 3))) for _ in range(150)]
+    guess = [t if rng.random() < 0.4 else set(rng.sample(pool, rng.randint(0, 3))) for t in truth]
+    df = evaluated(spark, truth, guess)
+    row = E.evaluate_emotions(df).first()
+    for name, value in brute_force(truth, guess, EMOTIONS).items():
+        assert row[name] == pytest.approx(value, abs=1e-12), name
+    mapped = [{sentiment(t)} for t in truth], [{sentiment(g)} for g in guess]
+    row = E.evaluate_sentiment(df).first()
+    expected = brute_force(*mapped, SENTIMENTS)
+    assert row["accuracy"] == pytest.approx(expected["accuracy"]) == pytest.approx(row["micro_f1"])
+    assert row["macro_f1"] == pytest.approx(expected["macro_f1"]) and row["hamming_loss"] is None
+    labels = E.emotion_labels(df).collect()
+    assert [r["label"] for r in labels] == list(EMOTIONS)
+    assert labels[0]["support"] == sum("admiration" in t for t in truth)
+    weakest = E.weakest_labels(E.emotion_labels(df), 3).collect()
+    assert [r["f1"] for r in weakest] == sorted(r["f1"] for r in labels)[:3]
+
+
+def test_evaluation_edges(spark):
+    row = E.evaluate_emotions(evaluated(spark, [set(), {"joy"}], [set(), {"joy", "weird"}])).first()
+    assert (row["accuracy"], row["mean_jaccard"], row["at_least_one_match"]) == (1.0, 0.75, 1.0)
+    perfect = [{"joy"}, {"anger", "fear"}]
+    row = E.evaluate_emotions(evaluated(spark, perfect, perfect)).first()
+    assert (row["micro_f1"], row["accuracy"], row["hamming_loss"]) == (1.0, 1.0, 0.0)
+    assert row["macro_f1"] == pytest.approx(3 / 28)
+    nothing = evaluated(spark, perfect, perfect).limit(0)
+    row = E.evaluate_emotions(nothing).first()
+    assert row["macro_f1"] == row["accuracy"] == row["hamming_loss"] == 0.0
+    assert E.evaluate_sentiment(nothing).first()["accuracy"] == 0.0
+    assert E.emotion_labels(nothing).count() == 28
+
+
+def test_alignment(spark):
+    truth = spark.createDataFrame([(1, ["joy"]), (2, [])], "id int, truth array<string>")
+    same = spark.createDataFrame([(2, ["fear"]), (1, [])], "id int, predicted array<string>")
+    got = {r["id"]: (r["truth"], r["predicted"]) for r in E.align(truth, same).collect()}
+    assert got == {1: (["joy"], []), 2: ([], ["fear"])}
+    with pytest.raises(Exception, match="do not match at 2"):
+        E.align(truth, same.where("id = 1")).collect()
+    with pytest.raises(Exception, match="do not match at 1"):
+        E.align(truth.where("id = 2"), same).collect()
+
+
+def test_summary_of_several_models(spark):
+    data = [("m1", "One", 1, ["joy"], ["joy"]), ("m2", "Two", 1, ["joy"], ["fear"])]
+    df = spark.createDataFrame(
+        data, "model string, model_label string, id int, truth array<string>, predicted array<string>"
+    )
+    times = spark.createDataFrame([("m1", 1.5)], "model string, runtime_sec double")
+    rows = {r["model"]: r for r in E.benchmark_summary(df, times).collect()}
+    assert rows["m1"]["emotion_macro_f1"] == round(1 / 28, 4) and rows["m1"]["runtime_sec"] == 1.5
+    assert rows["m2"]["sentiment_accuracy"] == 0.0 and rows["m2"]["runtime_sec"] is None
+    assert rows["m2"]["emotion_hamming_loss"] == round(2 / 28, 4)
+
+
+def test_shares_come_from_one_scan(df):
+    """The total and the counts read the same shuffle."""
+    result = P.emotion_frequency(df.unpersist())
+    result.collect()
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan

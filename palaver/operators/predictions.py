@@ -246,6 +246,11 @@ def with_percent(df: DataFrame, digits: int, name: str = "share_pct") -> DataFra
     return df.withColumn(name, percent(F.col("share"), digits))
 
 
+def rounded(df: DataFrame, digits: int = 4, columns: Sequence[str] = ("share",)) -> DataFrame:
+    """Round shares for display; operators themselves return full precision."""
+    return df.withColumns({name: F.round(name, digits) for name in columns})
+
+
 def monthly_sentiment_trend(df: DataFrame) -> DataFrame:
     """``(month, predicted_sentiment, comments)``, observed cells only."""
     if "comment_created_at" not in df.columns:

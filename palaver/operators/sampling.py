@@ -13,10 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.fixed import COMMENTS_PER_POST, SCATTER_POINTS, SEED, TARGET_POSTS, VISUAL_HINTS
-from palaver.operators.common import broadcast_if_bounded, first_per_key, limit_per_key, top
+from palaver.operators.common import (
+    broadcast_if_bounded,
+    first_per_key,
+    limit_per_key,
+    single,
+    top,
+)
 from palaver.operators.skew import join_unique
 
 _SPREAD = 64
+_DIGITS = 4
 
 
 def shuffle_key(id_column: str, seed: int) -> Column:
@@ -25,8 +32,22 @@ def shuffle_key(id_column: str, seed: int) -> Column:
 
 
 def seeded_sample(df: DataFrame, id_column: str, n: int, seed: int = SEED) -> DataFrame:
-    """n rows at random, or all rows when there are no more than n."""
-    return top(df, n, shuffle_key(id_column, seed), F.col(id_column))
+    """n rows at random, or all rows when there are no more than n.
+
+    A plain top-n would bring n whole rows of every partition to one task.  So rows
+    are first counted per leading hash digits, which needs the ids alone; only rows
+    up to the digits that complete the sample, about n of them, are then ranked.
+    """
+    place = shuffle_key(id_column, seed)
+    start = F.substring(place, 1, _DIGITS)
+    counts = df.select(start.alias("start")).groupBy("start").agg(F.count(F.lit(1)).alias("n"))
+    # At most 16**_DIGITS rows, whatever the size of the table.
+    reached = counts.select(
+        "start", F.sum("n").over(Window.orderBy("start")).alias("so_far")
+    )
+    last = single(reached.where(F.col("so_far") >= n).agg(F.min("start")))
+    near = df.where(start <= F.coalesce(last, F.lit("g")))
+    return top(near, n, place, F.col(id_column))
 
 
 def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:

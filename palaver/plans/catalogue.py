@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import labels as L
 from palaver.functions.text import strip_urls
+from palaver.functions.values import epoch_seconds
 from palaver.operators import cleaning as C
 from palaver.operators import evaluation as E
 from palaver.operators import predictions as P
@@ -21,10 +22,9 @@ from palaver.operators import training as M
 from palaver.plans import adapter, toys
 from palaver.session import shared_folder
 from palaver.sources.comments import read_comments_csv
-from palaver.sources.predictions import read_predictions_csv
 from palaver.sources.examples import prepare_examples
+from palaver.sources.predictions import read_predictions_csv
 from palaver.sources.sinks import export_csv, list_runs, read_run, write_run
-from palaver.functions.values import epoch_seconds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -335,10 +335,7 @@ def cached_answers(spark, sf_dir):
 @query
 def cached_scoring(spark, sf_dir):
     documents = adapter.table(spark, sf_dir, "documents").select("doc_id", "text")
-    # A low row limit makes repeated texts take the salted path on small data too.
-    rows = S.attach_answers(
-        documents, "text", _answers(spark, sf_dir), spread_by="doc_id", rows_per_task=2
-    )
+    rows = S.attach_answers(documents, "text", _answers(spark, sf_dir), spread_by="doc_id")
     return rows.select("doc_id", L.encode(F.col("emotions")).alias("labels"))
 
 

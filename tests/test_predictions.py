@@ -62,6 +62,9 @@ def test_emotion_frequencies(df, rows):
     got = P.emotion_frequency(df, 3).collect()
     assert [(r["emotion"], r["comments"]) for r in got] == ranked[:3]
     assert got[0]["share"] == ranked[0][1] / len(rows)
+    shown = P.with_percent(P.rounded(P.emotion_frequency(df, 1)), 2).first()
+    assert shown["share"] == round(got[0]["share"], 4)
+    assert shown["share_pct"] == round(got[0]["share"] * 100, 2)
     full = {r["emotion"]: r["comments"] for r in P.emotion_frequency_all(df).collect()}
     assert full == {name: counts.get(name, 0) for name in EMOTIONS}
     hits = {r["sentiment_group"]: r["comments"] for r in P.group_hits(df).collect()}

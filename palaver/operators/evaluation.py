@@ -146,20 +146,24 @@ def _beside(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     return left.withColumn("_row", row).select(*left.columns, "_row.*")
 
 
-def evaluate_emotions(
-    df: DataFrame, vocabulary: Sequence[str] = EMOTIONS, by: Sequence[str] = ()
-) -> DataFrame:
-    """One row per model: macro and micro F1, subset accuracy, Hamming loss, overlap.
+def sentiment_pairs(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Pair counts of emotion sets as pair counts of one-element sentiment sets."""
+    return pairs.groupBy(
+        *by,
+        F.array(sentiment_of(F.col(TRUTH))).alias(TRUTH),
+        F.array(sentiment_of(F.col(PREDICTED))).alias(PREDICTED),
+    ).agg(F.sum("n").alias("n"))
 
-    ``df`` holds ``truth`` and ``predicted`` label arrays, one row per comment.
-    """
-    pairs = pair_counts(df, by)
+
+def _task_metrics(
+    pairs: DataFrame, vocabulary: Sequence[str], by: Sequence[str], task: str
+) -> DataFrame:
     pooled = _pooled(confusion_counts(pairs, vocabulary, by), by)
     overlap = _overlap(pairs, vocabulary, by)
     loss = ratio(F.col("wrong"), F.col("n") * len(vocabulary))
     return _beside(overlap, pooled, by).select(
         *by,
-        F.lit(f"emotions_{len(vocabulary)}").alias("task"),
+        F.lit(f"{task}_{len(vocabulary)}").alias("task"),
         "macro_f1",
         "micro_f1",
         "accuracy",
@@ -169,32 +173,32 @@ def evaluate_emotions(
     )
 
 
-def with_sentiment_sets(df: DataFrame) -> DataFrame:
-    """Replace both label lists by the one-element list of their sentiment."""
-    return df.withColumns(
-        {
-            TRUTH: F.array(sentiment_of(F.col(TRUTH))),
-            PREDICTED: F.array(sentiment_of(F.col(PREDICTED))),
-        }
+def _emotion_metrics(
+    pairs: DataFrame, vocabulary: Sequence[str], by: Sequence[str]
+) -> DataFrame:
+    return _task_metrics(pairs, vocabulary, by, "emotions")
+
+
+def _sentiment_metrics(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    missing = F.lit(None).cast("double")
+    return _task_metrics(sentiment_pairs(pairs, by), SENTIMENTS, by, "sentiment").withColumns(
+        {"hamming_loss": missing, "at_least_one_match": missing, "mean_jaccard": missing}
     )
 
 
+def evaluate_emotions(
+    df: DataFrame, vocabulary: Sequence[str] = EMOTIONS, by: Sequence[str] = ()
+) -> DataFrame:
+    """One row per model: macro and micro F1, subset accuracy, Hamming loss, overlap.
+
+    ``df`` holds ``truth`` and ``predicted`` label arrays, one row per comment.
+    """
+    return _emotion_metrics(pair_counts(df, by), vocabulary, by)
+
+
 def evaluate_sentiment(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per model over the three sentiment classes; 0 on empty input."""
-    pairs = pair_counts(with_sentiment_sets(df), by)
-    pooled = _pooled(confusion_counts(pairs, SENTIMENTS, by), by)
-    overlap = _overlap(pairs, SENTIMENTS, by)
-    missing = F.lit(None).cast("double")
-    return _beside(overlap, pooled, by).select(
-        *by,
-        F.lit(f"sentiment_{len(SENTIMENTS)}").alias("task"),
-        "macro_f1",
-        "micro_f1",
-        "accuracy",
-        missing.alias("hamming_loss"),
-        missing.alias("at_least_one_match"),
-        missing.alias("mean_jaccard"),
-    )
+    return _sentiment_metrics(pair_counts(df, by), by)
 
 
 def emotion_labels(
@@ -206,7 +210,8 @@ def emotion_labels(
 
 def sentiment_labels(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per-label metrics of the sentiment task."""
-    return emotion_labels(with_sentiment_sets(df), SENTIMENTS, by)
+    pairs = sentiment_pairs(pair_counts(df, by), by)
+    return per_label_metrics(confusion_counts(pairs, SENTIMENTS, by), by)
 
 
 def weakest_labels(metrics: DataFrame, n: int = len(EMOTIONS)) -> DataFrame:
@@ -219,11 +224,12 @@ def benchmark_summary(
 ) -> DataFrame:
     """One row per ``(model, model_label)`` with both tasks' headline metrics.
 
-    ``df`` holds all models' rows and is aggregated in one go.  ``runtimes`` is an
+    ``df`` holds all models' rows; both tasks read the same pair counts.  ``runtimes`` is an
     optional ``(model, runtime_sec)``.
     """
     by = ["model", "model_label"]
-    emotions = evaluate_emotions(df, by=by).select(
+    pairs = pair_counts(df, by)
+    emotions = _emotion_metrics(pairs, EMOTIONS, by).select(
         *by,
         F.col("macro_f1").alias("emotion_macro_f1"),
         F.col("micro_f1").alias("emotion_micro_f1"),
@@ -232,7 +238,7 @@ def benchmark_summary(
         F.col("mean_jaccard").alias("emotion_mean_jaccard"),
         F.col("hamming_loss").alias("emotion_hamming_loss"),
     )
-    sentiment = evaluate_sentiment(df, by=by).select(
+    sentiment = _sentiment_metrics(pairs, by).select(
         *by,
         F.col("macro_f1").alias("sentiment_macro_f1"),
         F.col("micro_f1").alias("sentiment_micro_f1"),

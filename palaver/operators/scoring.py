@@ -85,7 +85,7 @@ def score_texts(
 ) -> DataFrame:
     """Append ``probs array<double>``, one score per vocabulary label.
 
-    The factory owns tokenising, including truncation to the model's input length.
+    The factory owns tokenising, including truncation (``fixed.MAX_TOKENS`` is usual).
     """
     field = T.StructField("probs", T.ArrayType(T.DoubleType()))
     return _apply_batched(df, text, factory, field, pa.list_(pa.float64()), batch_size)

@@ -164,6 +164,7 @@ def run_models(
 ) -> tuple[DataFrame, DataFrame]:
     """Run models one after another; returns their predictions and the summary table.
 
+    ``runners`` maps model keys, usually ``fixed.DEFAULT_MODELS``, to functions.
     Each model's predictions are written below ``folder`` (a shared path) and read
     back, which both times the run and keeps a lost executor from redoing it.
     """

@@ -85,7 +85,8 @@ def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The narrow tables are joined first, so the text is shuffled once, by document id;
     the join is a sort-merge join on that key because both sides grow with the data.
-    The shuffle also spreads a file that arrives as one row group.  Copies come from expanding rows, not from a second scan.
+    The shuffle also spreads a file that arrives as one row group.  Copies come from
+    expanding rows, not from a second scan.
     """
     orders = table(spark, sf_dir, "orders")
     own = orders.select(

@@ -654,14 +654,14 @@ from cells where model = 'model_a'""",
     ),
     "evaluate_emotions": with_(
         f"{EVALUATED}, {confusion('judged', EMO)}, {OVERLAP}",
-        """select 'emotions_28' as task, macro_f1, micro_f1, accuracy,
+        """select 'emotions_28' as task, round(macro_f1, 9) as macro_f1, micro_f1, accuracy,
   cast(wrong as double) / (n * 28) as hamming_loss, at_least_one_match,
   round(mean_jaccard, 9) as mean_jaccard
 from pooled join setwise using (model) where model = 'model_a'""",
     ),
     "evaluate_sentiment": with_(
         f"{EVALUATED}, {SENTIMENT_JUDGED}, {confusion('judged3', SENTIMENTS)}",
-        """select 'sentiment_3' as task, macro_f1, micro_f1,
+        """select 'sentiment_3' as task, round(macro_f1, 9) as macro_f1, micro_f1,
   (select avg(case when truth = guess then 1.0 else 0.0 end) from judged3 where model = 'model_a')
     as accuracy
 from pooled where model = 'model_a'""",

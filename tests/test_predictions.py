@@ -6,7 +6,6 @@ from collections import Counter
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from palaver.fixed import EMOTIONS, NEGATIVE_EMOTIONS, POSITIVE_EMOTIONS, SENTIMENTS
 from palaver.operators import evaluation as E

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 1_000_000
+KEYLESS_SALTS = 4096
 
 
 def hot_keys(counts: DataFrame, key: str, copies: str, rows_per_task: int) -> DataFrame:
@@ -32,7 +33,8 @@ def join_unique(
 
     Hot keys get a salt: their left rows are spread by a hash of ``spread_by``
     over several sub-keys and only their right rows are repeated, once per salt.
-    All other keys join as usual.  ``counts`` is ``(key, copies)`` when the caller
+    Rows without a key match nothing and are spread likewise; all other keys join as
+    usual.  ``counts`` is ``(key, copies)`` when the caller
     has already counted the left keys; otherwise one narrow count is planned.
     The hot-key table is broadcast because its size is bounded by design.
     """
@@ -42,9 +44,10 @@ def join_unique(
         hot_keys(counts.where(F.col(key).isNotNull()), key, "copies", rows_per_task)
     )
     salts = F.coalesce("_salts", F.lit(1))
+    spread = F.when(F.col(key).isNull(), F.lit(KEYLESS_SALTS)).otherwise(salts)
     salted_left = (
         left.join(hot, key, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(spread_by), salts).cast("int"))
+        .withColumn("_salt", F.pmod(F.xxhash64(spread_by), spread).cast("int"))
         .drop("_salts")
     )
     salted_right = (

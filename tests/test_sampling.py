@@ -120,3 +120,18 @@ def test_salted_join_spreads_a_hot_key(spark):
         salted = join_unique(left, right, "key", spread_by="row", how=how, rows_per_task=100)
         assert salted.columns == ["key", "row", "v"]
         assert salted.select("row", "v").orderBy("row").collect() == plain
+
+
+def test_salted_join_spreads_rows_without_a_key(spark):
+    left = spark.range(2000).select(F.lit(None).cast("string").alias("key"), F.col("id").alias("row"))
+    right = spark.createDataFrame([("a", 1)], "key string, v int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = join_unique(left, right, "key", spread_by="row")
+        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(r["count"] for r in sizes) == 2000 and len(sizes) == 8
+    assert max(r["count"] for r in sizes) < 500

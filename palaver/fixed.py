@@ -152,6 +152,11 @@ MODELS = {
     "ollama_llama": ("Ollama LLM (local)", "llm"),
 }
 DEFAULT_MODELS = ("tfidf_logreg", "bert_monologg", "roberta_samlowe")
+EXPERIMENT_PREFIXES = {
+    "roberta_samlowe": "reddit_roberta",
+    "bert_monologg": "reddit_bert",
+    "tfidf_logreg": "reddit_tfidf",
+}
 
 # --- fixed values: the classification prompt around the label list and the text -
 PROMPT_HEAD = (

@@ -34,8 +34,8 @@ def write_run(
     model_label: str,
     options: CleaningOptions = CleaningOptions(),
     threshold: float = THRESHOLD,
-) -> None:
-    """Write one run's predictions and its metadata row.
+) -> int:
+    """Write one run's predictions and its metadata row; returns the rows written.
 
     Rows are counted while they are written.  Writing an experiment again replaces
     its predictions, so a failed run can simply be repeated; its newest metadata
@@ -68,6 +68,7 @@ def write_run(
     spark.createDataFrame([record], schema.RUNS).coalesce(1).write.mode("append").json(
         f"{root}/{RUNS}"
     )
+    return seen.get["rows"]
 
 
 def read_run(spark: SparkSession, root: str, experiment: str) -> DataFrame:

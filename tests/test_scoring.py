@@ -272,3 +272,49 @@ def test_evaluation_files(spark, tmp_path):
     assert table.columns == ["label", "precision", "recall", "f1", "support"] and table.count() == 28
     sinks.write_benchmark(root, E.evaluate_sentiment(df))
     assert spark.read.csv(f"{root}/benchmark_summary", header=True).count() == 1
+
+
+# --- jobs ----------------------------------------------------------------------
+
+
+def test_score_dataset(spark, tmp_path):
+    from palaver.plans.jobs import experiment_name, score_dataset
+
+    path = tmp_path / "comments.csv"
+    path.write_text(
+        "comment_id,post_id,comment_body,comment_score,comment_author,comment_created_utc\n"
+        "c1,p1,aaaa,1,ann,0\nc1,p1,zzzz,1,ann,0\nc2,p1,[deleted],1,ann,0\nc3,p1,zzzz,1,ann,0\n",
+        encoding="utf-8",
+    )
+    root = str(tmp_path / "runs")
+    rows = score_dataset(spark, str(path), root, letter_scores, experiment="e").collect()
+    assert {r["comment_id"]: r["predicted_emotions"] for r in rows} == {
+        "c1": EMOTIONS[0],
+        "c3": EMOTIONS[25],
+    }
+    one = score_dataset(spark, str(path), root, letter_scores, experiment="f", max_samples=1)
+    assert [r["comment_id"] for r in one.collect()] == ["c1"]
+    assert sinks.list_runs(spark, root).count() == 2
+    assert experiment_name("bert_monologg").startswith("reddit_bert_20")
+    with pytest.raises(ValueError, match="no comments left"):
+        score_dataset(spark, str(path), root, letter_scores, experiment="g", max_samples=0)
+
+
+def test_benchmark_job(spark, tmp_path):
+    from palaver.plans.jobs import benchmark
+
+    path = str(tmp_path / "examples")
+    rows = [(i, f"text {i}", [i % 28]) for i in range(30)]
+    spark.createDataFrame(rows, "id bigint, text string, labels array<int>").write.parquet(path)
+
+    def right(train, test):
+        return test.select("id", F.col("labels").alias("predicted"))
+
+    out = str(tmp_path / "out")
+    runners = {"roberta_samlowe": right}
+    summary = benchmark(spark, runners, path, path, out, max_test_samples=10, run_id="r").first()
+    assert summary["emotion_subset_accuracy"] == summary["sentiment_accuracy"] == 1.0
+    base = f"{out}/r/model=roberta_samlowe"
+    assert spark.read.json(f"{base}/sentiment_summary").first()["macro_f1"] <= 1.0
+    assert spark.read.csv(f"{base}/emotions_per_class", header=True).count() == 28
+    assert spark.read.csv(f"{out}/r/benchmark_summary", header=True).count() == 1

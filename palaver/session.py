@@ -22,6 +22,8 @@ def build_session(app: str = "palaver", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # First-n-per-key is cut before the shuffle for n up to this.
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", "100000")
         .config("spark.sql.session.timeZone", "UTC")
         # Without call-site capture, building an expression takes one call instead of several.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")

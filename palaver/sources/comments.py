@@ -55,14 +55,25 @@ def prepare_comments(df: DataFrame, null_tokens: Sequence[str] = ()) -> DataFram
     return with_text_metrics(out)
 
 
-def csv_schema(spark: SparkSession, path: str | Sequence[str], known: T.StructType) -> T.StructType:
-    """The known schema in the order of the file's header; an unknown column is text.
+def scan_csv(spark: SparkSession, path: str | Sequence[str], known: T.StructType) -> DataFrame:
+    """A CSV scan typed by the known schema; an unknown column is text.
 
-    Only header names are read from the data, never types.
+    Only header names are read from the data, never types.  Whole numbers are read as
+    doubles: writers that promote a column with gaps store 5 as ``5.0``.
     """
-    names = spark.read.options(**{**CSV_OPTIONS, "inferSchema": False}).csv(path).columns
-    types = {field.name: field.dataType for field in known}
-    return T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
+    names = spark.read.options(**CSV_OPTIONS).csv(path).columns
+    kinds = {
+        field.name: T.DoubleType() if field.dataType == T.LongType() else field.dataType
+        for field in known
+    }
+    wide = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
+    return spark.read.options(**CSV_OPTIONS).schema(wide).csv(path)
+
+
+def whole_numbers(df: DataFrame, known: T.StructType) -> DataFrame:
+    """Cast the columns that the known schema holds as whole numbers."""
+    longs = {field.name for field in known if field.dataType == T.LongType()}
+    return df.withColumns({n: F.col(n).cast("bigint") for n in df.columns if n in longs})
 
 
 def read_comments_csv(
@@ -75,14 +86,12 @@ def read_comments_csv(
     large inputs should come as many files, or as Parquet.
     """
     raw = (
-        spark.read.options(**CSV_OPTIONS)
-        .schema(csv_schema(spark, path, schema.COMMENTS))
-        .csv(path)
+        scan_csv(spark, path, schema.COMMENTS)
         .select("*", "_metadata.file_path", F.monotonically_increasing_id().alias("row"))
         .withColumn("ingest_order", F.struct("file_path", "row"))
         .drop("file_path", "row")
     )
-    return prepare_comments(raw, null_tokens)
+    return prepare_comments(whole_numbers(raw, schema.COMMENTS), null_tokens)
 
 
 def read_comments_parquet(

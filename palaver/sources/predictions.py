@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palaver import schema
 from palaver.functions.labels import decode
 from palaver.functions.values import utc_from_instant
-from palaver.sources.comments import CSV_OPTIONS, csv_schema
+from palaver.sources.comments import scan_csv, whole_numbers
 
 
 def prepare_predictions(df: DataFrame) -> DataFrame:
@@ -37,11 +37,8 @@ def prepare_predictions(df: DataFrame) -> DataFrame:
 
 def read_predictions_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Predictions from CSV."""
-    return prepare_predictions(
-        spark.read.options(**CSV_OPTIONS)
-        .schema(csv_schema(spark, path, schema.PREDICTIONS_CSV))
-        .csv(path)
-    )
+    raw = scan_csv(spark, path, schema.PREDICTIONS_CSV)
+    return prepare_predictions(whole_numbers(raw, schema.PREDICTIONS_CSV))
 
 
 def read_predictions_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

@@ -191,7 +191,7 @@ def test_csv_comments(spark, tmp_path):
     path = tmp_path / "comments.csv"
     path.write_text(
         "post_id,comment_id,comment_body,comment_score,comment_created_utc,mood\n"
-        'p1,c1,"He said ""hi"",\nthen left\\",5,1735689600,calm\n'
+        'p1,c1,"He said ""hi"",\nthen left\\",5.0,1735689600,calm\n'
         "p1,c2,,,1735689599.0,\n"
         'p2,c1,"  padded  ",-3,,\n'
         "p2,c4,None,1,0,\n",

@@ -126,19 +126,21 @@ def fit_label_models(
         # Every task returns a gradient as wide as the vocabulary, so tasks should not
         # be smaller than that is worth.
         packed = rows.coalesce(max(1, -(-n // ROWS_PER_FIT_TASK)))
-        learner = LogisticRegression(
-            regParam=1.0 / (c * n) if n else 0.0,
-            standardization=False,
-            maxIter=max_iterations,
-            tol=TOLERANCE,
-            threshold=THRESHOLD,
-        )
 
         def fit(numbered: tuple[int, str]) -> LogisticRegressionModel | bool:
             i, name = numbered
             positive = totals[f"_{i}"]
             if positive in (0, n):
                 return positive > 0
+            # One estimator per fit: a shared one must not change while another fit
+            # serializes it.
+            learner = LogisticRegression(
+                regParam=1.0 / (c * n),
+                standardization=False,
+                maxIter=max_iterations,
+                tol=TOLERANCE,
+                threshold=THRESHOLD,
+            )
             target = F.array_contains(labels, name).cast("double").alias("label")
             return learner.fit(packed.select("features", target))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import (
@@ -95,6 +96,17 @@ class LabelModels:
         return out.withColumn(output, labels.cast("array<string>")).select(*df.columns, output)
 
 
+def _without_summary(model: LogisticRegressionModel) -> LogisticRegressionModel:
+    """Drop the training summary, which ties the model to the session.
+
+    Tasks receive the model; with its summary they would receive the session too,
+    which cannot be serialized once the session has observed metrics.
+    """
+    nothing = SparkContext._active_spark_context._jvm.scala.Option.empty()
+    model._java_obj.setSummary(nothing)
+    return model
+
+
 def fit_label_models(
     examples: DataFrame,
     vocabulary: Sequence[str] = EMOTIONS,
@@ -132,8 +144,7 @@ def fit_label_models(
             positive = totals[f"_{i}"]
             if positive in (0, n):
                 return positive > 0
-            # One estimator per fit: a shared one must not change while another fit
-            # serializes it.
+            # One estimator per fit, as they run side by side.
             learner = LogisticRegression(
                 regParam=1.0 / (c * n),
                 standardization=False,
@@ -142,7 +153,7 @@ def fit_label_models(
                 threshold=THRESHOLD,
             )
             target = F.array_contains(labels, name).cast("double").alias("label")
-            return learner.fit(packed.select("features", target))
+            return _without_summary(learner.fit(packed.select("features", target)))
 
         # The fits are independent; running several at once keeps executors busy
         # while another fit waits for its driver step.

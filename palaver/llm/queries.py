@@ -6,12 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palaver.llm.common import documents
+from palaver.llm.common import documents, read_table
+from palaver.llm.mixing import mixing_table
+from palaver.llm.quality import quality_table
+from palaver.llm.sharding import shard_table
 from palaver.llm.token_counts import token_budget
+from palaver.llm.url_filter import Rule, filter_urls
 
 VOCABULARY = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
 
+SHARDS = 24
+MIX_SEED = 7
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and place in it."""
+    return shard_table(documents(spark, sf_dir), SHARDS)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document."""
+    return mixing_table(documents(spark, sf_dir), MIX_SEED)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and verdict of every document."""
+    return quality_table(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
+URL_RULES = (
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page."""
+    return filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts, and how much of each text fits the limit."""
@@ -19,5 +55,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sharding": op3_sharding,
+    "op4_mixing": op4_mixing,
+    "op7_quality": op7_quality,
+    "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
 }

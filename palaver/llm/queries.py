@@ -10,6 +10,7 @@ from palaver.llm.common import documents, read_table
 from palaver.llm.mixing import mixing_table
 from palaver.llm.quality import quality_table
 from palaver.llm.sharding import shard_table
+from palaver.llm.simhash_dedup import near_duplicates
 from palaver.llm.token_counts import token_budget
 from palaver.llm.url_filter import Rule, filter_urls
 
@@ -35,6 +36,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return near_duplicates(documents(spark, sf_dir))
+
+
 URL_RULES = (
     Rule("allow", "org", "/"),
     Rule("block", "example.org", "/es/"),
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op7_quality": op7_quality,
+    "op8_simhash_dedup": op8_simhash_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
 }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from palaver.llm.common import documents, read_table
+from palaver.llm.decontaminate import leak_table
 from palaver.llm.mixing import mixing_table
 from palaver.llm.quality import quality_table
 from palaver.llm.sharding import shard_table
@@ -31,6 +32,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_table(documents(spark, sf_dir), MIX_SEED)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items inside documents."""
+    return leak_table(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics and verdict of every document."""
     return quality_table(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
@@ -63,6 +69,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
+    "op5_decontaminate": op5_decontaminate,
     "op7_quality": op7_quality,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_url_filter": op9_url_filter,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palaver.llm.common import documents, read_table
 from palaver.llm.decontaminate import leak_table
+from palaver.llm.licence_scan import licence_table
 from palaver.llm.mixing import mixing_table
 from palaver.llm.quality import quality_table
 from palaver.llm.sharding import shard_table
@@ -22,6 +23,11 @@ SHARDS = 24
 MIX_SEED = 7
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every document."""
+    return licence_table(documents(spark, sf_dir))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and place in it."""
     return shard_table(documents(spark, sf_dir), SHARDS)
@@ -67,6 +73,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_licence_scan": op2_licence_scan,
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op5_decontaminate": op5_decontaminate,

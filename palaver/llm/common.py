@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -89,3 +90,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
         warehouse = df.sparkSession.conf.get("spark.sql.warehouse.dir")
         context.setCheckpointDir(shared or f"{warehouse}/_checkpoints")
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as a Parquet table below the shared checkpoint folder, and read back.
+
+    For tables as large as the corpus's vocabulary, which Parquet holds in a fraction of
+    a checkpoint's space.
+    """
+    session = df.sparkSession
+    root = session.conf.get("spark.checkpoint.dir", None) or (
+        f"{session.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    )
+    path = f"{root}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from palaver.llm.common import documents, read_table
 from palaver.llm.decontaminate import leak_table
 from palaver.llm.licence_scan import licence_table
+from palaver.llm.lm_score import lm_scores
 from palaver.llm.mixing import mixing_table
 from palaver.llm.quality import quality_table
 from palaver.llm.sharding import shard_table
@@ -43,6 +44,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_table(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document."""
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics and verdict of every document."""
     return quality_table(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op5_decontaminate": op5_decontaminate,
+    "op6_lm_score": op6_lm_score,
     "op7_quality": op7_quality,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_url_filter": op9_url_filter,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palaver.llm.common import documents, read_table
 from palaver.llm.decontaminate import leak_table
+from palaver.llm.language_id import identify
 from palaver.llm.licence_scan import licence_table
 from palaver.llm.lm_score import lm_scores
 from palaver.llm.mixing import mixing_table
@@ -24,6 +25,11 @@ SHARDS = 24
 MIX_SEED = 7
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return identify(documents(spark, sf_dir))
+
+
 def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices of every document."""
     return licence_table(documents(spark, sf_dir))
@@ -79,6 +85,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_licence_scan": op2_licence_scan,
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,

@@ -73,14 +73,21 @@ def number_rows(
         F.sum("_copies").over(by_slice.rowsBetween(Window.unboundedPreceding, 0))
         - F.col("_copies"),
     )
-    totals = counted.groupBy(shard, "_slice").agg(F.sum("_copies").alias("_rows"))
+    # Taken from the numbered rows, so that both branches read one shuffle of one scan.
+    totals = numbered.groupBy(shard, "_slice").agg(
+        F.max(F.col("_before") + F.col("_copies")).alias("_rows")
+    )
     earlier = Window.partitionBy(shard).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1
     )
     starts = totals.select(
-        shard, "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")
+        F.col(shard).alias("_of"),
+        F.col("_slice").alias("_from"),
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"),
     )
-    placed = numbered.join(F.broadcast(starts), [shard, "_slice"])
+    # Null-safe, so that no filter for nulls makes the branches differ.
+    same = F.col(shard).eqNullSafe(F.col("_of")) & F.col("_slice").eqNullSafe(F.col("_from"))
+    placed = numbered.join(F.broadcast(starts), same)
     return placed.select(
         *rows.columns,
         F.explode(

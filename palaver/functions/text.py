@@ -117,10 +117,13 @@ def word_tokens(lowered: Column) -> Column:
 def java_regex(pattern: str) -> str:
     """A Unicode, case-insensitive Java form of a user's regular expression.
 
-    ``\\b``, ``\\w``, ``\\d`` and ``\\s`` take their Unicode meaning, the one the
-    built-in keyword patterns are written for.
+    ``\\b``, ``\\w``, ``\\d``, ``\\s`` and their opposites in capitals take their Unicode
+    meaning, the one the built-in keyword patterns are written for.
     """
-    spelled = {"b": WORD_EDGE, "w": _WORD, "d": r"\p{Nd}", "s": f"[{_SPACE}]"}
+    spelled = {
+        "b": WORD_EDGE, "w": _WORD, "d": r"\p{Nd}", "s": f"[{_SPACE}]",
+        "W": f"[^{WORD_SET}]", "D": r"\P{Nd}", "S": f"[^{_SPACE}]",
+    }
     body = re.sub(r"\\(.)", lambda m: spelled.get(m.group(1), m.group(0)), pattern)
     return "(?iU)" + body
 
@@ -130,14 +133,16 @@ def pattern_hits(text: Column, folded: Column, pattern: str) -> Column:
 
     ``folded`` is ``fold_case(text)``.  A word or phrase between word edges is
     looked up there as a substring first.  Any other pattern without groups is
-    first tried without its word edges, which can only match more.  Either way the
+    first tried without its word edges, which can only match more; an edge with a
+    quantifier stays as it is.  Either way the
     full pattern, with its costly edges, runs on candidate texts alone.
     """
     hits = F.regexp_count(text, F.lit(java_regex(pattern)))
     phrase = re.fullmatch(r"\\b([a-z0-9 ]+)\\b", pattern)
     if phrase:
         return F.when(F.contains(folded, F.lit(phrase.group(1))), hits).otherwise(0)
-    if r"\b" in pattern and "(" not in pattern and r"\\" not in pattern:
+    bare_edges = not re.search(r"\\b[?*+{]", pattern)
+    if r"\b" in pattern and "(" not in pattern and r"\\" not in pattern and bare_edges:
         loose = java_regex(pattern.replace(r"\b", ""))
         return F.when(text.rlike(loose), hits).otherwise(0)
     return hits

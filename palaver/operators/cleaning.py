@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from palaver import fixed
 from palaver.functions import text as X
 from palaver.functions.values import ratio
-from palaver.operators.common import compute_once, first_per_key
+from palaver.operators.common import compute_once, first_per_key, input_order
 from palaver.sources.comments import with_text_metrics
 
 
@@ -31,13 +31,8 @@ class CleaningOptions:
     dedupe_comments: bool = True
 
 
-def _order(df: DataFrame, order_by: Sequence[str] | None) -> list[Column]:
-    """Input order: the given columns, else ``ingest_order``, else a hash of the row."""
-    if order_by is None and "ingest_order" in df.columns:
-        order_by = ["ingest_order"]
-    if order_by is None:
-        return [F.xxhash64(*df.columns)]
-    return [F.col(name) for name in order_by]
+def _with_body(df: DataFrame) -> DataFrame:
+    return df.withColumn("comment_body", F.coalesce("comment_body", F.lit("")))
 
 
 def is_bot(author: Column) -> Column:
@@ -57,7 +52,7 @@ def is_empty(body: Column) -> Column:
 
 def dedupe_comments(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
     """Keep the first row of every comment id; missing ids count as one id."""
-    return first_per_key(df, ["comment_id"], _order(df, order_by))
+    return first_per_key(df, ["comment_id"], input_order(df, order_by))
 
 
 def remove_bots(df: DataFrame) -> DataFrame:
@@ -87,7 +82,11 @@ def clean(
     options: CleaningOptions = CleaningOptions(),
     order_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The cleaning pipeline as one lazy plan with a single shuffle, on comment id."""
+    """The cleaning pipeline as one lazy plan with a single shuffle, on comment id.
+
+    A missing body counts as empty, here and in the funnel.
+    """
+    df = _with_body(df)
     if options.dedupe_comments and "comment_id" in df.columns:
         df = dedupe_comments(df, order_by)
     if options.remove_automoderator and "comment_author" in df.columns:
@@ -114,7 +113,8 @@ def cleaning_funnel(
     drop it.  Only that number travels with the comment id; no text is shuffled.
     """
     survives = 99
-    order = _order(df, order_by)
+    df = _with_body(df)
+    order = input_order(df, order_by)
     body = F.col("comment_body")
     if options.strip_urls:
         df = compute_once(df, "_text", X.strip_urls(body))
@@ -139,7 +139,7 @@ def cleaning_funnel(
     if options.min_comment_length > 0:
         label = fixed.FUNNEL_MIN_LENGTH.format(n=options.min_comment_length)
         steps.append((label, 4))
-        tests.append((4, length < options.min_comment_length))
+        tests.append((4, F.coalesce(length < options.min_comment_length, F.lit(True))))
     steps.append((fixed.FUNNEL_FINAL, 4))
 
     dropped_at = F.coalesce(*[F.when(test, at) for at, test in tests], F.lit(survives))

@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A side is broadcast by hand only when a parameter bounds it to this many rows.
-BROADCAST_ROWS = 1_000_000
-
 
 def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add or replace a costly column that is evaluated exactly once per row.
@@ -37,11 +34,6 @@ def empty(df: DataFrame, ddl: str) -> DataFrame:
     return df.sparkSession.createDataFrame([], ddl)
 
 
-def broadcast_if_bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a result known to have at most ``rows`` rows, if that is few."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Keep the first row of each key; null keys count as equal.
 
@@ -59,6 +51,21 @@ def limit_per_key(
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
+def input_order(df: DataFrame, order_by: Sequence[str] | None = None) -> list[Column]:
+    """Input order: the given columns, else ``ingest_order``, else a hash of the row."""
+    if order_by is None and "ingest_order" in df.columns:
+        order_by = ["ingest_order"]
+    if order_by is None:
+        return [F.xxhash64(*df.columns)]
+    return [F.col(name) for name in order_by]
+
+
+def first_value(name: str, order: Sequence[Column], known: bool = False) -> Column:
+    """A column's value in the first row of a group, or in the first row that has one."""
+    place = F.struct(*order)
+    return F.min_by(name, F.when(F.col(name).isNotNull(), place) if known else place)
+
+
 def value_counts(df: DataFrame, *values: str, name: str = "copies") -> DataFrame:
     """Rows per distinct combination of values."""
     return df.groupBy(*values).agg(F.count(F.lit(1)).alias(name))

@@ -20,19 +20,32 @@ from palaver.operators.common import single
 TRUTH, PREDICTED = "truth", "predicted"
 
 
-def align(truth: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:
-    """Join ``(key, truth)`` with ``(key, predicted)``; a missing partner raises.
+def align(
+    truth: DataFrame, predictions: DataFrame, key: str | Sequence[str] = "id"
+) -> DataFrame:
+    """Join ``(key, truth)`` with ``(key, predicted)``; both sides must match one to one.
 
-    Both sides hold each key once, so the join spreads evenly.
+    A key that is missing on a side, or null, raises, and so does one that a side repeats.
+    Each side is grouped by key first, which shows repeats and spreads the join evenly.
     """
-    left = truth.withColumn("_t", F.lit(True))
-    right = predictions.withColumn("_p", F.lit(True))
-    both = left.join(right, key, "full_outer")
-    alone = F.col("_t").isNull() | F.col("_p").isNull()
-    message = F.concat(F.lit("truth and predictions do not match at "), F.col(key).cast("string"))
-    return both.withColumn(
-        TRUTH, F.when(alone, F.raise_error(message)).otherwise(F.col(TRUTH))
-    ).drop("_t", "_p")
+    keys = [key] if isinstance(key, str) else list(key)
+
+    def once(side: DataFrame, mark: str) -> DataFrame:
+        others = [F.any_value(c).alias(c) for c in side.columns if c not in keys]
+        return side.groupBy(*keys).agg(*others, F.count(F.lit(1)).alias(mark))
+
+    both = once(truth, "_t").join(once(predictions, "_p"), keys, "full_outer")
+    matched = F.coalesce((F.col("_t") == 1) & (F.col("_p") == 1), F.lit(False))
+    at = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    message = F.concat(F.lit("truth and predictions do not match one to one at "), at)
+    # Every column carries the check, so that no filter on one of them can skip it.
+    return both.select(
+        *[
+            F.when(matched, F.col(c)).otherwise(F.raise_error(message)).alias(c)
+            for c in both.columns
+            if c not in ("_t", "_p")
+        ]
+    )
 
 
 def pair_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -16,6 +16,7 @@ from palaver.fixed import EMOTIONS, PREVIEW_ROWS, SCORE_BINS, SENTIMENTS
 from palaver.functions.labels import decode, group_of, label_set, string_array
 from palaver.functions.values import month_key, percent, ratio
 from palaver.operators.common import bin_of, empty, single, top, value_counts
+from palaver.operators.sampling import post_scores
 
 ALL = "All"
 _SENTIMENT_RANK = {name: rank for rank, name in enumerate(SENTIMENTS)}
@@ -367,23 +368,36 @@ def score_spread_by_sentiment(df: DataFrame) -> DataFrame:
     )
 
 
-def avg_post_score_by_sentiment(df: DataFrame) -> DataFrame:
-    """``(predicted_sentiment, mean_post_score, median_post_score, comments)``."""
+def avg_post_score_by_sentiment(df: DataFrame, posts: DataFrame | None = None) -> DataFrame:
+    """``(predicted_sentiment, mean_post_score, median_post_score, comments)``.
+
+    Predictions without a score take it from ``posts``, the source table.  They are counted
+    per post and sentiment before that join, so no post is hot in it.
+    """
+    if "post_score" not in df.columns and posts is not None:
+        counted = value_counts(
+            df.where(F.col("predicted_sentiment").isNotNull()), "predicted_sentiment", "post_id"
+        )
+        joined = counted.join(post_scores(posts), "post_id", "left")
+        scores = joined.groupBy("predicted_sentiment", F.col("post_score").alias("x")).agg(
+            F.sum("copies").alias("copies")
+        )
+        return _in_order(scores.groupBy("predicted_sentiment").agg(*_post_measures()))
     if "post_score" not in df.columns:
         return empty(
             df,
             "predicted_sentiment string, mean_post_score double, "
             "median_post_score double, comments bigint",
         )
-    return _in_order(
-        _score_by_sentiment(
-            df,
-            "post_score",
-            _measure("mean").alias("mean_post_score"),
-            _measure("median").alias("median_post_score"),
-            _measure("count").alias("comments"),
-        )
-    )
+    return _in_order(_score_by_sentiment(df, "post_score", *_post_measures()))
+
+
+def _post_measures() -> list[Column]:
+    return [
+        _measure("mean").alias("mean_post_score"),
+        _measure("median").alias("median_post_score"),
+        _measure("count").alias("comments"),
+    ]
 
 
 def filter_predictions(

@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 
 from palaver.fixed import AUTOMOD_AUTHOR, HISTOGRAM_BINS, LENGTH_BINS, SCORE_BINS
 from palaver.functions.values import month_key, ratio, weekday_name
-from palaver.operators.common import bin_tests, empty, single, tally, top, value_counts
+from palaver.operators.common import (
+    bin_tests,
+    empty,
+    first_value,
+    input_order,
+    single,
+    tally,
+    top,
+    value_counts,
+)
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
@@ -194,20 +203,26 @@ def top_authors(df: DataFrame, n: int = 15) -> DataFrame:
 def post_stats(df: DataFrame) -> DataFrame:
     """``(post_id, post_score, comments)`` for every post with an id.
 
-    A post has one score; should rows disagree, the highest counts.
+    Should rows disagree on a post's score, the first one in input order that has one
+    counts.
     """
+    score = first_value("post_score", input_order(df), known=True)
     return (
         df.where(F.col("post_id").isNotNull())
         .groupBy("post_id")
-        .agg(F.max("post_score").alias("post_score"), F.count("comment_id").alias("comments"))
+        .agg(score.alias("post_score"), F.count("comment_id").alias("comments"))
     )
 
 
 def top_posts(df: DataFrame, n: int = 10) -> DataFrame:
-    """``(post_id, post_title, comments, post_score)``, most comments first."""
+    """``(post_id, post_title, comments, post_score)``, most comments first.
+
+    The score is the first one in input order that the post's rows have.
+    """
+    score = first_value("post_score", input_order(df), known=True)
     posts = (
         df.where(F.col("post_id").isNotNull() & F.col("post_title").isNotNull())
         .groupBy("post_id", "post_title")
-        .agg(F.count("comment_id").alias("comments"), F.max("post_score").alias("post_score"))
+        .agg(F.count("comment_id").alias("comments"), score.alias("post_score"))
     )
     return top(posts, n, F.desc("comments"), F.asc("post_id"), F.asc("post_title"))

@@ -14,40 +14,53 @@ from pyspark.sql import functions as F
 
 from palaver.fixed import COMMENTS_PER_POST, SCATTER_POINTS, SEED, TARGET_POSTS, VISUAL_HINTS
 from palaver.operators.common import (
-    broadcast_if_bounded,
     first_per_key,
+    first_value,
+    input_order,
     limit_per_key,
     single,
     top,
 )
 from palaver.operators.skew import join_unique
 
-_SPREAD = 64
+# Samples up to this many rows are drawn by one heap per partition.
+HEAP_ROWS = 100_000
 _DIGITS = 4
 
 
 def shuffle_key(id_column: str, seed: int) -> Column:
-    """Pseudo-random position of a row."""
-    return F.md5(F.concat(F.col(id_column).cast("string"), F.lit(str(seed))))
+    """Pseudo-random position of a row; a missing id counts as empty text."""
+    text = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
+    return F.md5(F.concat(text, F.lit(str(seed))))
 
 
 def seeded_sample(df: DataFrame, id_column: str, n: int, seed: int = SEED) -> DataFrame:
     """n rows at random, or all rows when there are no more than n.
 
-    A plain top-n would bring n whole rows of every partition to one task.  So rows
-    are first counted per leading hash digits, which needs the ids alone; only rows
-    up to the digits that complete the sample, about n of them, are then ranked.
+    Rows without an id take part; ties fall to a hash of the row.  A small sample is one
+    pass with a heap of n rows per partition.  A large one would bring too many rows to
+    one task: its rows are first counted per leading hash digits, which needs the ids
+    alone; groups that the sample takes whole are filtered where they are, and only the
+    one group in which it ends is ranked.
     """
     place = shuffle_key(id_column, seed)
+    order = [place, F.col(id_column), F.xxhash64(*df.columns)]
+    if n <= HEAP_ROWS:
+        return top(df, n, *order)
     start = F.substring(place, 1, _DIGITS)
     counts = df.select(start.alias("start")).groupBy("start").agg(F.count(F.lit(1)).alias("n"))
     # At most 16**_DIGITS rows, whatever the size of the table.
     reached = counts.select(
-        "start", F.sum("n").over(Window.orderBy("start")).alias("so_far")
+        "start", "n", F.sum("n").over(Window.orderBy("start")).alias("so_far")
+    )
+    ends = reached.where(F.col("so_far") >= n).orderBy("start").limit(1)
+    last = F.coalesce(single(ends.select("start")), F.lit("g"))
+    wanted = n - single(ends.select(F.col("so_far") - F.col("n")))
+    rank = F.row_number().over(Window.orderBy(*order))
+    ended = df.where(start == last).withColumn("_rank", rank)
+    return df.where(start < last).unionByName(
+        ended.where(F.col("_rank") <= wanted).drop("_rank")
     )
-    last = single(reached.where(F.col("so_far") >= n).agg(F.min("start")))
-    near = df.where(start <= F.coalesce(last, F.lit("g")))
-    return top(near, n, place, F.col(id_column))
 
 
 def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
@@ -72,6 +85,8 @@ def visual_posts(posts: DataFrame, hints: Sequence[str] = VISUAL_HINTS) -> DataF
 
 
 WEEK = timedelta(days=7)
+# Rows of one week that may meet in a task after the first cut.
+WEEK_ROWS = 1_000_000
 
 
 def _instant(moment: datetime) -> Column:
@@ -103,11 +118,15 @@ def weekly_sample(
     ``post_hint``.  A post id counts once, in its earliest week.  Each week gives
     ``target // weeks`` posts and the first ``target % weeks`` weeks one more.
 
+    Copies of a post id at one time count as the one whose row has the least hash.
+
     A period has few weeks, so ranking by week alone would bring a week's posts to
-    one task.  They are first cut to the quota inside 64 sub-groups per week.
+    one task.  They are first cut to the quota inside sub-groups of a week, as many as
+    keep what is left of a week below ``WEEK_ROWS`` or the quota, whichever is more.
     """
     weeks = week_count(start, end)
     base, extra = divmod(target, weeks)
+    spread = max(1, WEEK_ROWS // (base + 1))
     created = F.col("post_created_at")
     inside = posts.where(
         F.col("post_id").isNotNull()
@@ -117,10 +136,14 @@ def weekly_sample(
     if hints is not None:
         inside = visual_posts(inside, hints)
     placed = (
-        inside.transform(first_per_key, ["post_id"], [F.col("post_created_at")])
+        inside.transform(
+            first_per_key,
+            ["post_id"],
+            [F.col("post_created_at"), F.xxhash64(*inside.columns)],
+        )
         .withColumn("week", week_of(created, start))
         .withColumn("_place", shuffle_key("post_id", seed))
-        .withColumn("_part", F.pmod(F.xxhash64("post_id"), F.lit(_SPREAD)))
+        .withColumn("_part", F.pmod(F.xxhash64("post_id"), F.lit(spread)))
     )
     order = [F.col("_place"), F.col("post_id")]
     cut = limit_per_key(placed, ["week", "_part"], order, base + 1)
@@ -150,12 +173,11 @@ def assemble(
     """One row per (post, comment): post columns repeated, posts without comments gone.
 
     Comments are capped before the join, so no post brings more than ``limit``
-    rows to it.  With ``max_posts``, a bound on the number of posts, comments of
-    other posts are dropped at the scan.
+    rows to it.  With ``max_posts``, comments of other posts are dropped before they
+    are ranked; Spark broadcasts the posts' ids if they prove few.
     """
     if max_posts is not None:
-        wanted = broadcast_if_bounded(posts.select("post_id"), max_posts)
-        comments = comments.join(wanted, "post_id", "left_semi")
+        comments = comments.join(posts.select("post_id"), "post_id", "left_semi")
     rows = posts.join(cap_comments(comments, limit), "post_id", "inner")
     if "post_selftext" in posts.columns:
         rows = rows.withColumn("post_selftext", F.coalesce("post_selftext", F.lit("")))
@@ -171,20 +193,24 @@ def attach_post_scores(
 ) -> DataFrame:
     """Add ``post_score`` from the source table, unless it is there or cannot be.
 
-    The source may repeat a post once per comment.  Its first row in the given
-    order counts, or without one its lowest score.  A post with a huge share of
-    the predictions is salted.
+    The source may repeat a post once per comment.  Its first row in the given order, or
+    else in input order, counts.  A post with a huge share of the predictions is salted.
     """
-    if (
-        "post_score" in predictions.columns
-        or "post_id" not in predictions.columns
-        or not {"post_id", "post_score"} <= set(posts.columns)
-    ):
+    if not _can_attach(predictions, posts):
         return predictions
-    score = F.min_by("post_score", F.struct(*order_by)) if order_by else F.min("post_score")
-    scores = (
-        posts.where(F.col("post_id").isNotNull())
-        .groupBy("post_id")
-        .agg(score.alias("post_score"))
+    return join_unique(predictions, post_scores(posts, order_by), "post_id", spread_by="comment_id")
+
+
+def _can_attach(predictions: DataFrame, posts: DataFrame) -> bool:
+    return (
+        "post_score" not in predictions.columns
+        and "post_id" in predictions.columns
+        and {"post_id", "post_score"} <= set(posts.columns)
     )
-    return join_unique(predictions, scores, "post_id", spread_by="comment_id")
+
+
+def post_scores(posts: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
+    """``(post_id, post_score)``: the score in each post's first row."""
+    score = first_value("post_score", input_order(posts, order_by))
+    known = posts.where(F.col("post_id").isNotNull())
+    return known.groupBy("post_id").agg(score.alias("post_score"))

@@ -19,6 +19,7 @@ from palaver.functions.labels import (
     prompt,
     sentiment_of,
 )
+from palaver.operators.common import value_counts
 from palaver.operators.skew import ROWS_PER_TASK, join_unique
 
 CACHE = T.StructType(
@@ -211,6 +212,8 @@ def score_with_cache(
 ) -> DataFrame:
     """Label every row, asking the model only about texts it has not answered yet.
 
+    Texts are fetched for unanswered questions alone; answers are joined by digest.
+
     New answers are appended to the cache before use.  A later run, or a repeated
     one, reads them back instead of asking again.
     """
@@ -222,5 +225,6 @@ def score_with_cache(
     append_cache(
         ask(misses, factory, batch_size).withColumn("model_key", F.lit(model)), cache_path
     )
-    hits, _ = split_by_cache(texts, read_cache(spark, cache_path), model)
-    return attach_answers(df, text, hits, spread_by)
+    counts = value_counts(df.select(digest(F.col(text)).alias("text_sha256")), "text_sha256")
+    answers, _ = split_by_cache(counts, read_cache(spark, cache_path), model)
+    return attach_answers(df, text, answers, spread_by)

@@ -36,13 +36,12 @@ def join_unique(
     Rows without a key match nothing and are spread likewise; all other keys join as
     usual.  ``counts`` is ``(key, copies)`` when the caller
     has already counted the left keys; otherwise one narrow count is planned.
-    The hot-key table is broadcast because its size is bounded by design.
+    The hot-key table is small; whether to broadcast it is left to Spark, which knows
+    its size.
     """
     if counts is None:
         counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
-    hot = F.broadcast(
-        hot_keys(counts.where(F.col(key).isNotNull()), key, "copies", rows_per_task)
-    )
+    hot = hot_keys(counts.where(F.col(key).isNotNull()), key, "copies", rows_per_task)
     salts = F.coalesce("_salts", F.lit(1))
     spread = F.when(F.col(key).isNull(), F.lit(KEYLESS_SALTS)).otherwise(salts)
     salted_left = (

@@ -8,24 +8,26 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import SparkContext
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import (
-    CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
-    IDF,
     NGram,
     Normalizer,
     RegexTokenizer,
     SQLTransformer,
 )
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from palaver.fixed import EMOTIONS, MODELS, THRESHOLD, WORD_SET
-from palaver.operators.evaluation import benchmark_summary
+from palaver.functions.text import adjacent_pairs
+from palaver.operators.common import single, top
+from palaver.operators.evaluation import align, benchmark_summary
 
 MAX_FEATURES = 50_000
 MIN_DOCUMENTS = 2
@@ -34,13 +36,56 @@ TOLERANCE = 1e-4
 ROWS_PER_FIT_TASK = 5_000
 
 
+def grams_of(text: Column) -> Column:
+    """Lower-cased words of two letters or more, then neighbouring pairs of them."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD_SET}]{{2,}}"), F.lit(0))
+    return F.concat(words, F.array_compact(adjacent_pairs(words)))
+
+
+def tfidf_weights(
+    examples: DataFrame,
+    text: str = "text",
+    max_features: int = MAX_FEATURES,
+    min_documents: int = MIN_DOCUMENTS,
+) -> DataFrame:
+    """``(term, df, tf, idf)`` of the terms that count, from one pass over the texts.
+
+    Terms of at least ``min_documents`` texts, the ``max_features`` most frequent of them,
+    ties by term; ``idf`` is ln((n+1)/(df+1)) + 1.  A text's terms are sorted in place, so
+    that the first of each is marked there and one aggregate counts both ways.
+    """
+    listed = F.array_sort(grams_of(F.col(text)))
+    marked = F.transform(
+        F.col("_grams"),
+        lambda term, i: F.struct(
+            term.alias("term"),
+            ((i == 0) | (term != F.get("_grams", i - 1))).cast("bigint").alias("first"),
+        ),
+    )
+    rows = examples.select(listed.alias("_grams")).select(F.inline(marked))
+    counted = rows.groupBy("term").agg(
+        F.sum("first").alias("df"), F.count(F.lit(1)).alias("tf")
+    )
+    n = single(examples.agg(F.count(F.lit(1))))
+    kept = top(
+        counted.where(F.col("df") >= min_documents), max_features, F.desc("tf"), F.asc("term")
+    )
+    return kept.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1)
+
+
 def fit_tfidf(
     examples: DataFrame,
     text: str = "text",
     max_features: int = MAX_FEATURES,
     min_documents: int = MIN_DOCUMENTS,
 ) -> PipelineModel:
-    """Words and word pairs, weighted tf * (ln((n+1)/(df+1)) + 1), rows of unit length."""
+    """Words and word pairs, weighted tf * (ln((n+1)/(df+1)) + 1), rows of unit length.
+
+    The vocabulary, at most ``max_features`` terms, is all that reaches the driver.
+    """
+    terms = tfidf_weights(examples, text, max_features, min_documents).collect()
+    if not terms:
+        raise ValueError("no term occurs in enough texts")
     words = RegexTokenizer(
         inputCol=text,
         outputCol="_words",
@@ -52,23 +97,16 @@ def fit_tfidf(
     grams = SQLTransformer(
         statement="SELECT *, concat(_words, _pairs) AS _grams FROM __THIS__"
     )
-    counts = CountVectorizer(
-        inputCol="_grams",
-        outputCol="_counts",
-        vocabSize=max_features,
-        minDF=float(min_documents),
+    counts = CountVectorizerModel.from_vocabulary(
+        [row.term for row in terms], inputCol="_grams", outputCol="_counts"
     )
-    idf = IDF(inputCol="_counts", outputCol="_idf")
-    counting = Pipeline(stages=[words, pairs, grams, counts, idf]).fit(examples)
-    weights = Vectors.dense(counting.stages[-1].idf.toArray() + 1.0)
+    weights = Vectors.dense([row.idf for row in terms])
     weighted = ElementwiseProduct(scalingVec=weights, inputCol="_counts", outputCol="_weighted")
     unit = Normalizer(p=2.0, inputCol="_weighted", outputCol="features")
     tidy = SQLTransformer(
-        statement=(
-            "SELECT * EXCEPT (_words, _pairs, _grams, _counts, _weighted) FROM __THIS__"
-        )
+        statement="SELECT * EXCEPT (_words, _pairs, _grams, _counts, _weighted) FROM __THIS__"
     )
-    return PipelineModel([*counting.stages[:-1], weighted, unit, tidy])
+    return PipelineModel([words, pairs, grams, counts, weighted, unit, tidy])
 
 
 @dataclass(frozen=True)
@@ -164,6 +202,44 @@ def fit_label_models(
     return LabelModels(features, dict(zip(vocabulary, fitted)))
 
 
+def optimality(
+    fitted: LabelModels, examples: DataFrame, labels: str = "labels", c: float = 1.0
+) -> DataFrame:
+    """``(label, n, positives, constant, gradient)`` of models on the rows they were fitted on.
+
+    ``gradient`` is the norm of the penalised loss's gradient, 0 for a constant model; near 0
+    the fit is optimal.  Features are unpacked to arrays, so this is meant for small
+    vocabularies.
+    """
+    rows = fitted.features.transform(examples).select("features", labels)
+    n = rows.count()
+    out = None
+    for name, model in fitted.models.items():
+        truth = F.array_contains(labels, name).cast("double")
+        head = rows.agg(
+            F.lit(name).alias("label"),
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.array_contains(labels, name)).alias("positives"),
+            F.lit(isinstance(model, bool)).alias("constant"),
+        )
+        norm = F.lit(0.0)
+        if not isinstance(model, bool):
+            judged = model.transform(rows.withColumn("_truth", truth))
+            error = F.get(vector_to_array("probability"), F.lit(1)) - F.col("_truth")
+            cells = judged.select(
+                error.alias("error"),
+                F.posexplode(F.concat(vector_to_array("features"), F.array(F.lit(1.0)))),
+            )
+            # The last cell is the intercept, which carries no penalty.
+            weights = F.lit([*map(float, model.coefficients.toArray()), 0.0])
+            slopes = cells.groupBy("pos").agg((F.sum(F.col("error") * F.col("col")) / n).alias("s"))
+            penalty = F.get(weights, F.col("pos")) / (c * n)
+            norm = single(slopes.agg(F.sqrt(F.sum((F.col("s") + penalty) ** 2))))
+        row = head.withColumn("gradient", norm)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # A runner takes (train, test) and returns test rows as (id, predicted).
 Runner = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -200,6 +276,17 @@ def run_models(
     predictions = tables[0]
     for table in tables[1:]:
         predictions = predictions.unionByName(table)
-    truth = test.select("id", F.col("labels").alias("truth"))
+    judged = with_truth(predictions, test, list(runners))
     runtimes = spark.createDataFrame(seconds, "model string, runtime_sec double")
-    return predictions, benchmark_summary(predictions.join(truth, "id"), runtimes)
+    return predictions, benchmark_summary(judged, runtimes)
+
+
+def with_truth(predictions: DataFrame, test: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Predictions of several models with the labels of their examples.
+
+    Every model of the list must answer every example once; anything else raises, so that
+    an incomplete run cannot pass for a good one.
+    """
+    named = F.explode(F.array(*[F.lit(m) for m in models])).alias("model")
+    truth = test.select("id", F.col("labels").alias("truth"), named)
+    return align(truth, predictions, ["model", "id"])

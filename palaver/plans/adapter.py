@@ -30,7 +30,11 @@ RULES = {
         "case doc_id % 4 when 0 then 'image' when 1 then 'rich:video' "
         "when 2 then 'hosted:video' else 'link' end"
     ),
-    "post_score": "cast(floor(post_price / 100) as bigint)",
+    # Comments of a post disagree on its score, and some do not know it.
+    "post_score": (
+        "case when doc_id % 13 = 3 then null "
+        "else cast(floor(post_price / 100) as bigint) + doc_id % 3 end"
+    ),
     "post_created_at": "post_at",
     "comment_created_at": "comment_at",
     "comment_score": (
@@ -168,6 +172,11 @@ def evaluation_rows(comments: DataFrame) -> DataFrame:
     )
 
 
+def guesses(shift_every: int | None) -> Column:
+    """A toy model's labels of a ``doc_id``."""
+    return _labels(shift_every, odd=True)
+
+
 def truth_and_prediction(comments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same as two tables, for one model."""
     ids = F.col("doc_id").alias("id")

@@ -20,9 +20,10 @@ from palaver.operators import scoring as S
 from palaver.operators import terms as T
 from palaver.operators import training as M
 from palaver.plans import adapter, toys
+from palaver.plans.jobs import benchmark
 from palaver.session import shared_folder
 from palaver.sources.comments import read_comments_csv
-from palaver.sources.examples import prepare_examples
+from palaver.sources.examples import load_splits, prepare_examples
 from palaver.sources.predictions import read_predictions_csv
 from palaver.sources.sinks import export_csv, list_runs, read_run, write_run
 
@@ -36,6 +37,19 @@ WEEKLY_TARGET = 502
 PERIOD = (datetime(2024, 1, 1), datetime(2024, 1, 31))
 EVENT_HINTS = ("view", "click")
 SCORE_THRESHOLD = 0.05
+# Custom keyword patterns: label, pattern, and the same in RE2 over spelled-out sets.
+PATTERNS = (
+    ("two marks", r"\W\W", "[^{W}][^{W}]"),
+    ("number end", r"\d+\D", r"\p{{Nd}}+\P{{Nd}}"),
+    ("long run", r"\S{12,}", "[^{WS}]{{12,}}"),
+    ("optional edge", r"\b?the", "(?i)the"),
+)
+TERMS = 400
+TEST_SAMPLES = 100
+OPTIMAL_TERMS = 100
+WIDE = ("joy", "anger", "pride", "fear")
+# One sampled row has no id.
+NO_ID = "c42"
 
 
 def query(function: Query) -> Query:
@@ -124,6 +138,10 @@ on_clean(T.bigram_frequencies, "bigram_frequencies")
 on_clean(T.emoji_frequencies, "emoji_frequencies")
 on_clean(lambda df: T.comments_containing_term(df, TERM), "comments_containing_term")
 on_clean(T.keyword_frequencies, "keyword_frequencies")
+on_clean(
+    lambda df: T.keyword_frequencies(df, [(label, java) for label, java, _ in PATTERNS]),
+    "keyword_frequencies_custom",
+)
 on_clean(T.lexicon_word_counts, "lexicon_word_counts")
 on_clean(T.lexicon_summary, "lexicon_summary")
 
@@ -140,6 +158,10 @@ on_predictions(
 )
 on_predictions(P.emotion_cooccurrence, "emotion_cooccurrence")
 on_predictions(P.emotion_cooccurrence_matrix, "emotion_cooccurrence_matrix")
+on_predictions(
+    lambda df: P.matrix_wide(P.emotion_cooccurrence_matrix(df, len(L.EMOTIONS) + 1), WIDE),
+    "cooccurrence_wide",
+)
 on_predictions(P.labels_per_comment, "labels_per_comment")
 on_predictions(
     lambda df: P.with_percent(P.sentiment_distribution(df), 1), "sentiment_distribution"
@@ -155,8 +177,15 @@ on_predictions(P.score_spread_by_sentiment, "score_spread_by_sentiment")
 def avg_post_score_by_sentiment(spark, sf_dir):
     comments = cleaned(spark, sf_dir)
     scored = adapter.predictions(comments).drop("post_score")
-    posts = adapter.raw_comments(spark, sf_dir).select("post_id", "post_score")
-    return P.avg_post_score_by_sentiment(G.attach_post_scores(scored, posts))
+    posts = adapter.raw_comments(spark, sf_dir).select("post_id", "post_score", "ingest_order")
+    return P.avg_post_score_by_sentiment(scored, posts)
+
+
+@query
+def attached_post_scores(spark, sf_dir):
+    scored = predicted(spark, sf_dir).drop("post_score")
+    posts = adapter.raw_comments(spark, sf_dir).select("post_id", "post_score", "ingest_order")
+    return G.attach_post_scores(scored, posts).select("comment_id", "post_id", "post_score")
 
 
 @query
@@ -190,9 +219,50 @@ def index_labels_to_names(spark, sf_dir):
     return prepare_examples(rows).select("id", "text", L.encode(F.col("labels")).alias("labels"))
 
 
+@query
+def label_indices(spark, sf_dir):
+    rows = predicted(spark, sf_dir)
+    indices = F.transform(L.indices_of(F.col("emotions")), lambda i: i.cast("string"))
+    return rows.select("comment_id", F.array_join(indices, "|").alias("indices"))
+
+
+def _examples(spark, sf_dir) -> DataFrame:
+    """Documents as benchmark examples with label indices."""
+    documents = adapter.table(spark, sf_dir, "documents")
+    truth, _ = adapter.truth_and_prediction(documents)
+    texts = documents.select(F.col("doc_id").alias("id"), "text")
+    indices = F.transform(L.indices_of(F.col("truth")), lambda i: i.cast("int"))
+    return texts.join(truth, "id").select("id", "text", indices.alias("labels"))
+
+
+def _write_splits(spark, sf_dir) -> tuple[str, str]:
+    """Train and test examples as JSON lines; every third is a test example."""
+    root = shared_folder(spark, "examples")
+    paths = f"{root}/train.jsonl", f"{root}/test.jsonl"
+    rows, is_test = _examples(spark, sf_dir), F.col("id") % 3 == 0
+    for path, part in zip(paths, (rows.where(~is_test), rows.where(is_test)), strict=True):
+        part.write.json(path)
+    return paths
+
+
+@query
+def example_splits(spark, sf_dir):
+    train, test = load_splits(spark, *_write_splits(spark, sf_dir), max_test_samples=TEST_SAMPLES)
+    both = train.withColumn("split", F.lit("train")).unionByName(
+        test.withColumn("split", F.lit("test"))
+    )
+    return both.select("split", "id", "text", L.encode(F.col("labels")).alias("labels"))
+
+
 @query
 def threshold_decode(spark, sf_dir):
-    scores = F.transform(F.slice("embedding", 1, 28), lambda x: x.cast("double"))
+    # All values count: score i is the sum of the values at i, i + 28, i + 56.
+    value = F.transform("embedding", lambda x: x.cast("double"))
+
+    def at(i):
+        return F.coalesce(F.get(value, i), F.lit(0.0))
+
+    scores = F.transform(F.sequence(F.lit(0), F.lit(27)), lambda i: at(i) + at(i + 28) + at(i + 56))
     labels = L.above_threshold(scores, threshold=SCORE_THRESHOLD)
     return adapter.table(spark, sf_dir, "embeddings").select(
         "vec_id", L.encode(labels).alias("labels")
@@ -281,14 +351,18 @@ def cap_comments_per_post(spark, sf_dir):
 
 @query
 def seeded_sample(spark, sf_dir):
-    return G.seeded_sample(cleaned(spark, sf_dir), "comment_id", SAMPLE).select(
+    rows = cleaned(spark, sf_dir).withColumn("comment_id", F.nullif("comment_id", F.lit(NO_ID)))
+    return G.seeded_sample(rows, "comment_id", SAMPLE).select(
         "comment_id", "comment_body"
     )
 
 
 @query
 def scatter_points(spark, sf_dir):
-    rows = G.scatter_points(predicted(spark, sf_dir), max_points=SAMPLE)
+    rows = predicted(spark, sf_dir).withColumn(
+        "comment_id", F.nullif("comment_id", F.lit(NO_ID))
+    )
+    rows = G.scatter_points(rows, max_points=SAMPLE)
     return rows.select("comment_id", "post_score", "predicted_sentiment")
 
 
@@ -369,6 +443,65 @@ def tfidf_logreg(spark, sf_dir):
     return E.emotion_labels(judged.select("id", "truth", "predicted"), vocabulary)
 
 
+def _train_rows(spark, sf_dir) -> DataFrame:
+    documents = adapter.table(spark, sf_dir, "documents").select("doc_id", "text")
+    marks = adapter.table(spark, sf_dir, "labels")
+    names = F.array_compact(
+        F.array(
+            F.when(F.col("quality") == 1, "quality"),
+            F.when(F.col("toxic") == 1, "toxic"),
+            F.lit("every"),
+        )
+    )
+    return documents.join(marks, "doc_id").select("text", names.alias("labels"))
+
+
+@query
+def tfidf_weights(spark, sf_dir):
+    rows = M.tfidf_weights(adapter.table(spark, sf_dir, "documents"), max_features=TERMS)
+    return rows.withColumn("idf", F.round("idf", 9))
+
+
+@query
+def logreg_optimality(spark, sf_dir):
+    rows = _train_rows(spark, sf_dir)
+    fitted = M.fit_label_models(rows, ("quality", "toxic", "every", "none"), max_features=OPTIMAL_TERMS)
+    judged = M.optimality(fitted, rows)
+    return judged.withColumn("optimal", F.col("gradient") < 1e-3).drop("gradient")
+
+
+@query
+def benchmark_job(spark, sf_dir):
+    """Both toy models through the whole benchmark job; the written summary, read back."""
+
+    def answers(shift_every):
+        def run(train, test):
+            labelled = test.select("id", F.col("id").alias("doc_id"))
+            return labelled.select("id", adapter.guesses(shift_every).alias("predicted"))
+
+        return run
+
+    runners = {"roberta_samlowe": answers(None), "bert_monologg": answers(5)}
+    root = shared_folder(spark, "benchmark")
+    summary = benchmark(spark, runners, *_write_splits(spark, sf_dir), root, run_id="run")
+    written = spark.read.csv(f"{root}/run/benchmark_summary", header=True, schema=summary.schema)
+    return written.drop("runtime_sec")
+
+
+@query
+def stored_cache(spark, sf_dir):
+    """The second run finds all answers of the first; nothing is stored twice."""
+    path = shared_folder(spark, "cache")
+    documents = adapter.table(spark, sf_dir, "documents").select("doc_id", "text")
+    for rows in (documents.where(F.col("doc_id") % 2 == 0), documents):
+        S.score_with_cache(rows, "text", "toy", toys.parity_replies, path, "doc_id")
+    labelled = S.score_with_cache(documents, "text", "toy", toys.parity_replies, path, "doc_id")
+    stored = spark.read.parquet(path).agg(F.count(F.lit(1))).scalar()
+    return labelled.select(
+        "doc_id", L.encode(F.col("emotions")).alias("labels"), stored.alias("answers_stored")
+    )
+
+
 # --- sources and sinks ---------------------------------------------------------
 
 

@@ -18,7 +18,7 @@ from palaver.operators.evaluation import (
 )
 from palaver.operators.sampling import first_rows
 from palaver.operators.scoring import PredictorFactory, model_label, score_comments
-from palaver.operators.training import Runner, run_models
+from palaver.operators.training import Runner, run_models, with_truth
 from palaver.sources.comments import read_comments_csv, read_comments_parquet
 from palaver.sources.examples import load_splits
 from palaver.sources.sinks import read_run, write_benchmark, write_evaluation, write_run
@@ -45,7 +45,7 @@ def score_dataset(
     """Read, clean, score and store a comment table; returns the stored predictions.
 
     ``dataset`` is a CSV path when it ends in ``.csv``, else Parquet.  Nothing left
-    after cleaning is an error.
+    after cleaning is an error, raised before a record of the run is written.
     """
     label = model_label(model_key, "transformer")
     read: Callable = read_comments_csv if dataset.endswith(".csv") else read_comments_parquet
@@ -74,10 +74,21 @@ def benchmark(
     train, test = load_splits(spark, train_path, test_path, max_test_samples)
     folder = f"{output.rstrip('/')}/{run_id or format(datetime.now(), '%Y%m%d_%H%M%S')}"
     predictions, summary = run_models(runners, train, test, f"{folder}/predictions")
-    truth = test.select("id", F.col("labels").alias("truth"))
-    for key in runners:
-        rows = predictions.where(F.col("model") == key).join(truth, "id")
-        write_evaluation(folder, key, "emotions", evaluate_emotions(rows), emotion_labels(rows))
-        write_evaluation(folder, key, "sentiment", evaluate_sentiment(rows), sentiment_labels(rows))
+    rows = with_truth(predictions, test, list(runners)).persist()
+    try:
+        tables = {
+            "emotions": (evaluate_emotions(rows, by=["model"]), emotion_labels(rows, by=["model"])),
+            "sentiment": (evaluate_sentiment(rows, ["model"]), sentiment_labels(rows, ["model"])),
+        }
+        for task, (metrics, per_label) in tables.items():
+            # All models are evaluated together; what is written per model is small.
+            metrics, per_label = metrics.persist(), per_label.persist()
+            for key in runners:
+                own = [t.where(F.col("model") == key).drop("model") for t in (metrics, per_label)]
+                write_evaluation(folder, key, task, *own)
+            metrics.unpersist()
+            per_label.unpersist()
+    finally:
+        rows.unpersist()
     write_benchmark(folder, summary)
     return summary

@@ -12,10 +12,15 @@ from palaver.plans.catalogue import (
     EVENT_HINTS,
     MIN_LENGTH,
     PERIOD,
+    NO_ID,
+    PATTERNS,
     SAMPLE,
     SCORE_THRESHOLD,
     TERM,
+    TERMS as TERM_LIMIT,
+    TEST_SAMPLES,
     WEEKLY_TARGET,
+    WIDE,
 )
 from palaver.plans.toys import CHARACTERS, GAIN
 
@@ -229,6 +234,12 @@ def lexicon() -> str:
     return f"(values {', '.join(rows)}) l(word, polarity)"
 
 
+# A post's first row decides, known or not.
+FIRST_SCORES = """
+first_scores as (
+  select post_id, post_score as score from raw
+  qualify row_number() over (partition by post_id order by ingest_order) = 1
+)"""
 MONTH = "strftime(comment_created_at, '%Y-%m')"
 PROMPT_HEAD = quote(fixed.PROMPT_HEAD + ", ".join(fixed.EMOTIONS) + fixed.PROMPT_TAIL)
 GROUP = (
@@ -300,6 +311,27 @@ def with_(ctes: str, body: str) -> str:
     return f"with {ctes.strip().lstrip(',')}\n{body}"
 
 
+def summary_of(judged: str) -> str:
+    """The benchmark summary of a CTE ``judged``."""
+    return with_(
+        f"{judged}, {SENTIMENT_JUDGED}, {confusion('judged', EMO)}, {OVERLAP}, "
+        + confusion("judged3", SENTIMENTS)
+        .replace("vocabulary", "vocabulary3")
+        .replace("cells", "cells3")
+        .replace("pooled", "pooled3"),
+        """select model, e.model_label, round(e.macro_f1, 4) as emotion_macro_f1,
+  round(e.micro_f1, 4) as emotion_micro_f1, round(s.accuracy, 4) as emotion_subset_accuracy,
+  round(s.at_least_one_match, 4) as emotion_at_least_one_match,
+  round(s.mean_jaccard, 4) as emotion_mean_jaccard,
+  round(cast(e.wrong as double) / (s.n * 28), 4) as emotion_hamming_loss,
+  round(t.macro_f1, 4) as sentiment_macro_f1, round(t.micro_f1, 4) as sentiment_micro_f1,
+  round(a.accuracy, 4) as sentiment_accuracy
+from pooled e join setwise s using (model) join pooled3 t using (model)
+join (select model, avg(case when truth = guess then 1.0 else 0.0 end) as accuracy
+      from judged3 group by model) a using (model)""",
+    )
+
+
 ORACLE: dict[str, str] = {
     "clean_comments": with_(CLEAN, "select * exclude (ingest_order, doc_id) from cleaned"),
     "clean_min_length": with_(
@@ -382,12 +414,14 @@ from (select unnest(range(0, 40)) as i) b, limits""",
     ),
     "post_stats": with_(
         CLEAN,
-        "select post_id, max(post_score) as post_score, count(comment_id) as comments "
+        "select post_id, first(post_score order by ingest_order) "
+        "filter (where post_score is not null) as post_score, count(comment_id) as comments "
         "from cleaned group by 1",
     ),
     "top_posts": with_(
         CLEAN,
-        "select post_id, post_title, count(comment_id) as comments, max(post_score) as post_score "
+        "select post_id, post_title, count(comment_id) as comments, "
+        "first(post_score order by ingest_order) filter (where post_score is not null) as post_score "
         "from cleaned group by 1, 2 order by comments desc, post_id limit 10",
     ),
     "word_frequencies": with_(
@@ -563,10 +597,16 @@ from predicted where comment_score > -100 and comment_score <= 1000 group by 1""
         "from predicted where comment_score is not null group by 1",
     ),
     "avg_post_score_by_sentiment": with_(
-        PREDICTED,
-        "select predicted_sentiment, avg(post_score) as mean_post_score, "
-        "cast(median(post_score) as double) as median_post_score, "
-        "count(post_score) as comments from predicted group by 1",
+        f"{PREDICTED}, {FIRST_SCORES}",
+        "select predicted_sentiment, avg(s.score) as mean_post_score, "
+        "cast(median(s.score) as double) as median_post_score, "
+        "count(s.score) as comments from predicted left join first_scores s using (post_id) "
+        "group by 1",
+    ),
+    "attached_post_scores": with_(
+        f"{PREDICTED}, {FIRST_SCORES}",
+        "select comment_id, post_id, s.score as post_score "
+        "from predicted left join first_scores s using (post_id)",
     ),
     "filter_predictions": with_(
         PREDICTED,
@@ -588,7 +628,9 @@ from predicted where comment_score > -100 and comment_score <= 1000 group by 1""
     ),
     "threshold_decode": (
         f"select vec_id, array_to_string([{EMO}[i] for i in range(1, 29) "
-        f"if cast(embedding[i] as double) >= cast({SCORE_THRESHOLD} as double)], '|') as labels "
+        "if coalesce(cast(embedding[i] as double), 0) + coalesce(cast(embedding[i + 28] as double), 0) "
+        "+ coalesce(cast(embedding[i + 56] as double), 0) "
+        f">= cast({SCORE_THRESHOLD} as double)], '|') as labels "
         "from embeddings"
     ),
     "parse_model_replies": with_(
@@ -666,22 +708,17 @@ from pooled join setwise using (model) where model = 'model_a'""",
     as accuracy
 from pooled where model = 'model_a'""",
     ),
-    "benchmark_summary": with_(
-        f"{EVALUATED}, {SENTIMENT_JUDGED}, {confusion('judged', EMO)}, {OVERLAP}, "
-        + confusion("judged3", SENTIMENTS)
-        .replace("vocabulary", "vocabulary3")
-        .replace("cells", "cells3")
-        .replace("pooled", "pooled3"),
-        """select model, e.model_label, round(e.macro_f1, 4) as emotion_macro_f1,
-  round(e.micro_f1, 4) as emotion_micro_f1, round(s.accuracy, 4) as emotion_subset_accuracy,
-  round(s.at_least_one_match, 4) as emotion_at_least_one_match,
-  round(s.mean_jaccard, 4) as emotion_mean_jaccard,
-  round(cast(e.wrong as double) / (s.n * 28), 4) as emotion_hamming_loss,
-  round(t.macro_f1, 4) as sentiment_macro_f1, round(t.micro_f1, 4) as sentiment_micro_f1,
-  round(a.accuracy, 4) as sentiment_accuracy
-from pooled e join setwise s using (model) join pooled3 t using (model)
-join (select model, avg(case when truth = guess then 1.0 else 0.0 end) as accuracy
-      from judged3 group by model) a using (model)""",
+    "benchmark_summary": summary_of(EVALUATED),
+    "benchmark_job": summary_of(
+        f"""
+judged as (
+  select 'roberta_samlowe' as model, 'RoBERTa (SamLowe)' as model_label, doc_id as id,
+         {labels(4, False)} as truth, {labels(None, True)} as guess
+  from documents where doc_id % 3 = 0
+  union all
+  select 'bert_monologg', 'BERT (monologg)', doc_id, {labels(4, False)}, {labels(5, True)}
+  from documents where doc_id % 3 = 0
+)"""
     ),
     "weekly_quota_sample": f"""with placed as (
   select cast(date_diff('day', timestamp '{_START}', date_trunc('day', ts)) // 7 as integer) as week,
@@ -704,14 +741,16 @@ select p.conv_id as post_id, p.role as post_title, c.turn as comment_id,
 from conversations p join capped c on c.conv_id = p.conv_id where p.turn = 0""",
     "seeded_sample": with_(
         CLEAN,
-        f"select comment_id, comment_body from cleaned "
-        f"order by md5(comment_id || '{fixed.SEED}'), comment_id limit {SAMPLE}",
+        f"select nullif(comment_id, '{NO_ID}') as comment_id, comment_body from cleaned "
+        f"order by md5(coalesce(nullif(comment_id, '{NO_ID}'), '') || '{fixed.SEED}'), 1 "
+        f"limit {SAMPLE}",
     ),
     "scatter_points": with_(
         PREDICTED,
-        "select comment_id, post_score, predicted_sentiment from predicted "
-        "where post_score is not null and predicted_sentiment is not null "
-        f"order by md5(comment_id || '{fixed.SEED}'), comment_id limit {SAMPLE}",
+        f"select nullif(comment_id, '{NO_ID}') as comment_id, post_score, predicted_sentiment "
+        "from predicted where post_score is not null and predicted_sentiment is not null "
+        f"order by md5(coalesce(nullif(comment_id, '{NO_ID}'), '') || '{fixed.SEED}'), 1 "
+        f"limit {SAMPLE}",
     ),
     "first_comments": with_(
         CLEAN, f"select comment_id from cleaned order by comment_id limit {SAMPLE}"
@@ -729,6 +768,68 @@ from scored""",
         CACHED,
         "select doc_id, labels from documents d join answers a on a.text_sha256 = sha256(d.text)",
     ),
+    "keyword_frequencies_custom": with_(
+        CLEAN,
+        " union all ".join(
+            f"""select {quote(label)} as keyword, count(*) filter (where n > 0) as comments_with_keyword,
+  cast(sum(n) as bigint) as total_mentions,
+  round(count(*) filter (where n > 0) / count(*) * 100, 2) as pct_comments
+from (select len(regexp_extract_all(comment_body, {quote(pattern.format(W=W, WS=WS))})) as n from cleaned)"""
+            for label, _, pattern in PATTERNS
+        ),
+    ),
+    "cooccurrence_wide": with_(
+        PREDICTED,
+        "select v.emotion, "
+        + ", ".join(
+            f"count(h.comment_id) filter (where list_contains(p.emotions, '{e}')) as {e}"
+            for e in WIDE
+        )
+        + f" from (select unnest({EMO + ' || [' + repr('weird') + ']'}) as emotion) v "
+        "left join hits h using (emotion) left join predicted p using (comment_id) "
+        "group by 1 having count(h.comment_id) > 0",
+    ),
+    "label_indices": with_(
+        PREDICTED,
+        f"select comment_id, array_to_string([list_position({EMO}, e) - 1 for e in emotions "
+        f"if list_contains({EMO}, e)], '|') as indices from predicted",
+    ),
+    "example_splits": f"""with examples as (
+  select doc_id as id, {strip('text')} as text,
+         array_to_string({labels(4, False)}, '|') as labels
+  from documents
+)
+select 'train' as split, * from examples where id % 3 <> 0
+union all
+select * from (
+  select 'test' as split, * from examples where id % 3 = 0
+  order by md5(id || '{fixed.SEED}'), id limit {TEST_SAMPLES}
+)""",
+    "stored_cache": f"""select doc_id,
+  case when length({PROMPT_HEAD} || text) % 2 = 0 then 'joy' else 'anger' end as labels,
+  (select count(distinct text) from documents) as answers_stored
+from documents""",
+    "tfidf_weights": f"""with tokens as (
+  select doc_id, regexp_extract_all(lower(text), '[{W}]{{2,}}') as t from documents
+), grams as (
+  select doc_id, unnest(t) as term from tokens
+  union all
+  select doc_id, unnest([t[i] || ' ' || t[i + 1] for i in range(1, len(t))]) from tokens
+), counted as (
+  select term, count(distinct doc_id) as df, count(*) as tf from grams group by term
+)
+select term, df, tf, round(ln(((select count(*) from documents) + 1) / (df + 1)) + 1, 9) as idf
+from counted where df >= 2 order by tf desc, term limit {TERM_LIMIT}""",
+    "logreg_optimality": """with rows as (
+  select quality = 1 as quality, toxic = 1 as toxic, true as every, false as none
+  from documents join labels using (doc_id)
+), named as (
+  select unnest(['quality', 'toxic', 'every', 'none']) as label,
+         unnest([quality, toxic, every, none]) as hit from rows
+)
+select label, count(*) as n, count(*) filter (where hit) as positives,
+  count(*) filter (where hit) in (0, count(*)) as constant, true as optimal
+from named group by label""",
     "csv_round_trip": with_(RAW, "select * exclude (doc_id, ingest_order) from raw"),
     "predictions_round_trip": with_(
         f"{TOY}, found as (select comment_id, unnest(emotions) as emotion from scored)",

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -38,12 +37,9 @@ def build_session(app: str = "palaver", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name below the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only a local session that
-    names none falls back to the machine's temporary folder.
+    The folder comes from ``spark.checkpoint.dir``.  A session that names none gets one
+    below its warehouse, which driver and executors share too.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="palaver-")
+    root = root or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")

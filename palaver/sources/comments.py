@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,11 +59,12 @@ def scan_csv(spark: SparkSession, path: str | Sequence[str], known: T.StructType
     """A CSV scan typed by the known schema; an unknown column is text.
 
     Only header names are read from the data, never types.  Whole numbers are read as
-    doubles: writers that promote a column with gaps store 5 as ``5.0``.
+    decimals: writers that promote a column with gaps store 5 as ``5.0``, and no digit of
+    a long number may be lost.
     """
     names = spark.read.options(**CSV_OPTIONS).csv(path).columns
     kinds = {
-        field.name: T.DoubleType() if field.dataType == T.LongType() else field.dataType
+        field.name: T.DecimalType(38, 9) if field.dataType == T.LongType() else field.dataType
         for field in known
     }
     wide = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
@@ -71,9 +72,20 @@ def scan_csv(spark: SparkSession, path: str | Sequence[str], known: T.StructType
 
 
 def whole_numbers(df: DataFrame, known: T.StructType) -> DataFrame:
-    """Cast the columns that the known schema holds as whole numbers."""
+    """Cast the columns that the known schema holds as whole numbers.
+
+    A fraction raises, as does a number beyond 64 bits.
+    """
     longs = {field.name for field in known if field.dataType == T.LongType()}
-    return df.withColumns({n: F.col(n).cast("bigint") for n in df.columns if n in longs})
+
+    def whole(name: str) -> Column:
+        value = F.col(name)
+        message = F.concat(F.lit(f"{name} is not a whole number: "), value.cast("string"))
+        return F.when(value == F.floor(value), F.floor(value).cast("bigint")).when(
+            value.isNotNull(), F.raise_error(message).cast("bigint")
+        )
+
+    return df.withColumns({n: whole(n) for n in df.columns if n in longs})
 
 
 def read_comments_csv(

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import asdict
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,60 +39,63 @@ def write_run(
 ) -> int:
     """Write one run's predictions and its metadata row; returns the rows written.
 
-    Rows are counted while they are written.  Writing an experiment again replaces
-    its predictions, so a failed run can simply be repeated; its newest metadata
-    row is the one that counts.
+    Rows are counted while they are written.  Every attempt has a folder of its own, and
+    the metadata row, written last, names it; the newest row of an experiment counts.  So
+    a repeated run replaces its predecessor at once, and one that fails or has no rows
+    leaves no record and changes nothing that can be read.
     """
     spark = predictions.sparkSession
     seen = Observation()
     started = time.perf_counter()
     counted = predictions.observe(seen, F.count(F.lit(1)).alias("rows"))
-    (
-        counted.withColumn("experiment", F.lit(experiment))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("experiment")
-        .parquet(f"{root}/{PREDICTIONS}")
-    )
+    folder = f"{PREDICTIONS}/experiment={experiment}/attempt={uuid.uuid4().hex}"
+    counted.write.parquet(f"{root}/{folder}")
+    rows = seen.get["rows"]
+    if rows == 0:
+        return 0
     record = (
         experiment,
         datetime.now(timezone.utc).replace(tzinfo=None),
         dataset,
         model_key,
         model_label,
-        seen.get["rows"],
+        rows,
         round(time.perf_counter() - started, 2),
         tuple(asdict(options)[f.name] for f in schema.RUNS["cleaning"].dataType.fields),
         threshold,
-        f"{PREDICTIONS}/experiment={experiment}",
+        folder,
         RUNS,
     )
     spark.createDataFrame([record], schema.RUNS).coalesce(1).write.mode("append").json(
         f"{root}/{RUNS}"
     )
-    return seen.get["rows"]
+    return rows
 
 
 def read_run(spark: SparkSession, root: str, experiment: str) -> DataFrame:
-    """One run's predictions; only its partition is read."""
-    return spark.read.parquet(f"{root}/{PREDICTIONS}").where(F.col("experiment") == experiment)
+    """The predictions of an experiment's newest run; no other run is read."""
+    run = run_metadata(spark, root).where(F.col("experiment") == experiment).first()
+    if run is None:
+        raise ValueError(f"no run of {experiment!r} below {root}")
+    rows = spark.read.parquet(f"{root}/{run['predictions_file']}")
+    return rows.withColumn("experiment", F.lit(experiment))
 
 
 def run_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """The newest metadata row of every run."""
-    runs = spark.read.schema(schema.RUNS).json(f"{root}/{RUNS}")
+    """The newest metadata row of every run; none where nothing has run yet."""
+    try:
+        runs = spark.read.schema(schema.RUNS).json(f"{root}/{RUNS}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        runs = spark.createDataFrame([], schema.RUNS)
     newest = F.max_by(F.struct(*runs.columns), "created_at_utc").alias("run")
     return runs.groupBy(F.col("experiment").alias("_e")).agg(newest).select("run.*")
 
 
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Runs that have predictions, newest first."""
-    present = spark.read.parquet(f"{root}/{PREDICTIONS}").select("experiment").distinct()
-    return (
-        run_metadata(spark, root)
-        .join(present, "experiment", "left_semi")
-        .orderBy(F.desc("created_at_utc"), "experiment")
-    )
+    """Runs that have predictions, newest first; no prediction file is opened."""
+    return run_metadata(spark, root).orderBy(F.desc("created_at_utc"), "experiment")
 
 
 def write_evaluation(

@@ -7,6 +7,8 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 
 import __spark_entry__ as entry  # noqa: E402
+from palaver.plans.catalogue import QUERIES  # noqa: E402
+from palaver.plans.oracle import ORACLE  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 ROWS_ONLY = {"tfidf_logreg"}
@@ -23,11 +25,12 @@ def sql():
 
 
 def test_all_queries_have_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
+    assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, sql, name):
     df = entry.queries()[name](spark, SF_DIR)
     relation = sql.sql(entry.oracle_sql()[name])

@@ -10,7 +10,10 @@ SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables not present")
 RUNS_A_MODEL = {"score_comments", "cached_answers", "cached_scoring"}
 # These write tables or fit models while the query is built.
-ACTS = {"tfidf_logreg", "csv_round_trip", "predictions_round_trip", "run_registry"}
+ACTS = {
+    "tfidf_logreg", "csv_round_trip", "predictions_round_trip", "run_registry", "logreg_optimality",
+    "benchmark_job", "stored_cache", "example_splits", "cooccurrence_wide",
+}
 
 
 def physical(spark, df):

@@ -269,9 +269,9 @@ def test_alignment(spark):
     same = spark.createDataFrame([(2, ["fear"]), (1, [])], "id int, predicted array<string>")
     got = {r["id"]: (r["truth"], r["predicted"]) for r in E.align(truth, same).collect()}
     assert got == {1: (["joy"], []), 2: ([], ["fear"])}
-    with pytest.raises(Exception, match="do not match at 2"):
+    with pytest.raises(Exception, match="one to one at 2"):
         E.align(truth, same.where("id = 1")).collect()
-    with pytest.raises(Exception, match="do not match at 1"):
+    with pytest.raises(Exception, match="one to one at 1"):
         E.align(truth.where("id = 2"), same).collect()
 
 

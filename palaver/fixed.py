@@ -60,22 +60,26 @@ WEEKDAYS = (
 )
 
 # --- fixed values: stopwords, apostrophes already removed ----------------------
-STOPWORDS = tuple(
-    """
-    a about above after again against aint all also am an and any are arent as
-    at be because been before being below between both but by can cant could
-    couldnt did didnt do does doesnt doing dont down during each even few for
-    from further get gonna gotta had hadnt has hasnt have havent having he her
-    here heres hers herself him himself his how i if im in into is isnt it its
-    itself ive just lets like ll me more most much my myself no nor not now of
-    off ok okay on once one only or other our ours ourselves out over own re
-    really s same she should shouldnt so some still such t than that thats the
-    their theirs them themselves then there theres these they theyd theyll
-    theyre theyve this those through to too under until up us ve very wanna was
-    wasnt we were werent weve what whats when where which while who whom whos
-    why will with wont would wouldnt y yeah you youd youll your youre yours
-    yourself yourselves youve
-    """.split()
+STOPWORDS = (
+    "a", "about", "above", "after", "again", "against", "all", "also", "am", "an",
+    "and", "any", "are", "arent", "as", "at", "be", "because", "been", "before",
+    "being", "below", "between", "both", "but", "by", "can", "cant", "could",
+    "couldnt", "did", "didnt", "do", "does", "doesnt", "doing", "dont", "down",
+    "during", "each", "even", "few", "for", "from", "further", "get", "gonna",
+    "gotta", "had", "hadnt", "has", "hasnt", "have", "havent", "having", "he",
+    "her", "here", "hers", "herself", "him", "himself", "his", "how", "i", "if",
+    "im", "in", "into", "is", "isnt", "it", "its", "itself", "just", "like", "ll",
+    "me", "more", "most", "much", "my", "myself", "no", "nor", "not", "now", "of",
+    "off", "ok", "okay", "on", "once", "one", "only", "or", "other", "our", "ours",
+    "ourselves", "out", "over", "own", "re", "really", "s", "same", "she", "should",
+    "shouldnt", "so", "some", "such", "t", "than", "that", "thats", "the", "their",
+    "theirs", "them", "themselves", "then", "there", "theres", "these", "they",
+    "theyre", "this", "those", "through", "to", "too", "under", "until", "up", "us",
+    "ve", "very", "wanna", "was", "wasnt", "we", "were", "werent", "what", "whats",
+    "when", "where", "which", "while", "who", "whom", "why", "will", "with", "wont",
+    "would", "wouldnt", "y", "yeah", "you", "youd", "youll", "your", "youre",
+    "yours", "yourself", "yourselves", "ive", "youve", "weve", "theyve", "theyll",
+    "theyd", "aint", "lets", "heres", "whos", "still",
 )
 
 # --- fixed values: tracked keywords as (label, regular expression) --------------
@@ -94,19 +98,17 @@ KEYWORDS = (
 )
 
 # --- fixed values: polarity lexicon --------------------------------------------
-POSITIVE_WORDS = tuple(
-    """
-    love amazing beautiful great awesome incredible stunning wow perfect
-    excellent good nice best fantastic brilliant impressive wonderful happy cool
-    thanks thank gorgeous masterpiece favorite favourite enjoy liked helpful
-    """.split()
+POSITIVE_WORDS = (
+    "love", "amazing", "beautiful", "great", "awesome", "incredible", "stunning",
+    "wow", "perfect", "excellent", "good", "nice", "best", "fantastic", "brilliant",
+    "impressive", "wonderful", "happy", "cool", "thanks", "thank", "gorgeous",
+    "masterpiece", "favorite", "favourite", "enjoy", "liked", "helpful",
 )
-NEGATIVE_WORDS = tuple(
-    """
-    hate awful terrible bad ugly worse worst garbage trash stupid disappointing
-    boring creepy unsettling wrong horrible disgusting annoying fake soulless
-    dead lazy bland cheap scam fear worried concern problem issue
-    """.split()
+NEGATIVE_WORDS = (
+    "hate", "awful", "terrible", "bad", "ugly", "worse", "worst", "garbage",
+    "trash", "stupid", "disappointing", "boring", "creepy", "unsettling", "wrong",
+    "horrible", "disgusting", "annoying", "fake", "soulless", "dead", "lazy",
+    "bland", "cheap", "scam", "fear", "worried", "concern", "problem", "issue",
 )
 
 # --- fixed values: regular expressions -----------------------------------------

@@ -53,6 +53,9 @@ RULES = {
         "concat(text, ' see [my label](https://example.com/a) and www.example.org/x now') "
         "when doc_id % 13 = 5 then "
         "concat(text, ' Love great fake midjourney prompt \U0001f600\U0001f600') "
+        # Runs of several lengths, a CJK run, and marks that no emoji range covers.
+        "when doc_id % 17 = 6 then concat(text, ' \U0001f680\U0001f680\U0001f680 "
+        "\u4f60\u597d \U0001f600 \u00a9\u2192 \U0001f680') "
         "else text end"
     ),
 }

@@ -41,6 +41,15 @@ def test_scans_read_only_what_is_used(spark):
     assert "GreaterThanOrEqual(ts" in pushed and "LessThan(ts" in pushed
 
 
+@pytest.mark.parametrize(
+    "name,scans",
+    [("seeded_sample", 1), ("scatter_points", 1), ("avg_post_score_by_sentiment", 2)],
+)
+def test_texts_are_read_no_more_often_than_needed(spark, name, scans):
+    plan = physical(spark, QUERIES[name](spark, SF_DIR))
+    assert sum("FileScan" in line and "text#" in line for line in plan.splitlines()) <= scans
+
+
 def test_funnel_shuffles_no_text(spark):
     df = QUERIES["cleaning_funnel"](spark, SF_DIR)
     df.collect()

@@ -58,8 +58,8 @@ def map_rows(
     """Map Arrow batches in slices of at most ``rows`` rows.
 
     ``make`` runs once per task and returns a function from the slice's columns to
-    column dictionaries.  Slices keep the memory of a task bounded whatever the size of
-    the session's Arrow batches.
+    column dictionaries.  Slices bound the Python objects that a task holds beside the
+    session's Arrow batch.
     """
     target = df.sparkSession.createDataFrame([], schema).schema
 

@@ -25,6 +25,8 @@ HELD_OUT = 5
 # Bound on the documents per language, and on the languages, that the field is fitted on.
 ROWS_PER_LANGUAGE = 300
 LANGUAGES = 200
+# Multiple of the bound that is ranked to find the least hashes.
+RANKED = 4
 
 # Training sequences alternate runs of this many words from documents of all languages, so
 # that transitions between languages are learned too.
@@ -261,23 +263,33 @@ def fit(docs: DataFrame) -> Field:
     """A field fitted on at most ``ROWS_PER_LANGUAGE`` documents of each language.
 
     Of the documents that may be learned from, those with the least hash of id and
-    language are taken, whole, so reruns agree.  Null languages teach nothing.
+    language are taken, whole, so reruns agree.  Only rows whose hash lies in a share of its
+    range that holds several times the bound are ranked, so a language with most of the rows
+    brings no more of them together than any other.  Null languages teach nothing.
     """
     remainder = F.crc32(F.col("doc_id").cast("string")) % HELD_OUT
     labelled = docs.where(F.col("lang").isNotNull() & (remainder != 0))
-    languages = [
-        r.lang
+    sizes = {
+        r.lang: r.n
         for r in labelled.groupBy("lang")
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "lang")
         .limit(LANGUAGES)
         .collect()
-    ]
-    if not languages:
+    }
+    if not sizes:
         return Field([])
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id")
+    languages = list(sizes)
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "lang"), 1)
+    reach = F.coalesce(
+        *[
+            F.when(F.col("lang") == lang, int(2**63 * min(1.0, RANKED * ROWS_PER_LANGUAGE / n)) - 1)
+            for lang, n in sizes.items()
+        ]
+    )
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
     chosen = (
-        labelled.where(F.col("lang").isin(languages))
+        labelled.where(place <= reach)
         .select("doc_id", "lang", F.row_number().over(order).alias("_place"))
         .where(F.col("_place") <= ROWS_PER_LANGUAGE)
         .select("doc_id", "lang")
@@ -286,7 +298,7 @@ def fit(docs: DataFrame) -> Field:
     # The chosen rows are bounded by languages and documents per language.
     sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text")
     bound = ROWS_PER_LANGUAGE * len(languages)
-    rows = sample.orderBy(F.xxhash64("doc_id", "lang"), "doc_id", "text").limit(bound).collect()
+    rows = sample.orderBy(place, "doc_id", "text").limit(bound).collect()
     field = Field(sorted(languages))
     field.fit([(r.text, r.lang) for r in rows])
     return field

@@ -265,16 +265,11 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_row")
     labelled = printed.join(_representatives(printed), "fp")
     kept = labelled.groupBy("_group").agg(F.min(rank).alias("kept"))
-    kept = kept.select(
-        F.col("kept.doc_id").alias("_kept_id"), F.col("kept._row").alias("_kept_row")
-    ).distinct()
-    marked = docs.withColumn("_row", row)
-    matched = marked.join(
-        kept,
-        marked["doc_id"].eqNullSafe(kept["_kept_id"]) & (marked["_row"] == kept["_kept_row"]),
-        "left_semi",
-    )
-    return matched.dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
+    # Structs are equal where their nulls are, and one key serves the join and what follows.
+    kept = kept.select(F.struct("kept.doc_id", "kept._row").alias("_key"))
+    marked = docs.withColumn("_key", F.struct("doc_id", row.alias("_row")))
+    matched = marked.join(kept, "_key", "left_semi")
+    return matched.dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def _representatives(printed: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ WEIGHTS = (1.0, 2.0, 3.0)
 MOST_COPIES = 3
 # Slices of a source: the square root of its rows over this, so that neither a slice nor
 # the table of slices grows in proportion to the data.
-SLICE_FACTOR = 16
+SLICE_FACTOR = 8
 # Most sources whose table is broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 

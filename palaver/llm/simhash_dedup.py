@@ -23,8 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import checkpointed, map_rows
+from palaver.llm.common import checkpointed, map_rows, stored
 from palaver.llm.components import connected_components
+from palaver.llm.similar_texts import BANDS, ROWS, SIMILARITY, signatures, similar_groups
+from palaver.llm.similar_texts import SHINGLE as SIMILAR_SHINGLE
 
 SHINGLE = 3
 SEED = 42
@@ -259,15 +261,32 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
     The one with the least ``doc_id`` stays, null last; ties fall to a hash of the row,
     and of wholly equal rows one stays.
     """
-    row = F.xxhash64(*docs.columns)
-    hashed = docs.select("doc_id", row.alias("_row"), "text")
+    hashed = docs.select("doc_id", F.xxhash64(*docs.columns).alias("_row"), "text")
     printed = checkpointed(fingerprints(hashed, ["doc_id", "_row"]))
+    return _least_of_groups(docs, printed.join(_representatives(printed), "fp"))
+
+
+def keep_one_similar(
+    docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE
+) -> DataFrame:
+    """One document of every group of similar texts, chosen as in ``keep_one_per_group``.
+
+    Texts are linked whose sets of word shingles have at least the Jaccard similarity.
+    """
+    key = ["doc_id", "_row"]
+    hashed = docs.select("doc_id", F.xxhash64(*docs.columns).alias("_row"), "text")
+    printed = stored(signatures(hashed, key, shingle, BANDS, ROWS))
+    groups = similar_groups(hashed, printed, key, similarity, shingle)
+    return _least_of_groups(docs, printed.select(*key, "node").join(groups, "node"))
+
+
+def _least_of_groups(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The document that stays of each ``_group`` of ``(doc_id, _row)``."""
     rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_row")
-    labelled = printed.join(_representatives(printed), "fp")
     kept = labelled.groupBy("_group").agg(F.min(rank).alias("kept"))
     # Structs are equal where their nulls are, and one key serves the join and what follows.
     kept = kept.select(F.struct("kept.doc_id", "kept._row").alias("_key"))
-    marked = docs.withColumn("_key", F.struct("doc_id", row.alias("_row")))
+    marked = docs.withColumn("_key", F.struct("doc_id", F.xxhash64(*docs.columns).alias("_row")))
     matched = marked.join(kept, "_key", "left_semi")
     return matched.dropDuplicates(["_key"]).select(*docs.columns)
 

@@ -35,9 +35,10 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 # into pieces by the library itself.
 AGREED = "\x00-՗ -⁯℀-꜀가-힣豈-�\U0001f000-\U0001faff"
 
-# Pieces remembered per Python worker, and the longest that are.
+# Pieces remembered per Python worker, and the longest that are.  A character has up to four
+# tokens, and a remembered count is one byte.
 REMEMBERED = 500_000
-SHORT = 64
+SHORT = 63
 
 
 def _byte_letters() -> dict[str, int]:

@@ -80,3 +80,10 @@ def test_stored_tables_answer_later_questions(spark, library):
 
 def test_empty_table(spark):
     assert token_budget(spark.createDataFrame([], DOCS), VOCABULARY, 5).count() == 0
+
+
+@pytest.mark.parametrize("letter", ["\U00017000", "\U00012031", "\U00020000"])
+def test_short_piece_with_more_tokens_than_a_byte_holds(library, letter):
+    counts = PrefixCounter(VOCABULARY).counts(letter * 64)
+    assert counts.tolist() == [library(letter * i) for i in range(65)]
+    assert counts[-1] == 256

@@ -15,10 +15,12 @@ from palaver.llm.mixing import mixing_table
 from palaver.llm.quality import quality_table
 from palaver.llm.sharding import shard_table
 from palaver.llm.simhash_dedup import near_duplicates
+from palaver.llm.token_alignment import alignment_table
 from palaver.llm.token_counts import token_budget
 from palaver.llm.url_filter import Rule, filter_urls
 
 VOCABULARY = "byte_bpe_50k.json"
+OTHER_VOCABULARY = "piece_bpe_32k.model"
 TOKEN_LIMIT = 512
 
 SHARDS = 24
@@ -84,6 +86,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_budget(documents(spark, sf_dir), VOCABULARY, TOKEN_LIMIT)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document's tokens in two vocabularies."""
+    return alignment_table(documents(spark, sf_dir), VOCABULARY, OTHER_VOCABULARY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_licence_scan": op2_licence_scan,
@@ -95,4 +102,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
+    "op11_token_alignment": op11_token_alignment,
 }

@@ -12,12 +12,14 @@ from palaver.llm.language_id import identify
 from palaver.llm.licence_scan import licence_table
 from palaver.llm.lm_score import lm_scores
 from palaver.llm.mixing import mixing_table
+from palaver.llm.private_spans import private_table
 from palaver.llm.quality import quality_table
 from palaver.llm.sharding import shard_table
 from palaver.llm.simhash_dedup import near_duplicates
 from palaver.llm.token_alignment import alignment_table
 from palaver.llm.token_counts import token_budget
 from palaver.llm.url_filter import Rule, filter_urls
+from palaver.llm.word_runs import find_runs, planted, run_table
 
 VOCABULARY = "byte_bpe_50k.json"
 OTHER_VOCABULARY = "piece_bpe_32k.model"
@@ -91,6 +93,16 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_table(documents(spark, sf_dir), VOCABULARY, OTHER_VOCABULARY)
 
 
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, one in ten with a repetition planted."""
+    return run_table(find_runs(documents(spark, sf_dir), planted))
+
+
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return private_table(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_licence_scan": op2_licence_scan,
@@ -103,4 +115,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
     "op11_token_alignment": op11_token_alignment,
+    "op12_word_runs": op12_word_runs,
+    "op13_private_data": op13_private_data,
 }

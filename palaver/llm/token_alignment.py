@@ -28,7 +28,9 @@ from palaver.llm.common import stored
 from palaver.llm.csr import Csr, intervals, memberships, row_products
 
 # Bytes of text laid end to end, and texts read at a time.
-BYTES, TEXTS = 1 << 20, 512
+BYTES, TEXTS = 1 << 17, 512
+# The published pattern that cuts texts for this kind of vocabulary (fixed value).
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Pairs looked up in tasks are fewer than this.
 FREQUENT = 100_000
 # Pairs collected in a task before they are added up and handed on.
@@ -46,33 +48,41 @@ def vocabulary_path(name: str) -> str:
 
 @dataclass
 class ByteBpe:
-    """Byte-level BPE by its library: token ids of texts, and the bytes of every id."""
+    """Byte-level BPE: token ids of texts, and the bytes of every id.
+
+    ``tiktoken`` merges by the ids' order, which in such vocabularies is that of the merges.
+    It cuts texts by the same pattern as the vocabulary's own library.
+    """
 
     path: str
 
     def __post_init__(self) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        path = vocabulary_path(self.path)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as file:
+        import tiktoken
+
+        with open(vocabulary_path(self.path), encoding="utf-8") as file:
             spec = json.load(file)
         special = {t["id"]: t["content"] for t in spec["added_tokens"]}
         letters = _byte_letters()
-        self.bytes_of = [b""] * (max([*spec["model"]["vocab"].values(), *special]) + 1)
-        for token, number in spec["model"]["vocab"].items():
-            if number not in special:
-                self.bytes_of[number] = bytes(letters[c] for c in token)
+
+        def raw(token: str) -> bytes:
+            return bytes(letters[c] for c in token)
+
+        ranks = {raw(t): i for t, i in spec["model"]["vocab"].items() if i not in special}
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
+        made = [ranks[raw("".join(pair))] for pair in pairs]
+        if made != sorted(made):
+            raise ValueError(f"{self.path}: ids do not follow the order of the merges")
+        self.bytes_of = [b""] * (max([*ranks.values(), *special]) + 1)
+        for token, number in ranks.items():
+            self.bytes_of[number] = token
         for number, token in special.items():
             self.bytes_of[number] = token.encode()
+        self.encoding = tiktoken.Encoding(
+            self.path, pat_str=PIECE, mergeable_ranks=ranks, special_tokens={}
+        )
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        return [e.ids for e in found]
+        return [self.encoding.encode_ordinary(" " + t) for t in texts]
 
 
 @dataclass

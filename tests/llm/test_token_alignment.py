@@ -106,6 +106,16 @@ def texts() -> list[str | None]:
     return [None, "", " ", "a", "▁a", "the the the", *made, *made[:5]]
 
 
+def test_ids_are_the_librarys(libraries):
+    """Every letter in several surroundings, and long pieces."""
+    own = Aligner(A, B).one
+    letters = [chr(c) for c in range(0x30000) if not 0xD800 <= c <= 0xDFFF]
+    made = [f"a{c}a 1{c}1 !{c}! {c} x{c}" for c in letters[::7]]
+    made += [c * 20_000 for c in "a \n!é"]
+    found = libraries[0].encode_batch([" " + t for t in made], add_special_tokens=False)
+    assert own.encode(made) == [e.ids for e in found]
+
+
 def test_overlaps_share_bytes():
     a, b, shared = overlap_links(np.array([2, 5, 6]), np.array([1, 2, 6]))
     assert list(zip(a.tolist(), b.tolist(), shared.tolist(), strict=True)) == [

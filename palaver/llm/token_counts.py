@@ -13,11 +13,13 @@ With the table at hand, truncation and budget questions need no further encoding
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -86,11 +88,15 @@ class PrefixCounter:
         self.ids = {raw(t): i for t, i in model["vocab"].items() if t not in special}
         self.bytes_of = {i: t for t, i in self.ids.items()}
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             left_raw, right_raw = raw(left), raw(right)
             key = (self.ids[left_raw], self.ids[right_raw])
-            self.merge[key] = (rank, self.ids[left_raw + right_raw])
+            whole = self.ids[left_raw + right_raw]
+            self.merge[key] = (rank, whole)
+            # A token that can be made in two ways is made by the merge that comes first.
+            self.parts.setdefault(whole, (rank, *key))
         # Finds, for every position, the tokens that end there, longest first.
         self.endings = ahocorasick.Automaton()
         for token, number in self.ids.items():
@@ -98,6 +104,7 @@ class PrefixCounter:
         self.endings.make_automaton()
         self.may_follow: dict[tuple[int, int], bool] = {}
         self.stands: dict[int, bool] = {}
+        self.edges: tuple[dict, dict] = ({}, {})
         self.piece = regex.compile(PIECE)
         self.blank_run = regex.compile(r"\s{2,}(?=\S)")
         self.latin_piece = _latin_piece()
@@ -132,10 +139,48 @@ class PrefixCounter:
         if known is None:
             if len(self.may_follow) > 2_000_000:
                 self.may_follow.clear()
-            data = self.bytes_of[before] + self.bytes_of[token]
-            known = self.may_follow[before, token] = self.merged(data) == [before, token]
+            known = self.may_follow[before, token] = self._parted(before, token)
         return known
 
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The parts along a token's left (0) or right (1) edge, from its byte to itself.
+
+        Each comes with the rank of the merge that takes it up into the next.
+        """
+        edge = self.edges[side].get(token)
+        if edge is None:
+            edge, part, rank = [], token, len(self.merge)
+            while True:
+                edge.append((part, rank))
+                made = self.parts.get(part)
+                if made is None:
+                    break
+                rank, part = made[0], made[1 + side]
+            edge.reverse()
+            self.edges[side][token] = edge
+        return edge
+
+    def _parted(self, before: int, token: int) -> bool:
+        """Whether no merge joins the end of one token to the start of the next.
+
+        Merges happen in order of rank, and a part is made before the merge that takes it up.
+        So the parts that meet at the border at any time follow from the ranks along both
+        edges; a merge of the two that comes before either is taken up would happen.  Of
+        equal merges the leftmost comes first.
+        """
+        left, right = self._edge(before, 1), self._edge(token, 0)
+        i = j = 0
+        while i < len(left) and j < len(right):
+            (one, until), (other, up_to) = left[i], right[j]
+            merge = self.merge.get((one, other))
+            if merge is not None and merge[0] < until and merge[0] <= up_to:
+                return False
+            if until <= up_to:
+                i += 1
+            else:
+                j += 1
+        return True
+
     def _stands(self, token: int) -> bool:
         known = self.stands.get(token)
         if known is None:
@@ -191,7 +236,16 @@ class PrefixCounter:
                 known(p) or (self.remember(p) if len(p) <= SHORT else self.character_counts(p))
                 for p in pieces
             ]
-            inside = np.concatenate([np.asarray(list(t), dtype=np.int32) for t in tables])
+            # Short tables are bytes, long ones lists; neighbouring short ones go together.
+            runs = itertools.groupby(tables, key=type)
+            inside = np.concatenate(
+                [
+                    np.frombuffer(b"".join(run), dtype=np.uint8).astype(np.int32)
+                    if kind is bytes
+                    else np.fromiter(itertools.chain.from_iterable(run), dtype=np.int32)
+                    for kind, run in runs
+                ]
+            )
         return inside, np.fromiter(map(len, tables), dtype=np.int64, count=len(tables))
 
     def pieces(self, text: str) -> list[str]:
@@ -238,6 +292,12 @@ class PrefixCounter:
         return np.concatenate(out)
 
 
+@lru_cache(maxsize=4)
+def counter_of(vocabulary: str) -> PrefixCounter:
+    """One counter per worker process and vocabulary; what it remembers serves later tasks."""
+    return PrefixCounter(vocabulary)
+
+
 def prefix_token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``(doc_id, n_bytes, prefix_counts)``: the whole table of each text.
 
@@ -247,7 +307,7 @@ def prefix_token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
 
     def make():
-        counter = PrefixCounter(vocabulary)
+        counter = counter_of(vocabulary)
 
         def step(rows: dict[str, list]) -> Iterator[dict[str, list]]:
             for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
@@ -292,7 +352,7 @@ def token_budget(docs: DataFrame, vocabulary: str, limit: int) -> DataFrame:
     """
 
     def make():
-        counter = PrefixCounter(vocabulary)
+        counter = counter_of(vocabulary)
 
         def step(rows: dict[str, list]) -> Iterator[dict[str, list]]:
             texts = [t or "" for t in rows["text"]]

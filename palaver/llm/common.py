@@ -78,6 +78,19 @@ def map_rows(
     return df.mapInArrow(run, target)
 
 
+def own_names(docs: DataFrame, needed: tuple[str, ...]) -> DataFrame:
+    """The same columns in the same order, with plain names for all but the first of ``needed``.
+
+    Operators name columns of their own; under plain names no column of the input can clash
+    with them.  ``toDF(*docs.columns)`` of the result's columns gives the names back.
+    """
+    left, names = list(needed), []
+    for i, name in enumerate(docs.columns):
+        names.append(name if name in left else f"extra_{i}")
+        left = [n for n in left if n != name]
+    return docs.toDF(*names)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder, with the lineage cut.
 

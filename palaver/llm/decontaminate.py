@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import checkpointed, fold
+from palaver.llm.common import checkpointed, fold, own_names
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -238,9 +238,11 @@ def leak_table(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that contain no benchmark item, with their own columns."""
-    leaks = find_leaks(docs, items)
+    """The documents that contain no benchmark item, with their own columns, of any names."""
+    rows = own_names(docs, ("doc_id", "text"))
+    leaks = find_leaks(rows, items)
     leaks = leaks.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    marked = docs.withColumn("_text", F.xxhash64(fold(F.col("text"))))
+    marked = rows.withColumn("_text", F.xxhash64(fold(F.col("text"))))
     same = marked["doc_id"].eqNullSafe(leaks["_id"]) & (marked["_text"] == leaks["_hash"])
-    return marked.join(leaks, same, "left_anti").select(*docs.columns)
+    kept = marked.join(leaks, same, "left_anti")
+    return kept.select(*rows.columns).toDF(*docs.columns)

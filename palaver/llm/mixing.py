@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import checkpointed, fold, word_count
+from palaver.llm.common import checkpointed, fold, own_names, word_count
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_COPIES = 3
@@ -150,20 +150,23 @@ def with_copies(
 
 
 def mixing_table(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """``(doc_id, size, source_size, target, copies, taken)`` of every document."""
+    """``(doc_id, size, source_size, target, taken, copies)`` of every document."""
     return with_copies(docs, ["doc_id"], seed).select(
         "doc_id",
         F.col("_size").alias("size"),
         F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"),
-        F.col("_copies").alias("copies"),
         (F.col("_copies") * F.col("_size")).alias("taken"),
+        F.col("_copies").alias("copies"),
     )
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The mixed documents: every row as often as it is drawn, with its own columns."""
-    drawn = with_copies(docs, docs.columns, seed).where(F.col("_copies") > 0)
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(
-        *docs.columns
-    )
+    """The mixed documents: every row as often as it is drawn, with its own columns.
+
+    They may have any names.
+    """
+    rows = own_names(docs, ("doc_id", "text", "source"))
+    drawn = with_copies(rows, rows.columns, seed).where(F.col("_copies") > 0)
+    copies = drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return copies.select(*rows.columns).toDF(*docs.columns)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import checkpointed, map_rows, stored
+from palaver.llm.common import checkpointed, map_rows, own_names, stored
 from palaver.llm.components import connected_components
 from palaver.llm.similar_texts import BANDS, ROWS, SIMILARITY, signatures, similar_groups
 from palaver.llm.similar_texts import SHINGLE as SIMILAR_SHINGLE
@@ -261,9 +261,11 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
     The one with the least ``doc_id`` stays, null last; ties fall to a hash of the row,
     and of wholly equal rows one stays.
     """
-    hashed = docs.select("doc_id", F.xxhash64(*docs.columns).alias("_row"), "text")
+    rows = own_names(docs, ("doc_id", "text"))
+    hashed = rows.select("doc_id", F.xxhash64(*rows.columns).alias("_row"), "text")
     printed = checkpointed(fingerprints(hashed, ["doc_id", "_row"]))
-    return _least_of_groups(docs, printed.join(_representatives(printed), "fp"))
+    kept = _least_of_groups(rows, printed.join(_representatives(printed), "fp"))
+    return kept.toDF(*docs.columns)
 
 
 def keep_one_similar(
@@ -271,13 +273,17 @@ def keep_one_similar(
 ) -> DataFrame:
     """One document of every group of similar texts, chosen as in ``keep_one_per_group``.
 
-    Texts are linked whose sets of word shingles have at least the Jaccard similarity.
+    Texts are linked whose sets of word shingles have at least the Jaccard similarity.  The
+    columns may have any names.  Null and empty texts have no shingle and are copies of one
+    another; a text is read whole, however long.
     """
     key = ["doc_id", "_row"]
-    hashed = docs.select("doc_id", F.xxhash64(*docs.columns).alias("_row"), "text")
+    rows = own_names(docs, ("doc_id", "text"))
+    hashed = rows.select("doc_id", F.xxhash64(*rows.columns).alias("_row"), "text")
     printed = stored(signatures(hashed, key, shingle, BANDS, ROWS))
     groups = similar_groups(hashed, printed, key, similarity, shingle)
-    return _least_of_groups(docs, printed.select(*key, "node").join(groups, "node"))
+    kept = _least_of_groups(rows, printed.select(*key, "node").join(groups, "node"))
+    return kept.toDF(*docs.columns)
 
 
 def _least_of_groups(docs: DataFrame, labelled: DataFrame) -> DataFrame:

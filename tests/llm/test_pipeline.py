@@ -9,10 +9,11 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql.functions import lit
 from test_decontaminate import best_similarity
 from test_mixing import size_of, targets
 from test_quality import plain
-from test_simhash_dedup import slow_components, slow_fingerprint
+from test_similar_texts import slow_groups
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -84,7 +85,7 @@ def test_pipeline_matches_plain_stages(spark, tables):
         n, _, _, _, repeats = plain(row[1])
         if n >= 50 and 2 * repeats <= n and " | " not in (row[1] or ""):
             good.append(row)
-    labels = slow_components([slow_fingerprint(r[1]) for r in good])
+    labels = slow_groups([r[1] for r in good])
     single = [
         min((r for r, x in zip(good, labels, strict=True) if x == label), key=lambda r: r[0])
         for label in sorted(set(labels))
@@ -113,9 +114,47 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tables):
         assert stage(spark, empty, tables).count() == 0
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+CLASHES = (
+    "_text", "_key", "_size", "_source", "_copies", "_no", "_base_failed", "_kept", "_row", "row",
+    "node", "n", "fp", "bands", "key", "group", "words", "extra_0", "Text", "h", "k", "_hash",
+)
+
+
+def test_columns_of_any_name_pass_through(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    marks = [lit(f"own {name}").alias(name) for name in CLASHES]
+    wide = docs.select(*docs.columns, *marks)
+    for name, stage in corpus_pipeline.STAGES:
+        narrow = stage(spark, docs, tables).collect()
+        found = stage(spark, wide, tables)
+        assert found.columns[: len(wide.columns)] == wide.columns, name
+        rows = found.collect()
+        for i, column in enumerate(wide.columns[len(docs.columns) :], len(docs.columns)):
+            assert {r[i] for r in rows} == {f"own {column}"}, name
+        kept = Counter(tuple(r)[: len(docs.columns)] for r in rows)
+        # Equal rows but for the added columns are drawn alike only by their own hash.
+        assert set(kept) == {tuple(r)[: len(docs.columns)] for r in narrow}, name
+
+
+def test_long_texts_pass_the_stages(spark, tables):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30_000)]
+    long = " ".join(rng.choices(words, k=60_000))
+    rows = [(1, long, "en", "a", 1), (2, long + " end", "en", "a", 1), (3, "x" * 300_000, "en", "b", 1)]
+    rows += [(4, " ".join(rng.choices(words, k=100)), "en", "b", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, tables).collect()}
+    assert kept == {1, 3, 4}
+    for name in ("decontamination", "sharding"):
+        out = dict(corpus_pipeline.STAGES)[name](spark, docs, tables)
+        assert {r.doc_id: len(r.text) for r in out.collect()} == {r[0]: len(r[1]) for r in rows}
+    mixed_rows = corpus_pipeline.mixing(spark, docs, tables).collect()
+    assert {r.doc_id for r in mixed_rows} <= {1, 2, 3, 4} and mixed_rows
+
+
+def test_operators_and_the_pipeline_are_registered():
     numbers = {name.split("_")[0] for name in QUERIES}
-    assert numbers == {f"op{n}" for n in range(1, 11)}
+    assert numbers == {f"op{n}" for n in range(1, 14)}
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
     assert set(ORACLE) <= set(QUERIES) and set(ORACLE) <= set(entry.oracle_sql())
 

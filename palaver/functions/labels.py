@@ -43,9 +43,16 @@ def label_set(labels: Column) -> Column:
 
 
 def names_of(indices: Column, vocabulary: Sequence[str] = EMOTIONS) -> Column:
-    """Active label indices (0-based) to names; a bad index raises."""
+    """Active label indices (0-based) to names; a bad index raises, a negative one too."""
     names = string_array(vocabulary)
-    return F.transform(indices, lambda i: F.element_at(names, i.cast("int") + 1))
+
+    def name(i: Column) -> Column:
+        message = F.concat(F.lit("no label has the index "), i.cast("string"))
+        known = (i >= 0) & (i < len(vocabulary))
+        named = F.element_at(names, i.cast("int") + 1)
+        return F.when(i.isNull() | known, named).otherwise(F.raise_error(message))
+
+    return F.transform(indices, name)
 
 
 def indices_of(labels: Column, vocabulary: Sequence[str] = EMOTIONS) -> Column:
@@ -87,17 +94,74 @@ def above_threshold(
     return F.array_compact(paired)
 
 
+# Pieces of JSON: a key with its colon, another string, a bracket, anything else.
+_PIECES = r'(?s)"(?:[^"\\]|\\.)*"\s*:|"(?:[^"\\]|\\.)*"|[{\[]|[}\]]|[^"{}\[\]]+|"'
+_ANSWERS = ("emotions", "labels")
+
+
+def last_answers(text: Column) -> Column:
+    """JSON text in which no key repeats: the last ``emotions`` and ``labels`` of the outer
+    object keep their names, all other keys are numbered.
+
+    JSON readers that allow a repeated key take its last value; Spark's allows none.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
+    start = F.struct(
+        F.lit(0).alias("depth"),
+        F.lit(0).alias("place"),
+        *[F.lit(-1).alias(name) for name in _ANSWERS],
+    )
+
+    def read(state: Column, piece: Column) -> Column:
+        opened = F.when(piece.isin("{", "["), 1).when(piece.isin("}", "]"), -1).otherwise(0)
+        outer = state["depth"] == 1
+        return F.struct(
+            (state["depth"] + opened).alias("depth"),
+            (state["place"] + 1).alias("place"),
+            *[
+                F.when(outer & piece.rlike(f'^"{name}"\\s*:$'), state["place"])
+                .otherwise(state[name])
+                .alias(name)
+                for name in _ANSWERS
+            ],
+        )
+
+    # One element: what follows refers to the scan, which an expression would repeat.
+    scanned = F.transform(F.array(F.struct(pieces.alias("p"))), lambda x: F.struct(
+        x["p"].alias("p"), F.aggregate(x["p"], start, read).alias("last")
+    ))
+
+    def named(x: Column) -> Column:
+        def one(piece: Column, i: Column) -> Column:
+            kept = F.lit(False)
+            for name in _ANSWERS:
+                kept = kept | (x["last"][name] == i)
+            key = piece.startswith('"') & piece.endswith(":") & ~kept
+            return F.when(key, F.concat(F.lit('"k'), i.cast("string"), F.lit('":'))).otherwise(piece)
+
+        return F.array_join(F.transform(x["p"], one), "")
+
+    return F.get(F.transform(scanned, named), F.lit(0))
+
+
+def _json(text: Column) -> Column:
+    """Text as JSON, a repeated key with its last value; null if it is none."""
+    repeated = F.when(text.rlike(r"^\s*[{\[]"), F.try_parse_json(last_answers(text)))
+    return F.coalesce(F.try_parse_json(text), repeated)
+
+
 def parse_reply(raw: Column) -> Column:
     """Labels named by a model's free-form reply.
 
     Read as JSON when possible: an object's ``emotions`` (else ``labels``) entry
     as one string or a list, or a bare list.  Otherwise the first embedded object
-    that mentions ``emotions`` is read.  Only if that yields no candidate at all,
-    the vocabulary is searched in the text.  Invalid and repeated names go.
+    that mentions ``emotions`` is read.  Of a repeated key the last value counts.  Only if
+    that yields no candidate at all, the vocabulary is searched in the text.  Invalid and
+    repeated names go.
     """
     vocabulary = string_array(EMOTIONS)
-    whole = F.try_parse_json(strip(raw))
-    embedded = F.try_parse_json(F.regexp_extract(raw, EMBEDDED_REPLY, 0))
+    whole = _json(strip(raw))
+    embedded = _json(F.regexp_extract(raw, EMBEDDED_REPLY, 0))
     payload = F.coalesce(whole, embedded)
     answer = F.coalesce(
         F.try_variant_get(payload, "$.emotions", "variant"),

@@ -20,6 +20,7 @@ from palaver.functions.labels import (
     sentiment_of,
 )
 from palaver.operators.common import value_counts
+from palaver.operators.models import factory_key, model_of, predictions
 from palaver.operators.skew import ROWS_PER_TASK, join_unique
 
 CACHE = T.StructType(
@@ -30,9 +31,9 @@ CACHE = T.StructType(
     ]
 )
 
-# Called once per task; returns a function from a batch of texts to score rows.
+# Called once per worker process; returns a function from a batch of texts to score rows.
 PredictorFactory = Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]]
-# Called once per task; returns a function from a batch of prompts to reply texts.
+# Called once per worker process; returns a function from a batch of prompts to reply texts.
 ReplierFactory = Callable[[], Callable[[list[str]], Sequence[str]]]
 
 
@@ -56,20 +57,19 @@ def _apply_batched(
 ) -> DataFrame:
     """Append a column computed by a model from batches of one text column.
 
-    The model is loaded once per task.  Batches cross as Arrow, and all other
-    columns pass through untouched, so rows keep their identity without a join.
+    The model is loaded once per worker process, which serves many tasks, and sees texts of
+    like length together.  Batches cross as Arrow, and all other columns pass through
+    untouched, so rows keep their order and identity without a join.
     """
+    key = factory_key(factory)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = factory()
+        predict = None
         for batch in batches:
-            texts = batch.column(column).to_pylist()
-            out: list = []
-            for start in range(0, len(texts), batch_size):
-                part = predict(texts[start : start + batch_size])
-                out.extend(part.tolist() if hasattr(part, "tolist") else part)
-                if len(out) != min(start + batch_size, len(texts)):
-                    raise ValueError("the model must return one result per text")
+            if not batch.num_rows:
+                continue
+            predict = predict or model_of(key, factory)
+            out = predictions(predict, batch.column(column).to_pylist(), batch_size)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(out, type=arrow_type)],
                 names=[*batch.schema.names, output.name],
@@ -99,15 +99,21 @@ def score_comments(
     batch_size: int = SCORING_BATCH,
     threshold: float = THRESHOLD,
     vocabulary: Sequence[str] = EMOTIONS,
+    scorer: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Cleaned comments to the prediction table.  Narrow: no shuffle."""
+    """Cleaned comments to the prediction table.  Narrow: no shuffle.
+
+    ``scorer`` appends ``probs`` in another way than asking the factory's model about every
+    row, for example from a ledger.
+    """
     label = model_label(model_key, "transformer")
     carried = {f.name: f.dataType for f in df.schema.fields}
     for name, kind in (("post_score", "bigint"), ("subreddit", "string")):
         if name not in carried:
             df = df.withColumn(name, F.lit(None).cast(kind))
     identity = [c for c in schema.PREDICTION_COLUMNS if c in df.columns]
-    scored = score_texts(df.select(*identity), factory, batch_size=batch_size)
+    rows = df.select(*identity)
+    scored = scorer(rows) if scorer else score_texts(rows, factory, batch_size=batch_size)
     labelled = scored.withColumn("emotions", above_threshold(F.col("probs"), vocabulary, threshold))
     return labelled.select(
         *identity,

@@ -20,7 +20,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -240,6 +240,7 @@ def optimality(
     return out
 
 
+NOTE = "model string, mark string, seconds double"
 # A runner takes (train, test) and returns test rows as (id, predicted).
 Runner = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -250,12 +251,15 @@ def run_models(
     test: DataFrame,
     folder: str,
     labels: dict[str, str] | None = None,
+    resume: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Run models one after another; returns their predictions and the summary table.
 
     ``runners`` maps model keys, usually ``fixed.DEFAULT_MODELS``, to functions.
     Each model's predictions are written below ``folder`` (a shared path) and read
-    back, which both times the run and keeps a lost executor from redoing it.
+    back, which both times the run and keeps a lost executor from redoing it.  A model that is
+    done leaves a note of its time and of the examples' content; with ``resume``, models with
+    a note of the same content are not run again.
     """
     spark = test.sparkSession
     labels = labels or {key: label for key, (label, _) in MODELS.items()}
@@ -263,11 +267,18 @@ def run_models(
     if unknown:
         raise ValueError(f"unknown models: {unknown}; known models: {', '.join(labels)}")
     tables, seconds = [], []
+    root = folder.rstrip("/")
+    mark = f"{content_mark(train)} {content_mark(test)}"
+    finished = _finished(spark, f"{root}/_finished", mark) if resume else {}
     for key, runner in runners.items():
         started = time.perf_counter()
-        path = f"{folder.rstrip('/')}/{key}"
-        runner(train, test).select("id", "predicted").write.mode("overwrite").parquet(path)
-        seconds.append((key, round(time.perf_counter() - started, 2)))
+        path = f"{root}/{key}"
+        if key not in finished:
+            runner(train, test).select("id", "predicted").write.mode("overwrite").parquet(path)
+            finished[key] = round(time.perf_counter() - started, 2)
+            note = spark.createDataFrame([(key, mark, finished[key])], NOTE)
+            note.coalesce(1).write.mode("append").parquet(f"{root}/_finished")
+        seconds.append((key, finished[key]))
         tables.append(
             spark.read.parquet(path).select(
                 F.lit(key).alias("model"), F.lit(labels[key]).alias("model_label"), "id", "predicted"
@@ -281,6 +292,21 @@ def run_models(
     return predictions, benchmark_summary(judged, runtimes)
 
 
+def content_mark(df: DataFrame) -> str:
+    """Number of rows and a checksum of them, in any order; equal for equal rows."""
+    hashed = F.xxhash64(*df.columns)
+    row = df.agg(F.count(F.lit(1)), F.bit_xor(hashed), F.sum(hashed.cast("decimal(38, 0)"))).first()
+    return " ".join(map(str, row))
+
+
+def _finished(spark: SparkSession, path: str, mark: str) -> dict[str, float]:
+    """Models that have answered examples of that content, with the last time it took."""
+    # An empty append makes sure the folder exists; it adds no note.
+    spark.createDataFrame([], NOTE).write.mode("append").parquet(path)
+    notes = spark.read.schema(NOTE).parquet(path).where(F.col("mark") == mark)
+    return {r["model"]: r["seconds"] for r in notes.collect()}
+
+
 def with_truth(predictions: DataFrame, test: DataFrame, models: Sequence[str]) -> DataFrame:
     """Predictions of several models with the labels of their examples.
 

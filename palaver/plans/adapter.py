@@ -190,7 +190,7 @@ def truth_and_prediction(comments: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def replies(comments: DataFrame) -> DataFrame:
-    """``(comment_id, raw_response)``: model replies in eight styles."""
+    """``(comment_id, raw_response)``: model replies in ten styles."""
     one, two = _emotion(5, 0), _emotion(11, 3)
 
     def say(*parts: str | Column) -> Column:
@@ -205,6 +205,8 @@ def replies(comments: DataFrame) -> DataFrame:
         say('{"emotions": []}'),
         say('{"labels": ["', two, '"], "emotions": null, "note": "', one, '"}'),
         say('"', one, '"'),
+        say('{"emotions": ["', two, '"], "note": {"emotions": 1}, "emotions": ["', one, '"]}'),
+        say('so {"emotions": "', two, '", "emotions": ["x", "', one, '"]} end'),
     ]
     style = F.element_at(F.array(*styles), (F.col("doc_id") % len(styles) + 1).cast("int"))
     return comments.select("comment_id", style.alias("raw_response"))

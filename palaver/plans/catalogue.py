@@ -19,6 +19,10 @@ from palaver.operators import sampling as G
 from palaver.operators import scoring as S
 from palaver.operators import terms as T
 from palaver.operators import training as M
+from palaver.operators import vocabulary as V
+from palaver.operators.ledger import fill_ledger, score_with_ledger
+from palaver.operators.multilabel import fit_multilabel, optimality
+from palaver.operators.reply_cache import ReplyCache, score_with_reply_cache
 from palaver.plans import adapter, toys
 from palaver.plans.jobs import benchmark
 from palaver.session import shared_folder
@@ -44,9 +48,8 @@ PATTERNS = (
     ("long run", r"\S{12,}", "[^{WS}]{{12,}}"),
     ("optional edge", r"\b?the", "(?i)the"),
 )
-TERMS = 400
 TEST_SAMPLES = 100
-OPTIMAL_TERMS = 100
+STEPS = 4
 WIDE = ("joy", "anger", "pride", "fear")
 # One sampled row has no id.
 NO_ID = "c42"
@@ -380,6 +383,30 @@ def score_comments(spark, sf_dir):
     return rows.drop("comment_body")
 
 
+@query
+def resumed_scoring(spark, sf_dir):
+    """A run that ends early, and one that goes on from its ledger; no text is scored twice."""
+    path = shared_folder(spark, "ledger")
+    comments = cleaned(spark, sf_dir)
+    scores, key = toys.letter_scores, "roberta_samlowe"
+    fill_ledger(comments, "comment_body", scores, key, path, steps=STEPS, most_steps=STEPS // 2)
+
+    def from_ledger(rows):
+        return score_with_ledger(rows, scores, key, path, "comment_id", steps=STEPS)
+
+    scored = S.score_comments(comments, scores, key, scorer=from_ledger)
+    stored = spark.read.parquet(path)
+    texts = stored.agg(F.count(F.lit(1))).scalar()
+    distinct = stored.agg(F.count_distinct("text_sha256")).scalar()
+    counts = scored.groupBy("predicted_sentiment", "model_label").agg(
+        F.count(F.lit(1)).alias("comments"),
+        F.count_if(F.col("predicted_emotions") == "").alias("without_label"),
+    )
+    return counts.select(
+        "*", texts.alias("texts_scored"), (texts - distinct).alias("scored_twice")
+    )
+
+
 def _cache(texts: DataFrame) -> DataFrame:
     """Stored answers for about half of the texts, derived from their digests."""
     sha = F.col("text_sha256")
@@ -438,8 +465,8 @@ def tfidf_logreg(spark, sf_dir):
     rows = _labelled_documents(spark, sf_dir)
     train, test = rows.where(~F.col("held_out")), rows.where("held_out")
     vocabulary = ("quality", "toxic")
-    models = M.fit_label_models(train, vocabulary)
-    judged = models.predict(test).withColumnRenamed("labels", "truth")
+    model = fit_multilabel(train, vocabulary)
+    judged = model.predict(test).withColumnRenamed("labels", "truth")
     return E.emotion_labels(judged.select("id", "truth", "predicted"), vocabulary)
 
 
@@ -458,15 +485,22 @@ def _train_rows(spark, sf_dir) -> DataFrame:
 
 @query
 def tfidf_weights(spark, sf_dir):
-    rows = M.tfidf_weights(adapter.table(spark, sf_dir, "documents"), max_features=TERMS)
+    rows = M.tfidf_weights(adapter.table(spark, sf_dir, "documents"))
+    return rows.withColumn("idf", F.round("idf", 9))
+
+
+@query
+def frequent_terms(spark, sf_dir):
+    """The same terms, from hashed counters and an exact count of what they leave."""
+    rows = V.frequent_terms(adapter.table(spark, sf_dir, "documents"))
     return rows.withColumn("idf", F.round("idf", 9))
 
 
 @query
 def logreg_optimality(spark, sf_dir):
     rows = _train_rows(spark, sf_dir)
-    fitted = M.fit_label_models(rows, ("quality", "toxic", "every", "none"), max_features=OPTIMAL_TERMS)
-    judged = M.optimality(fitted, rows)
+    model = fit_multilabel(rows, ("quality", "toxic", "every", "none"))
+    judged = optimality(model, rows)
     return judged.withColumn("optimal", F.col("gradient") < 1e-3).drop("gradient")
 
 
@@ -501,6 +535,24 @@ def stored_cache(spark, sf_dir):
     )
 
 
+@query
+def compacted_cache(spark, sf_dir):
+    """Three runs over a bucketed cache, compacted between them; the last asks nothing."""
+    cache = ReplyCache(spark, shared_folder(spark, "replies"))
+    documents = adapter.table(spark, sf_dir, "documents").select("doc_id", "text")
+    half = documents.where(F.pmod("doc_id", F.lit(2)) == 0)
+    for rows in (half, documents):
+        score_with_reply_cache(rows, "text", "toy", toys.parity_replies, cache, "doc_id")
+        cache.compact()
+    labelled = score_with_reply_cache(
+        documents, "text", "toy", toys.parity_replies, cache, "doc_id"
+    )
+    stored = cache.rows().agg(F.count(F.lit(1))).scalar()
+    return labelled.select(
+        "doc_id", L.encode(F.col("emotions")).alias("labels"), stored.alias("answers_stored")
+    )
+
+
 # --- sources and sinks ---------------------------------------------------------
 
 

@@ -16,6 +16,7 @@ from palaver.operators.evaluation import (
     evaluate_sentiment,
     sentiment_labels,
 )
+from palaver.operators.ledger import score_with_ledger
 from palaver.operators.sampling import first_rows
 from palaver.operators.scoring import PredictorFactory, model_label, score_comments
 from palaver.operators.training import Runner, run_models, with_truth
@@ -41,11 +42,14 @@ def score_dataset(
     batch_size: int = SCORING_BATCH,
     threshold: float = THRESHOLD,
     options: CleaningOptions = CleaningOptions(),
+    ledger: str | None = None,
 ) -> DataFrame:
     """Read, clean, score and store a comment table; returns the stored predictions.
 
     ``dataset`` is a CSV path when it ends in ``.csv``, else Parquet.  Nothing left
-    after cleaning is an error, raised before a record of the run is written.
+    after cleaning is an error, raised before a record of the run is written.  With a
+    ``ledger``, a shared path, a run that failed is resumed by running the job again: texts
+    whose scores are in the ledger are not scored again.
     """
     label = model_label(model_key, "transformer")
     read: Callable = read_comments_csv if dataset.endswith(".csv") else read_comments_parquet
@@ -54,7 +58,14 @@ def score_dataset(
         order = "ingest_order" if "ingest_order" in comments.columns else "comment_id"
         comments = first_rows(comments, max_samples, order)
     experiment = experiment or experiment_name(model_key)
-    scored = score_comments(comments, factory, model_key, batch_size, threshold)
+
+    def from_ledger(rows: DataFrame) -> DataFrame:
+        return score_with_ledger(
+            rows, factory, model_key, ledger, "comment_id", batch_size=batch_size
+        )
+
+    scorer = from_ledger if ledger else None
+    scored = score_comments(comments, factory, model_key, batch_size, threshold, scorer=scorer)
     rows = write_run(scored, root, experiment, dataset, model_key, label, options, threshold)
     if rows == 0:
         raise ValueError("no comments left after cleaning")
@@ -69,11 +80,18 @@ def benchmark(
     output: str,
     max_test_samples: int | None = None,
     run_id: str | None = None,
+    resume: bool = False,
 ) -> DataFrame:
-    """Run models on a labelled test set, store per-model results and the summary."""
+    """Run models on a labelled test set, store per-model results and the summary.
+
+    With ``resume`` and the ``run_id`` of a run that failed, models that had answered the same
+    examples are not run again.
+    """
     train, test = load_splits(spark, train_path, test_path, max_test_samples)
     folder = f"{output.rstrip('/')}/{run_id or format(datetime.now(), '%Y%m%d_%H%M%S')}"
-    predictions, summary = run_models(runners, train, test, f"{folder}/predictions")
+    predictions, summary = run_models(
+        runners, train, test, f"{folder}/predictions", resume=resume
+    )
     rows = with_truth(predictions, test, list(runners)).persist()
     try:
         tables = {

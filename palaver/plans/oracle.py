@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from palaver import fixed
 from palaver.plans.adapter import COPIES, NO_LABEL, ODD_LABEL, RULES, SECOND_LABEL
+from palaver.operators.training import MAX_FEATURES
 from palaver.plans.catalogue import (
     EVENT_HINTS,
     MIN_LENGTH,
@@ -17,7 +18,6 @@ from palaver.plans.catalogue import (
     SAMPLE,
     SCORE_THRESHOLD,
     TERM,
-    TERMS as TERM_LIMIT,
     TEST_SAMPLES,
     WEEKLY_TARGET,
     WIDE,
@@ -292,10 +292,15 @@ def _reply(i: int) -> str:
         """'{"emotions": []}'""",
         f"""concat('{{"labels": ["', {b}, '"], "emotions": null, "note": "', {a}, '"}}')""",
         f"""concat('"', {a}, '"')""",
+        f"""concat('{{"emotions": ["', {b}, '"], "note": {{"emotions": 1}}, "emotions": ["', {a}, '"]}}')""",
+        f"""concat('so {{"emotions": "', {b}, '", "emotions": ["x", "', {a}, '"]}} end')""",
     ][i]
 
 
-REPLIES = " ".join(f"when {i} then {_reply(i)}" for i in range(8))
+REPLIES = " ".join(f"when {i} then {_reply(i)}" for i in range(10))
+# What the replies with a repeated key say last.
+LAST_SAID = f"""when 8 then concat('{{"emotions": ["', {EMO}[(doc_id * 5) % 28 + 1], '"]}}')
+  when 9 then concat('{{"emotions": ["x", "', {EMO}[(doc_id * 5) % 28 + 1], '"]}}')"""
 
 _START, _END = (moment.isoformat(" ") for moment in PERIOD)
 _WEEKS = -(-(PERIOD[1] - PERIOD[0]).days // 7)
@@ -635,13 +640,17 @@ from predicted where comment_score > -100 and comment_score <= 1000 group by 1""
     ),
     "parse_model_replies": with_(
         f"""{CLEAN},
-replies as (select comment_id, case doc_id % 8 {REPLIES} end as raw from cleaned),
+replies as (
+  select comment_id, case doc_id % 10 {REPLIES} end as raw, case doc_id % 10 {LAST_SAID} end as said
+  from cleaned
+),
 inner_part as (
   select *, regexp_extract(raw, {quote(fixed.EMBEDDED_REPLY)}) as emb from replies
 ),
 payloads as (
   select comment_id, raw,
-    case when json_valid(trim(raw, chr(10) || ' ')) then cast(trim(raw, chr(10) || ' ') as json)
+    case when said is not null then cast(said as json)
+         when json_valid(trim(raw, chr(10) || ' ')) then cast(trim(raw, chr(10) || ' ') as json)
          when emb <> '' and json_valid(emb) then cast(emb as json) end as payload
   from inner_part
 ),
@@ -819,7 +828,15 @@ from documents""",
   select term, count(distinct doc_id) as df, count(*) as tf from grams group by term
 )
 select term, df, tf, round(ln(((select count(*) from documents) + 1) / (df + 1)) + 1, 9) as idf
-from counted where df >= 2 order by tf desc, term limit {TERM_LIMIT}""",
+from counted where df >= 2 order by tf desc, term limit {MAX_FEATURES}""",
+    "resumed_scoring": with_(
+        TOY,
+        f"""select {sentiment('emotions')} as predicted_sentiment, 'RoBERTa (SamLowe)' as model_label,
+  count(*) as comments, count(*) filter (where len(emotions) = 0) as without_label,
+  (select count(distinct comment_body) from cleaned) as texts_scored,
+  cast(0 as bigint) as scored_twice
+from scored group by all""",
+    ),
     "logreg_optimality": """with rows as (
   select quality = 1 as quality, toxic = 1 as toxic, true as every, false as none
   from documents join labels using (doc_id)
@@ -849,3 +866,6 @@ from named group by label""",
         ),
     ),
 }
+# Both ways to find the terms that count restate the same thing.
+ORACLE["frequent_terms"] = ORACLE["tfidf_weights"]
+ORACLE["compacted_cache"] = ORACLE["stored_cache"]

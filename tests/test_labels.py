@@ -2,6 +2,8 @@
 
 import hashlib
 
+import pytest
+
 from palaver.fixed import EMOTIONS
 from palaver.functions import labels as L
 
@@ -70,6 +72,33 @@ def test_replies(one):
     assert one(L.parse_reply, *cases) == list(cases.values())
 
 
+def test_replies_with_repeated_keys(one):
+    cases = {
+        '{"emotions": ["joy"], "emotions": ["fear"]}': ["fear"],
+        '{"emotions": ["joy"], "labels": ["love"], "emotions": []}': ["joy", "love"],
+        '{"labels": "joy", "labels": "love"}': ["love"],
+        '{"labels": "joy", "a": {"labels": "fear", "labels": "grief"}}': ["joy"],
+        '{"a": 1, "a": {"emotions": ["grief"]}, "emotions" : ["pride"]}': ["pride"],
+        '{"emotions": "anger", "n": "\\"emotions\\": [", "emotions": ["x", "joy"]}': ["joy"],
+        'so {"emotions": ["joy"], "emotions": "love"} end': ["love"],
+        '[{"a": 1, "a": 2}, "joy"]': ["joy"],
+        # Repeated, but no JSON: searched as text.
+        '{"emotions": ["joy"], "emotions": ["fear"]': ["fear", "joy"],
+        '{"emotions": ["joy"], "emotions": ["fear"] "x"}': ["fear", "joy"],
+        '{"emotions": ["joy"], "emotions": ["fear", ]}': ["fear", "joy"],
+        '{"emotions": ["joy"], "emotions": ["fear"]} "': ["fear"],
+        None: None,
+    }
+    assert one(L.parse_reply, *cases) == list(cases.values())
+
+
+def test_negative_and_large_indices_raise(one):
+    for bad in ([-2], [0, -1], [28]):
+        with pytest.raises(Exception, match="index"):
+            one(L.names_of, bad, kind="array<int>")
+    assert one(L.names_of, [3, None], kind="array<int>") == [["annoyance", None]]
+
+
 def test_prompt_and_digest(one):
     text = "café"
     assert one(L.digest, text) == [hashlib.sha256(text.encode()).hexdigest()]

@@ -26,7 +26,6 @@ from palaver.operators.training import (
     MAX_FEATURES,
     MAX_ITERATIONS,
     MIN_DOCUMENTS,
-    ROWS_PER_FIT_TASK,
     fit_tfidf,
 )
 
@@ -34,8 +33,10 @@ from palaver.operators.training import (
 GRADIENT = 1e-5
 # Steps that the curvature is estimated from.
 MEMORY = 10
-# Entries of a block that are multiplied at a time, and partial sums added by one task.
+# Entries of a block that are multiplied at a time, least entries of a task for each number it
+# returns, and partial sums added by one task.
 ENTRIES = 100_000
+CELLS_EACH = 2
 FAN_IN = 8
 
 
@@ -318,11 +319,10 @@ def fit_multilabel(
     )
     blocks = _example_blocks(rows, vocabulary).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        totals = _label_counts(blocks, len(vocabulary))
-        n = int(totals[-1])
-        varied = np.flatnonzero((totals[:-1] > 0) & (totals[:-1] < n))
-        # Every task returns a block of gradients, so tasks should not be small.
-        tasks = max(1, -(-n // ROWS_PER_FIT_TASK))
+        *totals, n, entries = map(int, _label_counts(blocks, len(vocabulary)))
+        varied = np.array([i for i, t in enumerate(totals) if 0 < t < n], dtype=np.int64)
+        # Every task returns a block of gradients, so it should have more entries than that.
+        tasks = max(1, entries // max(CELLS_EACH * width * len(varied), ENTRIES))
         packed = blocks.coalesce(tasks)
 
         def evaluate(points: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -339,7 +339,7 @@ def fit_multilabel(
     weights = np.zeros((len(vocabulary), width + 1))
     weights[varied] = found
     constant = {
-        name: bool(total) for name, total in zip(vocabulary, totals, strict=False) if total in (0, n)
+        name: total > 0 for name, total in zip(vocabulary, totals, strict=True) if total in (0, n)
     }
     return MultiLabelModel(
         features, tuple(vocabulary), weights[:, :-1].copy(), weights[:, -1].copy(), constant, passes
@@ -347,22 +347,23 @@ def fit_multilabel(
 
 
 def _label_counts(blocks: DataFrame, labels: int) -> np.ndarray:
-    """Examples with each label, and in the last place all examples."""
+    """Examples with each label, then all examples, then all entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(labels + 1, dtype=np.int64)
+        total = np.zeros(labels + 2, dtype=np.int64)
         for batch in batches:
             for ends, truth in zip(batch.column(0), batch.column(1), strict=True):
-                total[-1] += len(ends.as_buffer()) // 8 - 1
+                ends = np.frombuffer(ends.as_buffer(), dtype=np.int64)
+                total[-2:] += len(ends) - 1, ends[-1]
                 if labels:
                     found = np.frombuffer(truth.as_buffer(), dtype=np.uint8)
-                    total[:-1] += found.reshape(-1, labels).sum(axis=0, dtype=np.int64)
+                    total[:-2] += found.reshape(-1, labels).sum(axis=0, dtype=np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(labels + 1), type=pa.int32()), pa.array(total)], names=["i", "n"]
+            [pa.array(range(labels + 2), type=pa.int32()), pa.array(total)], names=["i", "n"]
         )
 
     counted = blocks.select("ends", "truth").mapInArrow(run, "i int, n bigint")
-    out = np.zeros(labels + 1, dtype=np.int64)
+    out = np.zeros(labels + 2, dtype=np.int64)
     for row in counted.groupBy("i").agg(F.sum("n").alias("n")).collect():
         out[row["i"]] = row["n"]
     return out

@@ -51,21 +51,10 @@ def tfidf_weights(
     """``(term, df, tf, idf)`` of the terms that count, from one pass over the texts.
 
     Terms of at least ``min_documents`` texts, the ``max_features`` most frequent of them,
-    ties by term; ``idf`` is ln((n+1)/(df+1)) + 1.  A text's terms are sorted in place, so
-    that the first of each is marked there and one aggregate counts both ways.
+    ties by term; ``idf`` is ln((n+1)/(df+1)) + 1.  ``vocabulary.frequent_terms`` returns the
+    same without shuffling the rare terms, in two passes.
     """
-    listed = F.array_sort(grams_of(F.col(text)))
-    marked = F.transform(
-        F.col("_grams"),
-        lambda term, i: F.struct(
-            term.alias("term"),
-            ((i == 0) | (term != F.get("_grams", i - 1))).cast("bigint").alias("first"),
-        ),
-    )
-    rows = examples.select(listed.alias("_grams")).select(F.inline(marked))
-    counted = rows.groupBy("term").agg(
-        F.sum("first").alias("df"), F.count(F.lit(1)).alias("tf")
-    )
+    counted = term_counts(occurrences(examples, text))
     n = single(examples.agg(F.count(F.lit(1))))
     kept = top(
         counted.where(F.col("df") >= min_documents), max_features, F.desc("tf"), F.asc("term")
@@ -73,6 +62,22 @@ def tfidf_weights(
     return kept.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1)
 
 
+def occurrences(
+    examples: DataFrame, text: str = "text", grams: Callable[[Column], Column] = grams_of
+) -> DataFrame:
+    """``(once, term)``: every occurrence with 0, and once more with 1 per text that has it."""
+    both = examples.select(grams(F.col(text)).alias("_all"))
+    both = both.select(F.posexplode(F.array("_all", F.array_distinct("_all"))).alias("once", "_list"))
+    return both.select("once", F.explode("_list").alias("term"))
+
+
+def term_counts(rows: DataFrame) -> DataFrame:
+    """``(term, df, tf)`` of ``occurrences``; one aggregate counts both ways."""
+    return rows.groupBy("term").agg(
+        F.count_if(F.col("once") == 1).alias("df"), F.count_if(F.col("once") == 0).alias("tf")
+    )
+
+
 def fit_tfidf(
     examples: DataFrame,
     text: str = "text",

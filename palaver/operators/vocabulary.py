@@ -16,7 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.operators.common import single, top
-from palaver.operators.training import MAX_FEATURES, MIN_DOCUMENTS, grams_of
+from palaver.operators.training import (
+    MAX_FEATURES,
+    MIN_DOCUMENTS,
+    grams_of,
+    occurrences,
+    term_counts,
+)
 from palaver.session import shared_folder
 
 # Counters of the sketch: what a task ships in the first pass is at most this many rows.
@@ -25,13 +31,6 @@ COUNTERS = 1 << 20
 LOWER = 8
 
 
-def _terms(examples: DataFrame, text: str, grams: Callable[[Column], Column]) -> DataFrame:
-    """``(first, term)``: every occurrence, and once more the first of each text."""
-    both = examples.select(grams(F.col(text)).alias("_all"))
-    both = both.select(F.posexplode(F.array("_all", F.array_distinct("_all"))).alias("first", "_list"))
-    return both.select("first", F.explode("_list").alias("term"))
-
-
 def _counter(term: Column, counters: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(counters)).cast("int")
 
@@ -67,14 +66,11 @@ def frequent_terms(
     while True:
         path = shared_folder(session, "terms")
         heavy = sketch.where(F.col("most") >= bound).select("counter")
-        rows = _terms(examples, text, grams)
+        rows = occurrences(examples, text, grams)
         if bound > 1:
             rows = rows.withColumn("counter", _counter(F.col("term"), counters))
             rows = rows.join(heavy, "counter", "left_semi")
-        counted = rows.groupBy("term").agg(
-            F.count_if(F.col("first") == 1).alias("df"), F.count_if(F.col("first") == 0).alias("tf")
-        )
-        kept = counted.where(F.col("df") >= min_documents)
+        kept = term_counts(rows).where(F.col("df") >= min_documents)
         top(kept, max_features, F.desc("tf"), F.asc("term")).write.parquet(path)
         found = session.read.parquet(path)
         proven = found.agg(F.count_if(F.col("tf") >= bound)).first()[0]

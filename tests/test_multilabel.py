@@ -87,7 +87,7 @@ def test_passes_do_not_grow_with_labels(examples):
 
 
 def test_sums_of_many_tasks(examples, fitted, monkeypatch):
-    monkeypatch.setattr(multilabel, "ROWS_PER_FIT_TASK", 1)
+    monkeypatch.setattr(multilabel, "CELLS_EACH", 0)
     monkeypatch.setattr(multilabel, "FAN_IN", 2)
     monkeypatch.setattr(multilabel, "ENTRIES", 50)
     again = fit_multilabel(examples, NAMES)

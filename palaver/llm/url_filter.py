@@ -36,7 +36,7 @@ TAG = r"(?is)<(?:link|meta)\b[^>]*>"
 CANONICAL = r"(?is)\brel\s*=\s*[\"']?canonical\b"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"
-REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?((?:&(?:[a-z]+|#\w+);|[^\"'\s>;])+)"
 
 
 def host_of(url: Column) -> Column:
@@ -78,31 +78,75 @@ def verdict_of(rule: Column, rules: Sequence[Rule]) -> Column:
     return F.when(rule.isin(blocking), "block").when(rule.isNotNull(), "allow")
 
 
+def decoded(text: Column) -> Column:
+    """Text with the character references that URLs in attributes have, once."""
+    for reference, sign in (
+        (r"(?i)&(?:quot|#34|#x22);", "\""),
+        (r"(?i)&(?:apos|#39|#x27);", "'"),
+        (r"(?i)&(?:#47|#x2f|sol);", "/"),
+        (r"(?i)&(?:amp|#38|#x26);", "&"),
+    ):
+        text = F.regexp_replace(text, reference, sign)
+    return text
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` parts; ``..`` at the root stays there."""
+
+    def walk(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(
+            F.concat(kept, F.array(part))
+        )
+
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    start = F.array().cast("array<string>")
+    ended = F.when(path.rlike(r"(?:^|/)\.\.?$"), "/").otherwise("")
+    walked = F.array_join(F.aggregate(parts, start, walk), "/")
+    return F.concat(F.lit("/"), walked, F.when(walked == "", "").otherwise(ended))
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """A link's target as an absolute URL, seen from the page at ``url``.
+
+    Null for an empty target, a mere fragment, and schemes without a host such as mailto.
+    A target that is neither absolute nor begins with a slash or a question mark is relative
+    to the directory of the page's path.
+    """
+    base = F.concat(
+        F.regexp_extract(fold(url), "(?s)^(.*?:)//", 1), F.lit("//"), host_of(url)
+    )
+    own = path_of(url)
+    folder = F.regexp_extract(own, "(?s)^(.*/)", 1)
+    folder = F.when(folder == "", "/").otherwise(folder)
+    path = F.regexp_extract(target, "(?s)^([^?#]*)", 1)
+    rest = F.substr(target, F.length(path) + 1)
+    scheme = target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:")
+    return (
+        F.when(scheme, F.when(target.contains("://"), target))
+        .when(target.startswith("//"), F.concat(F.regexp_extract(fold(url), "(?s)^(.*?:)//", 1), target))
+        .when((target == "") | target.startswith("#"), None)
+        .when(target.startswith("?"), F.concat(base, own, target))
+        .when(target.startswith("/"), F.concat(base, without_dots(path), rest))
+        .otherwise(F.concat(base, without_dots(F.concat(folder, path)), rest))
+    )
+
+
 def alias_links(pages: DataFrame) -> DataFrame:
     """``(node, url)``: the pages' nodes and the URLs they name as canonical or go on to.
 
-    Targets may be absolute, start with ``//``, or start with ``/``; others are skipped.
+    Targets may be absolute or relative, and written with character references.
     """
     url, html = F.col("url"), F.coalesce(F.col("html"), F.lit(""))
     tags = F.regexp_extract_all(html, F.lit(TAG), F.lit(0))
     tagged = pages.where(F.lower(html).rlike("canonical|refresh")).select(
-        node_of(url).alias("node"),
-        F.regexp_extract(fold(url), "(?s)^(.*?:)//", 1).alias("scheme"),
-        host_of(url).alias("host"),
-        F.explode(tags).alias("tag"),
+        node_of(url).alias("node"), url.alias("url"), F.explode(tags).alias("tag")
     )
     target = F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", HREF, 1)).when(
         F.col("tag").rlike(REFRESH), F.regexp_extract("tag", REFRESH_URL, 1)
     )
-    found = tagged.where("node is not null").withColumn("target", target)
-    whole = (
-        F.when(F.col("target").contains("://"), F.col("target"))
-        .when(F.col("target").startswith("//"), F.concat("scheme", "target"))
-        .when(
-            F.col("target").startswith("/"),
-            F.concat(F.col("scheme"), F.lit("//"), F.col("host"), F.col("target")),
-        )
-    )
+    found = tagged.where("node is not null").withColumn("target", decoded(target))
+    whole = resolved(F.col("target"), F.col("url"))
     return found.select("node", whole.alias("url")).where(F.col("url").isNotNull())
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from urllib.parse import urljoin
+
+from pyspark.sql import functions as F
+
 from palaver.llm.queries import URL_RULES
-from palaver.llm.url_filter import Rule, filter_urls
+from palaver.llm.url_filter import Rule, filter_urls, resolved
 
 PAGES = "page_id bigint, url string, html string, host string, verdict string"
 RULES = (*URL_RULES, Rule("block", "bad.net", "/"), Rule("allow", "bad.net", "/fine/"))
@@ -80,6 +84,54 @@ def test_decisions_reach_aliases(spark):
     assert {i for i, r in found.items() if r.by_alias} == {1, 2, 3}
 
 
+TARGETS = (
+    "page.html", "./page.html", "../x", "../../x", "../../../x", "a/./b/../c", "?id=3", "/a/../b",
+    "/", ".", "..", "../", "x/.", "x/..", "//other.net/x", "http://other.net/a", "/go?u=http://b.net/",
+    "go?u=http://b.net/", "x#part", "a/b/", "%2e", "/a/b/../..", "x?a=../b",
+)
+
+
+def test_relative_targets_are_resolved_as_the_standard_says(spark):
+    bases = ["http://h.net/dir/sub/page", "https://h.net/", "http://h.net", "http://h.net/d/?q=1#f"]
+    rows = [(b, t) for b in bases for t in TARGETS]
+    found = spark.createDataFrame(rows, "url string, target string")
+    found = found.withColumn("whole", resolved(F.col("target"), F.col("url"))).collect()
+    for r in found:
+        # The base without its path has the root as its directory.
+        base = r.url if r.url.count("/") > 2 else r.url + "/"
+        expected = urljoin(base, r.target)
+        whole = r.whole.replace("net?", "net/?")  # the same node
+        assert whole.split("#")[0].rstrip("/") == expected.split("#")[0].rstrip("/"), r
+    odd = [("http://h.net/x", t) for t in ("", "#top", "mailto:a@b.net", "javascript:void(0)")]
+    frame = spark.createDataFrame(odd, "url string, target string")
+    assert {r[0] for r in frame.select(resolved(F.col("target"), F.col("url"))).collect()} == {None}
+
+
+def test_decisions_reach_relative_aliases(spark):
+    found = judged(spark, [
+        (1, "http://one.net/d/a", canonical("b.html")),
+        (2, "http://one.net/d/b.html", canonical("../e/c?x=1&amp;y=2")),
+        (3, "http://one.net/e/c?x=1&y=2", refresh("?x=2&#38;y=3")),
+        (4, "http://one.net/e/c?x=2&y=3", canonical("http://bad.net/x")),
+        (5, "http://one.net/e/c?x=2", canonical("#top")),
+        (6, "http://two.net/go", refresh("/out?u=http://bad.net/x")),
+    ])
+    assert {i: r.verdict for i, r in found.items()} == {
+        1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow",
+    }
+
+
+def test_long_pages_and_urls(spark):
+    filler = "<p>" + "text " * 60_000 + "</p>"
+    far = "http://long.net/" + "a/" * 5_000
+    rows = [
+        (1, "http://one.net/", filler + canonical("http://bad.net/x") + filler),
+        (2, far, canonical("../" * 5_000 + "up")),
+        (3, "http://long.net/up", canonical("http://bad.net/y")),
+    ]
+    assert {i: r.verdict for i, r in judged(spark, rows).items()} == {1: "block", 2: "block", 3: "block"}
+
+
 def test_long_chain_and_shared_url(spark):
     rows = [(i, f"http://h{i}.net/", canonical(f"http://h{i + 1}.net/")) for i in range(40)]
     rows += [(100 + i, "http://h0.net", None) for i in range(200)]

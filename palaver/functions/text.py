@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from re import _parser as parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -148,6 +150,75 @@ def pattern_hits(text: Column, folded: Column, pattern: str) -> Column:
     return hits
 
 
+def required_literal(pattern: str) -> str | None:
+    """The longest text that every match of a pattern contains, in lower case; None if unknown.
+
+    Only ASCII letters, digits, spaces and underscores count, of which ``fold_case`` keeps
+    all; anything optional, repeated or alternative ends a run of them.
+    """
+    try:
+        parsed = parser.parse(pattern)
+    except (re.error, OverflowError):
+        return None
+    runs = [""]
+
+    def read(items) -> None:
+        for kind, value in items:
+            name = str(kind)
+            if name == "LITERAL" and (chr(value).isalnum() or chr(value) in "_ ") and value < 128:
+                runs[-1] += chr(value).lower()
+            elif name == "AT":
+                continue  # an edge takes no room
+            else:
+                runs.append("")
+                if name == "SUBPATTERN":
+                    read(value[3])
+                elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+                    read(value[2])
+                elif name == "ATOMIC_GROUP":
+                    read(value)
+                runs.append("")
+
+    if parsed.state.flags & re.VERBOSE:
+        return None
+    read(parsed)
+    longest = max(runs, key=len)
+    return longest if len(longest) > 1 else None
+
+
+def any_literal(literals: Sequence[str]) -> str:
+    """A regular expression whose group 1 is the longest of the literals at a place.
+
+    It takes no room, so that every place of a text is tried.  Literals with a common start
+    share it, so a place is left at the first character that none of them goes on with.
+    """
+    tree: dict = {}
+    for literal in literals:
+        node = tree
+        for char in literal:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        ways = [java_literal(c) + written(node[c]) for c in sorted(node) if c]
+        if not ways:
+            return ""
+        chosen = f"(?:{'|'.join(ways)})"
+        return chosen + "?" if "" in node else chosen
+
+    return f"(?=({written(tree)}))"
+
+
+def shared_literals(folded: Column, literals: Sequence[str]) -> Column:
+    """Which of the literals a text contains, from one pass over it.
+
+    ``folded`` is ``fold_case`` of the text.  The longest literal at a place stands for those
+    that it begins with.
+    """
+    found = F.regexp_extract_all(folded, F.lit(any_literal(literals)), F.lit(1))
+    return F.array_distinct(found)
+
+
 def java_literal(text: str) -> str:
     """A literal escaped for Java regular expressions, character by character."""
     return "".join(c if c.isalnum() or c in "_ " else f"\\x{{{ord(c):x}}}" for c in text)

@@ -20,6 +20,7 @@ from palaver.operators.common import (
     limit_per_key,
     single,
     top,
+    value_counts,
 )
 from palaver.operators.skew import join_unique
 
@@ -85,8 +86,6 @@ def visual_posts(posts: DataFrame, hints: Sequence[str] = VISUAL_HINTS) -> DataF
 
 
 WEEK = timedelta(days=7)
-# Rows of one week that may meet in a task after the first cut.
-WEEK_ROWS = 1_000_000
 
 
 def _instant(moment: datetime) -> Column:
@@ -120,13 +119,13 @@ def weekly_sample(
 
     Copies of a post id at one time count as the one whose row has the least hash.
 
-    A period has few weeks, so ranking by week alone would bring a week's posts to
-    one task.  They are first cut to the quota inside sub-groups of a week, as many as
-    keep what is left of a week below ``WEEK_ROWS`` or the quota, whichever is more.
+    A period has few weeks, so ranking by week would bring a week's posts to one task.  A
+    week's posts are counted per leading hash digits instead, which shows in which group of
+    digits its quota ends.  Groups before that one are taken where they are; of that one the
+    first posts are, and each task hands on no more of them than the quota.
     """
     weeks = week_count(start, end)
     base, extra = divmod(target, weeks)
-    spread = max(1, WEEK_ROWS // (base + 1))
     created = F.col("post_created_at")
     inside = posts.where(
         F.col("post_id").isNotNull()
@@ -143,17 +142,28 @@ def weekly_sample(
         )
         .withColumn("week", week_of(created, start))
         .withColumn("_place", shuffle_key("post_id", seed))
-        .withColumn("_part", F.pmod(F.xxhash64("post_id"), F.lit(spread)))
+        .withColumn("_start", F.substring("_place", 1, _DIGITS))
     )
-    order = [F.col("_place"), F.col("post_id")]
-    cut = limit_per_key(placed, ["week", "_part"], order, base + 1)
-    rank = F.row_number().over(Window.partitionBy("week").orderBy(*order))
     quota = F.when(F.col("week") < extra, base + 1).otherwise(base)
-    return (
-        cut.withColumn("_rank", rank)
-        .where((F.col("_rank") <= base + 1) & (F.col("_rank") <= quota))
-        .drop("_rank", "_place", "_part")
+    # At most 16**_DIGITS rows a week.
+    so_far = F.sum("n").over(Window.partitionBy("week").orderBy("_start"))
+    reached = value_counts(placed, "week", "_start", name="n").withColumn("so_far", so_far)
+    crossing = F.col("so_far").between(quota, quota + F.col("n") - 1)
+    ends = reached.where(crossing).select(
+        F.col("week").alias("_week"),
+        F.col("_start").alias("_last"),
+        (quota - F.col("so_far") + F.col("n")).alias("_wanted"),
+    )
+    # One row a week, and the period says how many weeks there are.
+    judged = placed.where(quota > 0).join(
+        F.broadcast(ends), F.col("week") == F.col("_week"), "left"
     )
+    # A week without an end has fewer posts than its quota.
+    whole = F.col("_last").isNull() | (F.col("_start") < F.col("_last"))
+    rank = F.row_number().over(Window.partitionBy("week").orderBy("_place", "post_id"))
+    ended = judged.where(F.col("_start") == F.col("_last")).withColumn("_rank", rank)
+    ended = ended.where((F.col("_rank") <= base + 1) & (F.col("_rank") <= F.col("_wanted")))
+    return judged.where(whole).unionByName(ended.drop("_rank")).select(*posts.columns, "week")
 
 
 def cap_comments(comments: DataFrame, limit: int = COMMENTS_PER_POST) -> DataFrame:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.fixed import KEYWORDS, NEGATIVE_WORDS, POSITIVE_WORDS
 from palaver.functions import text as X
 from palaver.functions.values import ratio
-from palaver.operators.common import single, top, value_counts
-
+from palaver.operators.common import compute_once, single, top, value_counts
 
+# Patterns with a literal from which on one shared pass looks for all their literals.
+SHARED_PATTERNS = 16
 
 def term_counts(df: DataFrame, min_length: int = 3) -> DataFrame:
     """``(term, count)`` for every term."""
@@ -79,40 +81,107 @@ def keyword_frequencies(
     """``(keyword, comments_with_keyword, total_mentions, pct_comments)``.
 
     Every pattern is counted in the same pass and one aggregate; keywords without
-    a hit stay.  Patterns are case-insensitive and Unicode-aware.
+    a hit stay.  Patterns are case-insensitive and Unicode-aware.  Of many patterns, those
+    that need some literal text are tried only on comments that have it, which one shared
+    pass over each comment tells for all of them.
     """
     keywords = list(keywords or KEYWORDS)
     body, folded = F.col("comment_body"), F.col("_folded")
-    hits = df.select(body, X.fold_case(body).alias("_folded")).select(
-        *[
-            X.pattern_hits(body, folded, pattern).alias(f"_{i}")
-            for i, (_, pattern) in enumerate(keywords)
-        ]
-    )
-    counted = hits.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col(f"_{i}") > 0).alias(f"c{i}") for i in range(len(keywords))],
-        *[F.sum(f"_{i}").alias(f"m{i}") for i in range(len(keywords))],
-    ).where(F.col("n") > 0)
+    needed = [X.required_literal(pattern) for _, pattern in keywords]
+    if sum(n is not None for n in needed) >= SHARED_PATTERNS:
+        counted = _counted_together(df, [p for _, p in keywords], needed)
+        counts = [(F.get("c", F.lit(i)), F.get("m", F.lit(i))) for i in range(len(keywords))]
+    else:
+        hits = df.select(body, X.fold_case(body).alias("_folded")).select(
+            *[
+                X.pattern_hits(body, folded, pattern).alias(f"_{i}")
+                for i, (_, pattern) in enumerate(keywords)
+            ]
+        )
+        counted = hits.agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.count_if(F.col(f"_{i}") > 0).alias(f"c{i}") for i in range(len(keywords))],
+            *[F.sum(f"_{i}").alias(f"m{i}") for i in range(len(keywords))],
+        )
+        counts = [(F.col(f"c{i}"), F.col(f"m{i}")) for i in range(len(keywords))]
     entries = F.array(
         *[
             F.struct(
                 F.lit(label).alias("keyword"),
-                F.col(f"c{i}").alias("comments_with_keyword"),
-                F.col(f"m{i}").alias("total_mentions"),
-                F.round(ratio(F.col(f"c{i}"), F.col("n")) * 100, 2).alias("pct_comments"),
+                comments.alias("comments_with_keyword"),
+                mentions.alias("total_mentions"),
+                F.round(ratio(comments, F.col("n")) * 100, 2).alias("pct_comments"),
             )
-            for i, (label, _) in enumerate(keywords)
+            for (label, _), (comments, mentions) in zip(keywords, counts, strict=True)
         ]
     )
     return top(
-        counted.select(F.inline(entries)),
+        counted.where(F.col("n") > 0).select(F.inline(entries)),
         len(keywords),
         F.desc("comments_with_keyword"),
         F.asc("keyword"),
     )
 
 
+def _counted_together(
+    df: DataFrame, patterns: Sequence[str], needed: Sequence[str | None]
+) -> DataFrame:
+    """``(n, c, m)``: comments, and per pattern the comments with it and its mentions.
+
+    A comment yields a row for itself and one per pattern that hits it, not one value per
+    pattern; those rows are added up before they are shuffled.  Whole words are counted among
+    the comment's words and take no regular expression.
+    """
+    body, folded = F.col("comment_body"), F.col("_folded")
+    rows = df.select(body, X.fold_case(body).alias("_folded"))
+    words = {p: m.group(1) for p in patterns if (m := re.fullmatch(r"\\b([a-z0-9_]+)\\b", p))}
+    others = [(i, p, n) for i, (p, n) in enumerate(zip(patterns, needed, strict=True)) if p not in words]
+    literals = sorted({n for _, _, n in others if n})
+    if literals:
+        rows = compute_once(rows, "_found", X.shared_literals(folded, literals))
+    if words:
+        wanted = sorted(set(words.values()))
+        said = F.filter(X.word_tokens(folded), lambda word: word.isin(wanted))
+        rows = compute_once(rows, "_said", said)
+    # A literal is also there where a longer one that begins with it is.
+    longer = {n: F.lit([x for x in literals if x.startswith(n)]) for n in literals}
+
+    def hits_of(pattern: str, need: str | None) -> Column:
+        if need is None:
+            return X.pattern_hits(body, folded, pattern)
+        counted = F.regexp_count(body, F.lit(X.java_regex(pattern)))
+        return F.when(F.arrays_overlap("_found", longer[need]), counted).otherwise(0)
+
+    def entry(key: Column, hits: Column) -> Column:
+        return F.struct(key.alias("key"), hits.cast("bigint").alias("hits"))
+
+    # The row of the comment itself has an empty key, patterns have their numbers or words.
+    listed = F.array(
+        entry(F.lit(""), F.lit(1)),
+        *[entry(F.lit(f"/{i}"), hits_of(pattern, need)) for i, pattern, need in others],
+    )
+    if words:
+        counted = F.transform(
+            F.array_distinct("_said"),
+            lambda word: entry(word, F.size(F.filter("_said", lambda other: other == word))),
+        )
+        nothing = F.array().cast("array<struct<key: string, hits: bigint>>")
+        listed = F.concat(listed, F.coalesce(counted, nothing))
+    hits = rows.select(F.inline(listed)).where(F.col("hits") > 0)
+    each = hits.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("hits").alias("m"))
+    every = F.map_from_entries(F.collect_list(F.struct("key", F.struct("c", "m").alias("x"))))
+    keys = F.lit([words.get(p, f"/{i}") for i, p in enumerate(patterns)])
+    zero = F.lit(0).cast("bigint")
+
+    def of(name: str) -> Column:
+        return F.transform(
+            keys, lambda key: F.coalesce(F.try_element_at("by", key)[name], zero)
+        ).alias(name)
+
+    comments = F.coalesce(F.try_element_at("by", F.lit(""))["c"], zero)
+    return each.agg(every.alias("by")).select(comments.alias("n"), of("c"), of("m"))
+
+
 def lexicon_word_counts(df: DataFrame) -> DataFrame:
     """``(word, polarity, count)`` of whole-word hits, words without a hit left out.
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palaver.fixed import NEGATIVE_WORDS, POSITIVE_WORDS
 from palaver.functions import labels as L
 from palaver.functions.text import strip_urls
 from palaver.functions.values import epoch_seconds
@@ -22,7 +24,9 @@ from palaver.operators import training as M
 from palaver.operators import vocabulary as V
 from palaver.operators.ledger import fill_ledger, score_with_ledger
 from palaver.operators.multilabel import fit_multilabel, optimality
+from palaver.operators.quantiles import exact_quantiles
 from palaver.operators.reply_cache import ReplyCache, score_with_reply_cache
+from palaver.operators.term_index import TermIndex
 from palaver.plans import adapter, toys
 from palaver.plans.jobs import benchmark
 from palaver.session import shared_folder
@@ -48,6 +52,13 @@ PATTERNS = (
     ("long run", r"\S{12,}", "[^{WS}]{{12,}}"),
     ("optional edge", r"\b?the", "(?i)the"),
 )
+# Patterns enough for their literals to be looked for together.
+MANY_PATTERNS = tuple(
+    (w, rf"\b{w}\b")
+    for w in (*POSITIVE_WORDS, *NEGATIVE_WORDS, "the", "of the", "and the", "der", "que", "les")
+)
+SEARCHED = (TERM, "the", "of the", "und der", "not in any comment")
+QUARTILES = (0.25, 0.5, 0.75)
 TEST_SAMPLES = 100
 STEPS = 4
 WIDE = ("joy", "anger", "pride", "fear")
@@ -145,9 +156,20 @@ on_clean(
     lambda df: T.keyword_frequencies(df, [(label, java) for label, java, _ in PATTERNS]),
     "keyword_frequencies_custom",
 )
+on_clean(lambda df: T.keyword_frequencies(df, MANY_PATTERNS), "keyword_frequencies_many")
 on_clean(T.lexicon_word_counts, "lexicon_word_counts")
 on_clean(T.lexicon_summary, "lexicon_summary")
 
+
+@query
+def term_index_search(spark, sf_dir):
+    """Several terms looked up in one index of the comments."""
+    index = TermIndex(spark, shared_folder(spark, "terms"))
+    index.build(cleaned(spark, sf_dir))
+    found = [index.search(t).select(F.lit(t).alias("term"), "*") for t in SEARCHED]
+    return reduce(DataFrame.unionByName, found)
+
+
 # --- predictions ---------------------------------------------------------------
 
 on_predictions(P.emotion_frequency, "emotion_frequency")
@@ -176,6 +198,16 @@ on_predictions(P.avg_score_by_sentiment, "avg_score_by_sentiment")
 on_predictions(P.score_spread_by_sentiment, "score_spread_by_sentiment")
 
 
+@query
+def score_quartiles(spark, sf_dir):
+    """Exact quartiles of a score that is nearly never the same twice."""
+    per_length = F.col("comment_score") / (F.length("comment_body") + 0.5)
+    rows = predicted(spark, sf_dir).withColumn("score_per_length", per_length)
+    found = exact_quantiles(rows, ["predicted_sentiment"], "score_per_length", QUARTILES)
+    quartiles = [F.round(F.get("q", F.lit(i)), 9).alias(f"q{i + 1}") for i in range(3)]
+    return found.select("predicted_sentiment", "n", *quartiles)
+
+
 @query
 def avg_post_score_by_sentiment(spark, sf_dir):
     comments = cleaned(spark, sf_dir)

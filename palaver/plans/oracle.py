@@ -14,9 +14,12 @@ from palaver.plans.catalogue import (
     MIN_LENGTH,
     PERIOD,
     NO_ID,
+    MANY_PATTERNS,
     PATTERNS,
+    QUARTILES,
     SAMPLE,
     SCORE_THRESHOLD,
+    SEARCHED,
     TERM,
     TEST_SAMPLES,
     WEEKLY_TARGET,
@@ -215,10 +218,10 @@ left join cleaned c on c.{column} > b.low and c.{column} <= b.high
 group by b.bin"""
 
 
-def keyword_rows() -> str:
+def keyword_rows(patterns: tuple[tuple[str, str], ...] = fixed.KEYWORDS) -> str:
     """Counts with every separator doubled, so neighbouring hits share none."""
     rows = []
-    for label, pattern in fixed.KEYWORDS:
+    for label, pattern in patterns:
         inner = pattern.replace(r"\b", "").replace(r"[\s-]?", rf"([{WS}-][{WS}-])?")
         inner = inner.replace(" ", "  ")
         rows.append(
@@ -474,6 +477,35 @@ counted as ({keyword_rows()})""",
   round(count(*) filter (where n > 0) / count(*) * 100, 2) as pct_comments
 from counted group by keyword""",
     ),
+    "keyword_frequencies_many": with_(
+        f"""{CLEAN},
+doubled as (
+  select ' ' || regexp_replace(lower(comment_body), '([^{W}])', '\\1\\1', 'g') || ' ' as spaced
+  from cleaned
+),
+counted as ({keyword_rows(MANY_PATTERNS)})""",
+        """select keyword, count(*) filter (where n > 0) as comments_with_keyword,
+  cast(sum(n) as bigint) as total_mentions,
+  round(count(*) filter (where n > 0) / count(*) * 100, 2) as pct_comments
+from counted group by keyword""",
+    ),
+    "term_index_search": with_(
+        CLEAN,
+        " union all ".join(
+            f"""(select {quote(term)} as term, post_title, comment_body, comment_score, comment_author,
+  count(*) over () as total_matches from cleaned
+where regexp_matches(lower(comment_body), '(^|[^{W}]){term}([^{W}]|$)')
+order by comment_id limit 10)"""
+            for term in SEARCHED
+        ),
+    ),
+    "score_quartiles": with_(
+        PREDICTED,
+        "select predicted_sentiment, count(x) as n, "
+        + ", ".join(f"round(quantile_cont(x, {q}), 9) as q{i + 1}" for i, q in enumerate(QUARTILES))
+        + " from (select predicted_sentiment, cast(comment_score as double) / "
+        "(length(comment_body) + 0.5) as x from predicted) where x is not null group by 1",
+    ),
     "lexicon_word_counts": with_(
         f"{CLEAN}, found as (select unnest({words('comment_body')}) as word from cleaned)",
         "select word, polarity, count(*) as count from found "

@@ -1,0 +1,73 @@
+"""Many keyword patterns in one pass against each pattern by itself."""
+
+from __future__ import annotations
+
+import random
+import time
+
+import pytest
+
+from palaver.functions import text as X
+from palaver.operators import terms
+from palaver.operators.terms import keyword_frequencies
+
+
+def test_required_literals():
+    cases = {
+        r"\bjoy\b": "joy", r"\bnew york\b": "new york", r"ab+cd": "cd", r"(abc|abd)x": "ab",
+        r"colou?r": "colo", r"(?:foo){2}bar": "foo", r"(?:foo)*bar": "bar", r"\d+": None, "a": None,
+        r"Straße": "stra", r"[ab]cd": "cd", r"(": None, r"x{0,2}yes": "yes", r"a\.b": None,
+        r"(?=abc)d": None, r"(?:hello) world": "hello world", r"wor\bld": "world", r"": None,
+        r"(?x) a b c": None, r"LOUD": "loud", r"un(?:believ)able": "unbelievable", r"un(believ)able": "believ",
+    }
+    assert {p: X.required_literal(p) for p in cases} == cases
+
+
+def test_every_literal_is_found(one):
+    literals = ["a", "ab", "abc", "bc", "new york", "york times", "b c", "xyz", "xy"]
+    texts = ["abc", "new york times", "ab c", "xy", "zzz", "", "aXYZbc", "abcabc"]
+    found = one(lambda c: X.shared_literals(X.fold_case(c), literals), *texts)
+    for text, got in zip(texts, found, strict=True):
+        whole = {x for x in literals if any(g.startswith(x) for g in got)}
+        assert whole == {x for x in literals if x in text.lower()}, text
+
+
+def patterns(n: int) -> list[tuple[str, str]]:
+    rng = random.Random(n)
+    kinds = [r"\b{a}\b", r"{a}", r"\b{a} {b}\b", r"{a}\w*", r"(?:{a}|{b})", r"\b{a}s?\b", r"{a}[.,]", r"\W{a}"]
+    made = []
+    for i in range(n):
+        a, b = ("".join(rng.choices("abcdeiks", k=rng.randint(2, 5))) for _ in range(2))
+        made.append((f"p{i:03}", rng.choice(kinds).format(a=a, b=b)))
+    return made
+
+
+def test_same_counts_as_one_by_one(spark, monkeypatch):
+    rng = random.Random(9)
+    made = patterns(60) + [("odd", r"\bI\b"), ("digits", r"\d\d")]
+    words = ["".join(rng.choices("abcdeiksİıſK", k=rng.randint(1, 6))) for _ in range(400)]
+    words += [p.replace(r"\b", "").replace(r"\w*", "x") for _, p in made]
+    rows = [(" ".join(rng.choices(words, k=rng.randint(0, 40))).replace(" a", ". A"),) for _ in range(400)]
+    df = spark.createDataFrame([*rows, (None,), ("",)], "comment_body string").repartition(4)
+    shared = keyword_frequencies(df, made).collect()
+    monkeypatch.setattr(terms, "SHARED_PATTERNS", 10_000)
+    assert shared == keyword_frequencies(df, made).collect()
+    assert sum(r["total_mentions"] > 0 for r in shared) > 20
+
+
+@pytest.mark.parametrize("_", [0])
+def test_time_hardly_grows_with_patterns(spark, _):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(5_000)]
+    rows = [(" ".join(rng.choices(words, k=300)),) for _ in range(16_000)]
+    df = spark.createDataFrame(rows, "comment_body string").repartition(8).persist()
+    df.count()
+    seconds = {}
+    for n in (10, 100):
+        made = [(f"k{i}", rf"\b{w}\w*" if i % 10 == 1 else rf"\b{w}\b") for i, w in enumerate(words[:n])]
+        for _ in range(2):
+            started = time.perf_counter()
+            keyword_frequencies(df, made).collect()
+            seconds[n] = time.perf_counter() - started
+    df.unpersist()
+    assert seconds[100] < 3 * seconds[10], seconds

@@ -22,9 +22,9 @@ from palaver.llm.common import crc_of
 UNKNOWN = "und"
 HELD_OUT = 5
 
-# Bound on the documents per language, and on the languages, that the field is fitted on.
-ROWS_PER_LANGUAGE = 300
-LANGUAGES = 200
+# Bound on the documents per language that the field is fitted on, and on all of them; with
+# more languages than fit into the second, there is one document of each.
+ROWS_PER_LANGUAGE, FIT_ROWS = 300, 60_000
 # Multiple of the bound that is ranked to find the least hashes.
 RANKED = 4
 
@@ -262,6 +262,7 @@ class Labeller:
 def fit(docs: DataFrame) -> Field:
     """A field fitted on at most ``ROWS_PER_LANGUAGE`` documents of each language.
 
+    Every language counts; many languages have fewer documents each (``FIT_ROWS``).
     Of the documents that may be learned from, those with the least hash of id and
     language are taken, whole, so reruns agree.  Only rows whose hash lies in a share of its
     range that holds several times the bound are ranked, so a language with most of the rows
@@ -270,20 +271,16 @@ def fit(docs: DataFrame) -> Field:
     remainder = F.crc32(F.col("doc_id").cast("string")) % HELD_OUT
     labelled = docs.where(F.col("lang").isNotNull() & (remainder != 0))
     sizes = {
-        r.lang: r.n
-        for r in labelled.groupBy("lang")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "lang")
-        .limit(LANGUAGES)
-        .collect()
+        r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     }
     if not sizes:
         return Field([])
     languages = list(sizes)
+    each = max(1, min(ROWS_PER_LANGUAGE, FIT_ROWS // len(languages)))
     place = F.shiftrightunsigned(F.xxhash64("doc_id", "lang"), 1)
     reach = F.coalesce(
         *[
-            F.when(F.col("lang") == lang, int(2**63 * min(1.0, RANKED * ROWS_PER_LANGUAGE / n)) - 1)
+            F.when(F.col("lang") == lang, int(2**63 * min(1.0, RANKED * each / n)) - 1)
             for lang, n in sizes.items()
         ]
     )
@@ -291,13 +288,13 @@ def fit(docs: DataFrame) -> Field:
     chosen = (
         labelled.where(place <= reach)
         .select("doc_id", "lang", F.row_number().over(order).alias("_place"))
-        .where(F.col("_place") <= ROWS_PER_LANGUAGE)
+        .where(F.col("_place") <= each)
         .select("doc_id", "lang")
         .distinct()
     )
     # The chosen rows are bounded by languages and documents per language.
     sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text")
-    bound = ROWS_PER_LANGUAGE * len(languages)
+    bound = each * len(languages)
     rows = sample.orderBy(place, "doc_id", "text").limit(bound).collect()
     field = Field(sorted(languages))
     field.fit([(r.text, r.lang) for r in rows])

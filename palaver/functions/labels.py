@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,6 +94,11 @@ def above_threshold(
     return F.array_compact(paired)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 # Pieces of JSON: a key with its colon, another string, a bracket, anything else.
 _PIECES = r'(?s)"(?:[^"\\]|\\.)*"\s*:|"(?:[^"\\]|\\.)*"|[{\[]|[}\]]|[^"{}\[\]]+|"'
 _ANSWERS = ("emotions", "labels")
@@ -126,22 +131,21 @@ def last_answers(text: Column) -> Column:
             ],
         )
 
-    # One element: what follows refers to the scan, which an expression would repeat.
-    scanned = F.transform(F.array(F.struct(pieces.alias("p"))), lambda x: F.struct(
-        x["p"].alias("p"), F.aggregate(x["p"], start, read).alias("last")
-    ))
 
-    def named(x: Column) -> Column:
+    def named(listed: Column, last: Column) -> Column:
         def one(piece: Column, i: Column) -> Column:
             kept = F.lit(False)
             for name in _ANSWERS:
-                kept = kept | (x["last"][name] == i)
+                kept = kept | (last[name] == i)
             key = piece.startswith('"') & piece.endswith(":") & ~kept
             return F.when(key, F.concat(F.lit('"k'), i.cast("string"), F.lit('":'))).otherwise(piece)
 
-        return F.array_join(F.transform(x["p"], one), "")
+        return F.array_join(F.transform(listed, one), "")
 
-    return F.get(F.transform(scanned, named), F.lit(0))
+    return once(
+        pieces,
+        lambda listed: once(F.aggregate(listed, start, read), lambda last: named(listed, last)),
+    )
 
 
 def _json(text: Column) -> Column:
@@ -162,19 +166,24 @@ def parse_reply(raw: Column) -> Column:
     vocabulary = string_array(EMOTIONS)
     whole = _json(strip(raw))
     embedded = _json(F.regexp_extract(raw, EMBEDDED_REPLY, 0))
-    payload = F.coalesce(whole, embedded)
-    answer = F.coalesce(
-        F.try_variant_get(payload, "$.emotions", "variant"),
-        F.try_variant_get(payload, "$.labels", "variant"),
-        F.when(F.schema_of_variant(payload).startswith("ARRAY"), payload),
-    )
-    items = F.try_variant_get(answer, "$", "array<variant>")
-    named = F.when(
-        F.schema_of_variant(answer) == "STRING",
-        F.array(F.try_variant_get(answer, "$", "string")),
-    ).otherwise(F.transform(items, lambda item: F.try_variant_get(item, "$", "string")))
+
+    def answer_of(payload: Column) -> Column:
+        return F.coalesce(
+            F.try_variant_get(payload, "$.emotions", "variant"),
+            F.try_variant_get(payload, "$.labels", "variant"),
+            F.when(F.schema_of_variant(payload).startswith("ARRAY"), payload),
+        )
+
+    def named_in(answer: Column) -> Column:
+        items = F.try_variant_get(answer, "$", "array<variant>")
+        return F.when(
+            F.schema_of_variant(answer) == "STRING",
+            F.array(F.try_variant_get(answer, "$", "string")),
+        ).otherwise(F.transform(items, lambda item: F.try_variant_get(item, "$", "string")))
+
+    named = once(F.coalesce(whole, embedded), lambda payload: once(answer_of(payload), named_in))
     spoken = F.array_intersect(vocabulary, word_tokens(F.lower(raw)))
-    candidates = F.when(F.size(named) > 0, named).otherwise(spoken)
+    candidates = once(named, lambda found: F.when(F.size(found) > 0, found).otherwise(spoken))
     return F.array_intersect(
         F.transform(candidates, lambda name: F.lower(strip(name))), vocabulary
     )

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from palaver.llm.common import checkpointed, map_rows, own_names, stored
 from palaver.llm.components import connected_components
-from palaver.llm.similar_texts import BANDS, ROWS, SIMILARITY, signatures, similar_groups
+from palaver.llm.similar_texts import BANDS, ROWS, SIMILARITY, few, signatures, similar_groups
 from palaver.llm.similar_texts import SHINGLE as SIMILAR_SHINGLE
 
 SHINGLE = 3
@@ -287,14 +287,24 @@ def keep_one_similar(
 
 
 def _least_of_groups(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The document that stays of each ``_group`` of ``(doc_id, _row)``."""
+    """The document that stays of each ``_group`` of ``(doc_id, _row)``.
+
+    Documents that go, and those of wholly equal rows, are looked up by their keys; all
+    others stay where they are.
+    """
     rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_row")
     kept = labelled.groupBy("_group").agg(F.min(rank).alias("kept"))
-    # Structs are equal where their nulls are, and one key serves the join and what follows.
+    # Structs are equal where their nulls are.
     kept = kept.select(F.struct("kept.doc_id", "kept._row").alias("_key"))
+    key = F.struct("doc_id", "_row").alias("_key")
+    rows = labelled.select(key).groupBy("_key").agg(F.count(F.lit(1)).alias("rows"))
+    judged = rows.join(kept.withColumn("stays", F.lit(True)), "_key", "left")
+    single = (F.col("rows") == 1) & F.col("stays").isNotNull()
+    others = stored(judged.where(~single).select("_key", F.col("stays").isNotNull().alias("stays")))
     marked = docs.withColumn("_key", F.struct("doc_id", F.xxhash64(*docs.columns).alias("_row")))
-    matched = marked.join(kept, "_key", "left_semi")
-    return matched.dropDuplicates(["_key"]).select(*docs.columns)
+    left = marked.join(few(others.select("_key")), "_key", "left_anti")
+    again = marked.join(few(others.where("stays").select("_key")), "_key", "left_semi")
+    return left.unionByName(again.dropDuplicates(["_key"])).select(*docs.columns)
 
 
 def _representatives(printed: DataFrame) -> DataFrame:

@@ -44,8 +44,8 @@ def _places(value: Column, bits: int) -> list[Column]:
 def bloom_filter(digests: DataFrame, bits: int, column: str = "text_sha256") -> Column:
     """The filter's bits as an array of 64-bit words, a scalar of the query.
 
-    Words that no digest sets are not shuffled; the words that are set meet in one task,
-    which at the largest size are ``MOST_BITS`` / 64.
+    Every word, set or not, is a row; they meet in one task, which at the largest size are
+    ``MOST_BITS`` / 64, and are sorted there.
     """
     places = digests.select(F.explode(F.array(*_places(F.col(column), bits))).alias("place"))
     word = F.floor(F.col("place") / 64).alias("word")
@@ -53,12 +53,11 @@ def bloom_filter(digests: DataFrame, bits: int, column: str = "text_sha256") ->
         "shiftleft", F.lit(1).cast("bigint"), F.pmod("place", F.lit(64)).cast("int")
     )
     words = places.groupBy(word).agg(F.bit_or(bit).alias("bits"))
-    pairs = F.map_from_entries(F.collect_list(F.struct("word", "bits")))
-    filled = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.lit(bits // 64 - 1).cast("bigint")),
-        lambda i: F.coalesce(F.try_element_at("known", i), F.lit(0).cast("bigint")),
-    )
-    return words.agg(pairs.alias("known")).select(filled).scalar()
+    zero = F.lit(0).cast("bigint").alias("bits")
+    every = digests.sparkSession.range(bits // 64).select(F.col("id").alias("word"), zero)
+    filled = every.unionByName(words).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    listed = F.sort_array(F.collect_list(F.struct("word", "bits")))
+    return filled.agg(listed.alias("all")).select(F.col("all.bits")).scalar()
 
 
 def passes(value: Column, words: Column, bits: int) -> Column:
@@ -87,7 +86,10 @@ class ReplyCache:
     path: str
 
     def append(self, answers: DataFrame) -> None:
-        """Add ``(model_key, text_sha256, emotions)``; a pair that is there counts once."""
+        """Add ``(model_key, text_sha256, emotions)``; a pair that is there counts once.
+
+        A bucket's rows meet in one task, so a folder has one file per bucket and model.
+        """
         rows = answers.select(
             "text_sha256",
             "emotions",
@@ -95,7 +97,8 @@ class ReplyCache:
             F.substring("text_sha256", 1, DIGITS).alias("bucket"),
         )
         name = f"append-{uuid.uuid4().hex}"
-        rows.write.partitionBy("model_key", "bucket").parquet(f"{self.path}/{name}")
+        dealt = rows.repartition("bucket")
+        dealt.write.partitionBy("model_key", "bucket").parquet(f"{self.path}/{name}")
 
     def _folders(self) -> list[str]:
         """Folders that hold the cache now: the base and the appends it has not absorbed."""
@@ -161,6 +164,7 @@ class ReplyCache:
             .groupBy("model_key", "text_sha256")
             .agg(F.any_value("emotions").alias("emotions"))
             .withColumn("bucket", F.substring("text_sha256", 1, DIGITS))
+            .repartition("bucket")
             .sortWithinPartitions("model_key", "bucket", "text_sha256")
         )
         base = f"base-{uuid.uuid4().hex}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,27 @@ def test_filter_has_no_false_negatives(spark):
     assert bits_for(0) == 4096 and bits_for(10**12) == 1 << 26
 
 
+def test_large_filter_is_filled_in_linear_time(spark):
+    asked = spark.range(150_000).select(F.sha2(F.col("id").cast("string"), 256).alias("text_sha256"))
+    bits = bits_for(150_000)
+    start = time.perf_counter()
+    words = asked.select(bloom_filter(asked, bits).alias("words")).first()["words"]
+    assert time.perf_counter() - start < 12
+    assert len(words) == bits // 64
+    again = asked.where(passes(F.col("text_sha256"), bloom_filter(asked, bits), bits))
+    assert again.count() == 150_000
+
+
+def test_a_bucket_is_one_file_of_a_folder(spark, tmp_path):
+    """However many tasks the answers come from, and after compaction too."""
+    cache = ReplyCache(spark, str(tmp_path / "cache"))
+    cache.append(answers(spark, "m", [f"text {i}" for i in range(2_000)]).repartition(7))
+    cache.compact()
+    for folder in ("append-*", "base-*"):
+        files = list((tmp_path / "cache").glob(f"{folder}/*/*/*.parquet"))
+        assert len(files) == len({f.parent for f in files}) == 256
+
+
 def test_shuffled_rows_follow_the_question(spark, tmp_path):
     """With ten times the cache, hardly more of its rows pass the filter."""
     passed = []

@@ -19,7 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.llm.common import checkpointed, crc_of, fold, stored
@@ -30,8 +30,8 @@ CODE_POINTS = 0x110000
 
 DEPTH = 5
 # Least number of symbols that a retained suffix precedes, so that the tree grows with the
-# corpus, up to TREE_ROWS pairs of a suffix and a next symbol, which tasks hold; beyond, the
-# least number is doubled until it fits.
+# corpus.  Tasks hold a tree of up to TREE_ROWS pairs of a suffix and a next symbol; a larger
+# one stays a table that the distinct words are joined to, whole.
 LEAST_COUNT, TREE_ROWS = 100, 1_000_000
 # Least gain in log-likelihood (nats) over the parent's distribution.
 LEAST_GAIN = 20.0
@@ -53,15 +53,15 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``(word, n)`` over the training documents; the empty word counts text ends."""
+def word_counts(docs: DataFrame, every: bool = False) -> DataFrame:
+    """``(word, n)`` over the training documents, or all; the empty word counts text ends."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counter()
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if not held_out(doc_id):
+                if every or not held_out(doc_id):
                     seen.update(words_of(text.as_py()))
                     seen[b""] += 1
                 if len(seen) > GATHERED:
@@ -78,6 +78,13 @@ def _batch(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def grams_of(word: str) -> Iterator[str]:
+    """Every symbol of a word and its end, after up to ``DEPTH`` symbols before it."""
+    marked = START + word + STOP if word else START + END
+    for at in range(1, len(marked)):
+        yield marked[max(0, at - DEPTH) : at + 1]
+
+
 def suffix_counts(counts: DataFrame) -> DataFrame:
     """``(context, symbol, n)``: every context of up to ``DEPTH`` symbols and what follows.
 
@@ -91,9 +98,7 @@ def suffix_counts(counts: DataFrame) -> DataFrame:
         get = grams.get
         for batch in batches:
             for word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                marked = START + word + STOP if word else START + END
-                for at in range(1, len(marked)):
-                    gram = marked[max(0, at - DEPTH) : at + 1]
+                for gram in grams_of(word):
                     grams[gram] = get(gram, 0) + n
             if len(grams) > GATHERED:
                 yield _batch([list(grams), list(grams.values())], schema)
@@ -141,15 +146,96 @@ def retained(grams: DataFrame) -> DataFrame:
     return kept.unionByName(root).select("context", "symbol", "n", "total")
 
 
+def tree_table(counts: DataFrame) -> DataFrame:
+    """The whole tree: ``(context, symbol, n, total)``."""
+    return checkpointed(retained(stored(suffix_counts(counts))))
+
+
+def fits(kept: DataFrame, least: int = 0) -> bool:
+    """Whether tasks can hold the contexts that precede so many symbols."""
+    return kept.where((F.col("context") != "") & (F.col("total") >= least)).count() <= TREE_ROWS
+
+
 def tree_rows(counts: DataFrame) -> list[tuple[str, str, int]]:
-    """The tree's rows, at most ``TREE_ROWS`` beside the root's."""
-    kept = checkpointed(retained(stored(suffix_counts(counts))))
-    below = F.col("context") != ""
-    least = LEAST_COUNT
-    while kept.where(below & (F.col("total") >= least)).count() > TREE_ROWS:
+    """The rows of the tree's most frequent part, at most ``TREE_ROWS`` beside the root's.
+
+    For use of a tree apart from a table; ``lm_scores`` takes every row.
+    """
+    kept, least = tree_table(counts), LEAST_COUNT
+    while not fits(kept, least):
         least *= 2
-    fitting = kept.where(~below | (F.col("total") >= least))
-    return [tuple(r) for r in fitting.select("context", "symbol", "n").toLocalIterator()]
+    fitting = kept.where((F.col("context") == "") | (F.col("total") >= least))
+    return _collected(fitting)
+
+
+def _collected(kept: DataFrame) -> list[tuple[str, str, int]]:
+    return [tuple(r) for r in kept.select("context", "symbol", "n").toLocalIterator()]
+
+
+def smoothed(kept: DataFrame) -> DataFrame:
+    """``(context, symbol, value, leave)``: what ``SuffixTree`` holds, of a tree of any size.
+
+    ``value`` is the log10 probability of a symbol seen, ``leave`` that of leaving to the parent.
+    """
+    kinds = kept.groupBy("context").agg(F.count(F.lit(1)).alias("kinds"))
+    rows = stored(kept.join(kinds, "context"))
+    all_ = F.col("total") + F.col("kinds")
+
+    def judged(level: DataFrame, above: Column) -> DataFrame:
+        value = F.log10((F.col("n") + F.col("kinds") * above) / all_)
+        leave = F.log10(F.col("kinds") / all_)
+        return stored(level.select("context", "symbol", value.alias("value"), leave.alias("leave")))
+
+    done = judged(rows.where("context = ''"), F.lit(1 / CODE_POINTS))
+    for length in range(1, DEPTH + 1):
+        here = rows.where(F.length("context") == length)
+        start = F.explode(F.sequence(F.lit(2), F.lit(length + 1))).alias("start")
+        shorter = here.select(F.col("context").alias("own"), "symbol", start)
+        shorter = shorter.withColumn("context", F.expr("substring(own, start)"))
+        # A retained suffix has all symbols of the context; the longest is the parent.
+        found = shorter.join(done.select("context", "symbol", "value"), ["context", "symbol"])
+        above = found.groupBy(F.col("own").alias("context"), "symbol").agg(
+            F.min_by("value", "start").alias("above")
+        )
+        level = judged(here.join(above, ["context", "symbol"]), F.pow(F.lit(10.0), F.col("above")))
+        done = done.unionByName(level)
+    return done
+
+
+def gram_scores(grams: DataFrame, kept: DataFrame) -> DataFrame:
+    """``(gram, value)``: log10 probability of a gram's last symbol after those before it."""
+    values = stored(smoothed(kept))
+    leaves = values.groupBy("context").agg(F.any_value("leave").alias("leave"))
+    starts = F.explode(F.sequence(F.lit(1), F.length("gram"))).alias("start")
+    parts = grams.select("gram", starts).select(
+        "gram",
+        "start",
+        F.expr("substring(gram, start, length(gram) - start)").alias("context"),
+        F.expr("right(gram, 1)").alias("symbol"),
+    )
+    held = parts.join(leaves, "context")
+    held = held.join(values.select("context", "symbol", "value"), ["context", "symbol"], "left")
+    # Every retained suffix that lacks the symbol is left; the longest that has it says the rest.
+    seen = F.col("value").isNotNull()
+    last = F.min_by("value", F.when(seen, F.col("start")))
+    left = F.coalesce(F.sum(F.when(~seen, F.col("leave"))), F.lit(0.0))
+    value = F.coalesce(last, F.lit(-math.log10(CODE_POINTS))) + left
+    return held.groupBy("gram").agg(value.alias("value"))
+
+
+def word_scores(words: DataFrame, kept: DataFrame) -> DataFrame:
+    """``(word, lm)``: log10 probability of each distinct word; of the end for the empty one."""
+    schema = pa.schema([("word", pa.string()), ("gram", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(word, gram) for word in batch.column(0).to_pylist() for gram in grams_of(word)]
+            for at in range(0, len(pairs), GATHERED):
+                yield _batch([list(c) for c in zip(*pairs[at : at + GATHERED], strict=True)], schema)
+
+    pieces = words.select("word").mapInArrow(run, "word string, gram string")
+    each = gram_scores(pieces.select("gram").distinct(), kept)
+    return pieces.join(each, "gram").groupBy("word").agg(F.sum("value").alias("lm"))
 
 
 class SuffixTree:
@@ -173,7 +259,7 @@ class SuffixTree:
                 s: math.log10((n + kinds * 10 ** self._above(context, s)) / total)
                 for s, n in own.items()
             }
-        self.steps: dict[tuple[str, str], tuple[float, str]] = {}
+        self.steps: dict[str, float] = {}
 
     def longest(self, suffix: str) -> str:
         """The longest suffix that is retained."""
@@ -191,16 +277,14 @@ class SuffixTree:
 
     def word(self, word: str) -> float:
         """Log10 probability of a word with its end mark, where a word could start."""
-        total, state = 0.0, self.longest(START)
-        for symbol in word + STOP:
-            step = self.steps.get((state, symbol))
+        total = 0.0
+        for gram in grams_of(word):
+            step = self.steps.get(gram)
             if step is None:
                 if len(self.steps) > 4 * GATHERED:
                     self.steps.clear()
-                step = (self.log10(state, symbol), self.longest((state + symbol)[-DEPTH:]))
-                self.steps[state, symbol] = step
-            total += step[0]
-            state = step[1]
+                step = self.steps[gram] = self.log10(self.longest(gram[:-1]), gram[-1])
+            total += step
         return total
 
     def end(self) -> float:
@@ -217,13 +301,15 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     token is unknown and every symbol as likely as any code point.
 
     Frequent words are looked up in the task; the others, whose number grows with the
-    corpus, are counted per document and joined to the vocabulary.
+    corpus, are counted per document and joined to the vocabulary.  A tree that tasks cannot
+    hold is joined to the distinct words instead; the scores are the same.
     """
     counts = stored(word_counts(docs))
     totals = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     train_tokens, kinds = totals[0] or 0, totals[1]
     scale = math.log10(train_tokens + 0.1 * (kinds + 1))
-    tree = SuffixTree(tree_rows(counts))
+    kept = tree_table(counts)
+    tree = SuffixTree(_collected(kept)) if fits(kept) else None
     least = max(1, math.ceil(FREQUENT_SHARE * train_tokens))
     # At most 1 / FREQUENT_SHARE words are so frequent.
     common = counts.where(F.col("n") >= least)
@@ -232,7 +318,15 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     }
     ends = counts.where("word = ''").select("n").first()
     end_base = math.log10((ends.n if ends else 0) + 0.1) - scale
-    model = docs.sparkSession.sparkContext.broadcast((tree, frequent))
+    held: dict[bytes, float] = {}
+    if tree is None:
+        scored = stored(word_scores(word_counts(docs, every=True), kept))
+        looked_up = scored.join(common.select("word"), "word", "left_semi")
+        held = {r.word.encode(): r.lm for r in looked_up.toLocalIterator()}
+        end_score = scored.where("word = ''").first().lm
+    else:
+        end_score = tree.end()
+    model = docs.sparkSession.sparkContext.broadcast((tree, frequent, held))
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (
         f"doc_id {id_kind}, text_hash bigint, held_out boolean, word string, n bigint, "
@@ -240,8 +334,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, frequent = model.value
-        known, scores = frequent.get, {}
+        tree, frequent, held = model.value
+        known, scores = frequent.get, dict(held)
         names = [part.strip().split(" ")[0] for part in schema.split(",")]
         for batch in batches:
             rows = []
@@ -253,9 +347,11 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                 values = [known(w) for w in words]
                 rare = Counter(w for w, v in zip(words, values, strict=True) if v is None)
                 found = [v for v in values if v is not None]
-                score = tree.end()
+                score = end_score
                 for word in words:
                     value = scores.get(word)
+                    if value is None and tree is None:
+                        continue  # joined
                     if value is None:
                         if len(scores) > GATHERED:
                             scores.clear()
@@ -273,6 +369,11 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.xxhash64(fold(F.col("text"))).alias("text_hash"), "text")
     parts = texts.mapInArrow(run, schema)
     others = counts.where(F.col("n") < least).withColumnRenamed("n", "in_training")
+    if tree is None:
+        rare = scored.join(common.select("word"), "word", "left_anti")
+        others = rare.join(others, "word", "left")
+    else:
+        others = others.withColumn("lm", F.lit(0.0))
     joined = parts.join(others, "word", "left")
     rate = F.log10(F.coalesce("in_training", F.lit(0)) + F.lit(0.1)) - F.lit(scale)
     summed = joined.groupBy("doc_id", "text_hash", "held_out").agg(
@@ -280,7 +381,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(F.col("in_training") > 0, F.col("n")).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + F.col("n") * rate).alias("base_score"),
-        F.sum("score").alias("score"),
+        F.sum(F.col("score") + F.col("n") * F.coalesce("lm", F.lit(0.0))).alias("score"),
     )
     # Equal rows were summed; each gets its share back.
     each = summed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))

@@ -100,6 +100,24 @@ def test_contexts_grow_with_the_corpus(spark, monkeypatch):
     assert 0 < sum(c != "" for c, _, _ in kept) <= every // 2 and any(c == "" for c, _, _ in kept)
 
 
+@pytest.mark.parametrize("share", [1e-6, 0.02])
+def test_a_tree_beyond_the_tasks_is_joined_whole(spark, monkeypatch, share):
+    monkeypatch.setattr(lm, "LEAST_COUNT", 10)
+    monkeypatch.setattr(lm, "LEAST_GAIN", 1.0)
+    monkeypatch.setattr(lm, "FREQUENT_SHARE", share)
+    docs = spark.createDataFrame(corpus(), DOCS)
+
+    def scores():
+        return sorted((repr(r.doc_id), r.n_known, r.base_score, r.score) for r in lm_scores(docs).collect())
+
+    held = scores()
+    monkeypatch.setattr(lm, "TREE_ROWS", 20)
+    joined = scores()
+    assert [r[:2] for r in joined] == [r[:2] for r in held]
+    for one, other in zip(held, joined, strict=True):
+        assert one[2:] == pytest.approx(other[2:], rel=1e-9)
+
+
 def test_empty_tables(spark):
     assert lm_scores(spark.createDataFrame([], DOCS)).count() == 0
     only_held = [(i, "a b", None, None) for i in range(200) if is_held(i)]

@@ -8,14 +8,18 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palaver.llm.quality import (
+    SHARES,
     Forest,
     expected_path,
+    fit,
     keep_good,
     quality_table,
     statistics,
     threshold,
+    threshold_of,
 )
 
 DOCS = "doc_id bigint, text string, lang string, quality string, kept string"
@@ -70,6 +74,35 @@ def test_threshold_spares_good_rows():
     assert threshold(good, np.array([])) == np.inf and threshold(np.array([]), bad) == np.inf
 
 
+def test_threshold_of_a_table_is_that_of_arrays(spark):
+    rng = np.random.default_rng(2)
+    for good, bad in ((3_000, 40), (3_000, 0), (0, 40), (1, 1)):
+        one, other = rng.uniform(0.3, 0.6, good).round(3), rng.uniform(0.4, 0.8, bad).round(3)
+        rows = [(False, float(x)) for x in one] + [(True, float(x)) for x in other]
+        table = spark.createDataFrame(rows, "bad boolean, anomaly double")
+        for loss in (0.0, 0.01):
+            assert threshold_of(table, loss) == pytest.approx(threshold(one, other, loss))
+
+
+def test_every_labelled_document_counts(spark):
+    """Among 30,000 labelled documents, the few odd ones set the threshold whatever their ids."""
+    shares = [F.lit(0.0) + F.rand(i) / 10 for i in range(len(SHARES))]
+    usual = spark.range(30_000).select(
+        F.col("id").alias("doc_id"), F.lit(100).alias("n_words"), F.lit(0).alias("n_repeat_words"),
+        *[s.alias(c) for c, s in zip(SHARES, shares, strict=True)],
+    )
+    measured = usual.localCheckpoint()
+    labels = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    last = labels.orderBy(F.xxhash64("doc_id").desc()).first()["doc_id"]
+    odd = F.col("doc_id") == last
+    strange = measured.select(
+        "doc_id", "n_words", "n_repeat_words", *[F.when(odd, 9.0).otherwise(F.col(c)).alias(c) for c in SHARES]
+    )
+    marked = labels.withColumn("quality", F.when(odd, 0).otherwise(1))
+    forest, most = fit(strange, marked)
+    assert most < forest.scores(np.full((1, len(SHARES)), 9.0))[0]
+
+
 def corpus() -> tuple[list[tuple], list[tuple]]:
     rng = random.Random(3)
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(300)]

@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from palaver.llm.common import checkpointed, map_rows, own_names, stored
 from palaver.llm.components import connected_components
-from palaver.llm.similar_texts import BANDS, ROWS, SIMILARITY, few, signatures, similar_groups
+from palaver.llm.similar_texts import BANDS, ROWS, SIMILARITY, few, majority, signatures
 from palaver.llm.similar_texts import SHINGLE as SIMILAR_SHINGLE
+from palaver.llm.similar_texts import similar_groups
 
 SHINGLE = 3
 SEED = 42
@@ -57,11 +58,7 @@ def fingerprint(text: str) -> int:
         dtype=np.uint64,
         count=len(words) - width + 1,
     )
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 65_536):
-        part = hashes[at : at + 65_536].astype(">u8").view(np.uint8)
-        ones += np.unpackbits(part).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -273,7 +270,8 @@ def keep_one_similar(
 ) -> DataFrame:
     """One document of every group of similar texts, chosen as in ``keep_one_per_group``.
 
-    Texts are linked whose sets of word shingles have at least the Jaccard similarity.  The
+    Texts are linked whose sets of word shingles have at least the Jaccard similarity: those
+    that ``fingerprint_links`` brings together, and those that meet in MinHash bands.  The
     columns may have any names.  Null and empty texts have no shingle and are copies of one
     another; a text is read whole, however long.
     """
@@ -281,7 +279,7 @@ def keep_one_similar(
     rows = own_names(docs, ("doc_id", "text"))
     hashed = rows.select("doc_id", F.xxhash64(*rows.columns).alias("_row"), "text")
     printed = stored(signatures(hashed, key, shingle, BANDS, ROWS))
-    groups = similar_groups(hashed, printed, key, similarity, shingle)
+    groups = similar_groups(hashed, printed, key, fingerprint_links, similarity, shingle)
     kept = _least_of_groups(rows, printed.select(*key, "node").join(groups, "node"))
     return kept.toDF(*docs.columns)
 

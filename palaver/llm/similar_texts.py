@@ -1,6 +1,7 @@
 """Groups of texts whose word shingles overlap by a given Jaccard similarity.
 
-Candidates meet in MinHash bands; every link is verified by the exact Jaccard similarity of
+Candidates are texts whose SimHash fingerprints lie close, and texts that meet in MinHash
+bands, as texts of similarity 0.8 mostly differ in more bits than fingerprints find; every link is verified by the exact Jaccard similarity of
 the shingle sets (64-bit hashes).  With 32 bands of 6 rows a pair at similarity 0.8 meets
 in no band with probability 6e-5, one at 0.9 with 1e-11.
 
@@ -100,9 +101,19 @@ def _short(least: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(24)).astype(np.uint16)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of some 64-bit hashes: bits set in over half of them; 0 of none."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 65_536):
+        part = hashes[at : at + 65_536].astype(">u8").view(np.uint8)
+        ones += np.unpackbits(part).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def signatures(docs: DataFrame, keep: list[str], shingle: int, bands: int, rows: int) -> DataFrame:
-    """Columns to keep, ``node`` (hash of the words), ``n`` (distinct shingles), bands.
+    """Columns to keep, ``node`` (hash of the words), ``n`` (distinct shingles), ``fp``, bands.
 
+    ``fp`` is the SimHash of the distinct shingles, as a signed number.
     ``bands`` has a key and an order per band, ``least`` sixteen bits of every minimum; both
     are empty without a shingle.
     """
@@ -112,6 +123,7 @@ def signatures(docs: DataFrame, keep: list[str], shingle: int, bands: int, rows:
         def step(part: dict[str, list]) -> Iterator[dict[str, list]]:
             read = [word_shingles(t, shingle) for t in part["_text"]]
             nodes = np.array([node for node, _ in read], dtype=np.uint64).view(np.int64)
+            prints = np.array([majority(grams) for _, grams in read], dtype=np.uint64)
             keys, least = [], []
             for _, grams in read:
                 found = minima(grams, bands * rows) if len(grams) else None
@@ -121,6 +133,7 @@ def signatures(docs: DataFrame, keep: list[str], shingle: int, bands: int, rows:
             yield {c: part[c] for c in keep} | {
                 "node": nodes.tolist(),
                 "n": [len(grams) for _, grams in read],
+                "fp": prints.view(np.int64).tolist(),
                 "bands": keys,
                 "least": least,
             }
@@ -130,7 +143,7 @@ def signatures(docs: DataFrame, keep: list[str], shingle: int, bands: int, rows:
     band = "struct<key: bigint, place: bigint>"
     return map_rows(
         docs.select(*keep, F.col("text").alias("_text")),
-        f"{kinds}, node bigint, n bigint, bands array<{band}>, least binary",
+        f"{kinds}, node bigint, n bigint, fp bigint, bands array<{band}>, least binary",
         make,
     )
 
@@ -283,23 +296,47 @@ def compared(rows: DataFrame, pick: Pick, similarity: float) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+# From a table of distinct ``fp``: links ``(a, b)`` that connect all that lie close.
+Near = Callable[[DataFrame], DataFrame]
+
+
+def close_pairs(prints: DataFrame, near: Near) -> DataFrame:
+    """``(a, b)``: pairs of nodes of ``(node, fp)`` that connect all whose fingerprints are close.
+
+    The nodes of one fingerprint are paired with the least of them, and those of linked ones
+    with each other.
+    """
+    firsts = stored(prints.groupBy("fp").agg(F.min("node").alias("first")))
+    same = prints.join(firsts, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    across = near(firsts.select("fp"))
+    for end in ("a", "b"):
+        one = firsts.select(F.col("fp").alias(end), F.col("first").alias(f"_{end}"))
+        across = across.join(one, end)
+    pairs = same.where("a <> b").unionByName(across.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar_groups(
     docs: DataFrame,
     printed: DataFrame,
     key: list[str],
+    near: Near,
     similarity: float = SIMILARITY,
     shingle: int = SHINGLE,
 ) -> DataFrame:
     """``(node, _group)`` of every node of ``printed``; a group is named by one of its nodes.
 
     ``printed`` is ``signatures`` of ``docs`` with the columns ``key``, which tell the rows
-    of ``docs`` apart or are equal where the texts are.
+    of ``docs`` apart or are equal where the texts are.  ``near`` links fingerprints.
     """
-    prints = stored(printed.select("node", "n", "bands", "least").dropDuplicates(["node"]))
+    prints = stored(printed.select("node", "n", "fp", "bands", "least").dropDuplicates(["node"]))
+    close = stored(close_pairs(prints.where("n > 0").select("node", "fp"), near))
     cut = crowded(prints)
     rows = bucket_rows(prints.select("node", "bands"), cut)
     size = F.count(F.lit(1)).over(Window.partitionBy("key", "part"))
     met = rows.select("node", size.alias("size")).where("size > 1")
+    others = close.select(F.explode(F.array("a", "b")).alias("node"))
+    met = met.unionByName(others.withColumn("size", F.lit(0).cast("bigint")))
     met = met.groupBy("node").agg(F.sum("size").alias("mark"))
     # The texts that meet any other, with the sizes of their buckets; one row of a text.
     prints = stored(prints.join(met, "node"))
@@ -310,17 +347,19 @@ def similar_groups(
     # Wholly equal rows match alike.
     sets = stored(shingle_sets(marked, shingle).dropDuplicates(["node"]))
 
-    def links(marks: DataFrame, pick: Pick) -> DataFrame:
-        rows = bucket_rows(marks.select("node", "n", "mark", "bands"), cut)
-        pairs = compared(rows, pick, similarity)
+    def checked(pairs: DataFrame) -> DataFrame:
         return verified(likely(pairs, prints, similarity - SLACK), sets, similarity)
 
-    first = connected_components(links(prints, pivots), "a", "b")
+    def links(marks: DataFrame, pick: Pick) -> DataFrame:
+        return compared(bucket_rows(marks.select("node", "n", "mark", "bands"), cut), pick, similarity)
+
+    pairs = links(prints, pivots).unionByName(close).distinct()
+    first = connected_components(checked(pairs), "a", "b")
     first = stored(first.withColumnRenamed("component", "group"))
     grouped = prints.drop("mark").join(first, "node", "left")
     grouped = stored(grouped.withColumn("mark", F.coalesce("group", "node")).drop("group"))
     # Links between groups; a group is named by a node, and a text alone is its own group.
-    more = links(grouped, beside)
+    more = checked(links(grouped, beside))
     for end in ("a", "b"):
         own = grouped.select(F.col("node").alias(end), F.col("mark").alias(f"_{end}"))
         more = more.join(own, end)

@@ -58,3 +58,23 @@ def test_near_duplicate_stage_keeps_one_of_each_group_of_all_pairs(spark):
     found = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "")
     assert found.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(r.doc_id for r in found.collect()) == sorted(set(labels))
+
+
+def test_fingerprints_bring_texts_together(spark, monkeypatch):
+    """Without a pair from the bands, SimHash still links close texts, and Jaccard judges them."""
+    def nothing(rows, pick, similarity):
+        return rows.selectExpr("node as a", "node as b").where("false")
+
+    monkeypatch.setattr(similar, "compared", nothing)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for i in range(20):
+        text = rng.choices(words, k=1000)
+        rows += [(2 * i, " ".join(text), "en", "s", None)]
+        rows += [(2 * i + 1, " ".join([*text, "end"]), "en", "s", None)]
+    found = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "")
+    kept = {r.doc_id for r in found.collect()}
+    assert {2 * i for i in range(20)} <= kept and len(kept) <= 22
+    prints = similar.signatures(spark.createDataFrame(rows, DOCS), ["doc_id"], 5, 32, 6)
+    assert len({r.fp for r in prints.collect()}) >= 20

@@ -57,6 +57,8 @@ def exact_quantiles(
     rows = df.select(
         *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).cast("double").alias("x")
     ).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    # Every round reads the rows, so what they are derived from is worked out once.
+    rows = _stored(rows)
     totals = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")
     )

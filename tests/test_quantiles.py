@@ -86,3 +86,18 @@ def test_bins_stay_few(spark, monkeypatch):
 def test_nothing(spark):
     df = spark.createDataFrame([("g", None, 1)], ROWS)
     assert exact_quantiles(df, ["g"], "x", [0.5]).collect() == []
+
+
+def test_rows_are_derived_once(spark):
+    """However many rounds the ranks take."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(5_000).selectExpr("cast(id % 2 as int) as g", "sqrt(id) as v")
+    rows = rows.mapInArrow(count, "g int, v double")
+    exact_quantiles(rows, ["g"], "v", [0.5]).collect()
+    assert seen.value == 5_000

@@ -31,6 +31,9 @@ CACHE = T.StructType(
     ]
 )
 
+# Model batches whose texts and results a task holds as Python objects at a time.
+BATCHES_HELD = 32
+
 # Called once per worker process; returns a function from a batch of texts to score rows.
 PredictorFactory = Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]]
 # Called once per worker process; returns a function from a batch of prompts to reply texts.
@@ -65,15 +68,15 @@ def _apply_batched(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            predict = predict or model_of(key, factory)
-            out = predictions(predict, batch.column(column).to_pylist(), batch_size)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out, type=arrow_type)],
-                names=[*batch.schema.names, output.name],
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCHES_HELD * batch_size):
+                batch = whole.slice(start, BATCHES_HELD * batch_size)
+                predict = predict or model_of(key, factory)
+                out = predictions(predict, batch.column(column).to_pylist(), batch_size)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(out, type=arrow_type)],
+                    names=[*batch.schema.names, output.name],
+                )
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, output]))
 

@@ -318,3 +318,21 @@ def test_benchmark_job(spark, tmp_path):
     assert spark.read.json(f"{base}/sentiment_summary").first()["macro_f1"] <= 1.0
     assert spark.read.csv(f"{base}/emotions_per_class", header=True).count() == 28
     assert spark.read.csv(f"{out}/r/benchmark_summary", header=True).count() == 1
+
+
+def test_a_task_holds_a_bounded_number_of_texts(spark):
+    """Texts of like length meet among some batches, not among all that Arrow brings."""
+
+    def factory():
+        calls = []
+
+        def predict(texts):
+            calls.append(len(texts))
+            return [[float(sum(calls) - calls[-1])] for _ in texts]
+
+        return predict
+
+    rows = spark.range(0, 300, 1, 1).select("id", F.repeat(F.lit("x"), F.col("id").cast("int")).alias("t"))
+    found = {r.id: r.probs[0] for r in S.score_texts(rows, factory, "t", batch_size=4).collect()}
+    # The longest of the first 32 batches of 4 texts is seen first.
+    assert found[127] == 0 and found[299] >= 256

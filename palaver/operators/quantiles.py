@@ -39,12 +39,16 @@ def _same(left: Sequence[str], right: Sequence[str]) -> Column:
     return out
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    path = shared_folder(df.sparkSession, f"ranks-{uuid.uuid4().hex[:8]}")
+def _written(df: DataFrame, purpose: str) -> DataFrame:
+    path = shared_folder(df.sparkSession, f"{purpose}-{uuid.uuid4().hex[:8]}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    return _written(df, "ranks")
+
+
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float]
 ) -> DataFrame:
@@ -58,7 +62,7 @@ def exact_quantiles(
         *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).cast("double").alias("x")
     ).where(F.col("x").isNotNull() & ~F.isnan("x"))
     # Every round reads the rows, so what they are derived from is worked out once.
-    rows = _stored(rows)
+    rows = _written(rows, "values")
     totals = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")
     )

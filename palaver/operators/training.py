@@ -20,62 +20,33 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from palaver.fixed import EMOTIONS, MODELS, THRESHOLD, WORD_SET
-from palaver.functions.text import adjacent_pairs
-from palaver.operators.common import single, top
+from palaver.operators.common import single
 from palaver.operators.evaluation import align, benchmark_summary
+from palaver.operators.vocabulary import MAX_FEATURES, MIN_DOCUMENTS, frequent_terms
 
-MAX_FEATURES = 50_000
-MIN_DOCUMENTS = 2
 MAX_ITERATIONS = 1000
 TOLERANCE = 1e-4
 ROWS_PER_FIT_TASK = 5_000
 
 
-def grams_of(text: Column) -> Column:
-    """Lower-cased words of two letters or more, then neighbouring pairs of them."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD_SET}]{{2,}}"), F.lit(0))
-    return F.concat(words, F.array_compact(adjacent_pairs(words)))
-
-
 def tfidf_weights(
     examples: DataFrame,
     text: str = "text",
     max_features: int = MAX_FEATURES,
     min_documents: int = MIN_DOCUMENTS,
 ) -> DataFrame:
-    """``(term, df, tf, idf)`` of the terms that count, from one pass over the texts.
+    """``(term, df, tf, idf)`` of the terms that count.
 
     Terms of at least ``min_documents`` texts, the ``max_features`` most frequent of them,
-    ties by term; ``idf`` is ln((n+1)/(df+1)) + 1.  ``vocabulary.frequent_terms`` returns the
-    same without shuffling the rare terms, in two passes.
+    ties by term; ``idf`` is ln((n+1)/(df+1)) + 1.  Most terms are too rare to count and are
+    not shuffled; see ``vocabulary``.
     """
-    counted = term_counts(occurrences(examples, text))
-    n = single(examples.agg(F.count(F.lit(1))))
-    kept = top(
-        counted.where(F.col("df") >= min_documents), max_features, F.desc("tf"), F.asc("term")
-    )
-    return kept.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1)
-
-
-def occurrences(
-    examples: DataFrame, text: str = "text", grams: Callable[[Column], Column] = grams_of
-) -> DataFrame:
-    """``(once, term)``: every occurrence with 0, and once more with 1 per text that has it."""
-    both = examples.select(grams(F.col(text)).alias("_all"))
-    both = both.select(F.posexplode(F.array("_all", F.array_distinct("_all"))).alias("once", "_list"))
-    return both.select("once", F.explode("_list").alias("term"))
-
-
-def term_counts(rows: DataFrame) -> DataFrame:
-    """``(term, df, tf)`` of ``occurrences``; one aggregate counts both ways."""
-    return rows.groupBy("term").agg(
-        F.count_if(F.col("once") == 1).alias("df"), F.count_if(F.col("once") == 0).alias("tf")
-    )
+    return frequent_terms(examples, text, max_features, min_documents)
 
 
 def fit_tfidf(

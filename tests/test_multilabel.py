@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +179,41 @@ def test_rare_terms_are_not_shuffled(spark, monkeypatch):
     assert shipped[1] <= 2 * shipped[0] < 200
 
 
+def test_weights_ship_no_rare_terms(spark, monkeypatch):
+    shipped = []
+    plain = vocabulary.top
+
+    def watched(df, *args):
+        if "df" in df.columns:
+            shipped.append(df.count())
+        return plain(df, *args)
+
+    monkeypatch.setattr(vocabulary, "top", watched)
+    texts = [f"common words here {'often said ' * 3}" for _ in range(2_000)]
+    texts += [f"rare{i} common" for i in range(20_000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = training.tfidf_weights(rows, max_features=8, min_documents=1)
+    assert found.count() == 8
+    assert 0 < shipped[-1] < 200
+
+
+@pytest.mark.parametrize("numbered", [0, 1_000])
+@pytest.mark.parametrize("paired", [True, False])
+def test_terms_counted_by_numbers(monkeypatch, numbered, paired):
+    monkeypatch.setattr(vocabulary, "MOST_NUMBERED", numbered)
+    texts = ["a b a b", "", "b", "c c c", "a b"]
+    words = [t.split() for t in texts]
+    flat = pa.array([w for t in words for w in t], type=pa.string())
+    got = vocabulary._counted(flat, np.array([len(t) for t in words]), paired).to_pylist()
+    tf, df = Counter(), Counter()
+    for t in words:
+        grams = t + [" ".join(p) for p in zip(t, t[1:])] * paired
+        tf.update(grams)
+        df.update(set(grams))
+    assert {r["term"]: (r["df"], r["tf"]) for r in got} == {g: (df[g], tf[g]) for g in tf}
+    assert len(got) == len(tf)
+
+
 def test_no_examples(spark):
     rows = spark.createDataFrame([], "text string")
     assert frequent_terms(rows).collect() == []

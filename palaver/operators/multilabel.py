@@ -38,6 +38,11 @@ MEMORY = 10
 ENTRIES = 100_000
 CELLS_EACH = 2
 FAN_IN = 8
+# Entries of a task from which on it takes longer than it takes to start, least tasks of a core,
+# and bytes of partial sums that the driver adds itself.
+TASK_ENTRIES = 4_000_000
+TASKS_EACH = 2
+SENT_BYTES = 32_000_000
 
 
 @dataclass(frozen=True)
@@ -179,7 +184,7 @@ def _loss_and_gradient(
         from pyspark import TaskContext
 
         weights, chosen = shared.value
-        loss, gradient = np.zeros(len(chosen)), np.zeros(weights.T.shape)
+        loss, gradient = np.zeros(len(chosen)), np.zeros(weights.shape)
         for batch in batches:
             for ends, columns, values, truth in zip(*batch.columns, strict=True):
                 ends = np.frombuffer(ends.as_buffer(), dtype=np.int64)
@@ -187,19 +192,17 @@ def _loss_and_gradient(
                 values = np.frombuffer(values.as_buffer(), dtype=np.float64)
                 truth = np.frombuffer(truth.as_buffer(), dtype=np.uint8)
                 truth = truth.reshape(-1, labels)[:, chosen].astype(np.float64)
-                margin = np.concatenate([*_margins(ends, columns, values, weights[:, :-1])])
-                margin += weights[:, -1]
-                loss += (np.logaddexp(0, margin) - truth * margin).sum(axis=0)
-                error = 0.5 * (1 + np.tanh(margin / 2)) - truth
-                row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-                order = np.argsort(columns, kind="stable")
-                sorted_columns = columns[order]
-                first = np.flatnonzero(np.diff(sorted_columns, prepend=-1))
-                if len(first):
-                    cells = error[row[order]] * values[order][:, None]
-                    gradient[sorted_columns[first]] += np.add.reduceat(cells, first, axis=0)
-                gradient[-1] += error.sum(axis=0)
-        yield packed(TaskContext.get().partitionId(), loss, gradient.T)
+                rows, width = len(ends) - 1, weights.shape[1] - 1
+                row = np.repeat(np.arange(rows), np.diff(ends))
+                for i, weight in enumerate(weights):
+                    cells = values * weight[columns]
+                    margin = np.bincount(row, cells, minlength=rows) + weight[-1]
+                    loss[i] += (np.logaddexp(0, margin) - truth[:, i] * margin).sum()
+                    error = 0.5 * (1 + np.tanh(margin / 2)) - truth[:, i]
+                    cells = values * error[row]
+                    gradient[i, :-1] += np.bincount(columns, cells, minlength=width)
+                    gradient[i, -1] += error.sum()
+        yield packed(TaskContext.get().partitionId(), loss, gradient)
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         sums = [
@@ -209,7 +212,7 @@ def _loss_and_gradient(
         return pa.Table.from_batches([packed(key[0].as_py(), *sums)])
 
     parts, slots = blocks.mapInArrow(judge, schema), tasks
-    while slots > FAN_IN:
+    while slots > FAN_IN and slots * points.nbytes > SENT_BYTES:
         up = F.floor(F.col("slot") / FAN_IN).cast("int")
         parts = parts.withColumn("slot", up).groupBy("slot").applyInArrow(add, schema)
         slots = -(-slots // FAN_IN)
@@ -323,6 +326,8 @@ def fit_multilabel(
         varied = np.array([i for i, t in enumerate(totals) if 0 < t < n], dtype=np.int64)
         # Every task returns a block of gradients, so it should have more entries than that.
         tasks = max(1, entries // max(CELLS_EACH * width * len(varied), ENTRIES))
+        cores = examples.sparkSession.sparkContext.defaultParallelism
+        tasks = min(tasks, max(TASKS_EACH * cores, entries // TASK_ENTRIES))
         packed = blocks.coalesce(tasks)
 
         def evaluate(points: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

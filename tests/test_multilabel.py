@@ -95,6 +95,25 @@ def test_sums_of_many_tasks(examples, fitted, monkeypatch):
     assert np.allclose(again.weights, fitted.weights, atol=1e-3)
 
 
+def test_few_tasks_and_the_same_sums(examples, fitted, monkeypatch):
+    """However small a task may be, there are no more than cores and entries call for."""
+    used = []
+    plain = multilabel._loss_and_gradient
+
+    def watched(blocks, tasks, *args):
+        used.append((tasks, blocks.rdd.getNumPartitions()))
+        return plain(blocks, tasks, *args)
+
+    monkeypatch.setattr(multilabel, "_loss_and_gradient", watched)
+    for name, value in (("CELLS_EACH", 0), ("ENTRIES", 1), ("FAN_IN", 2), ("SENT_BYTES", 0)):
+        monkeypatch.setattr(multilabel, name, value)
+    again = fit_multilabel(examples, NAMES, max_passes=30)
+    cores = examples.sparkSession.sparkContext.defaultParallelism
+    assert max(max(u) for u in used) <= 2 * cores
+    plainly = fit_multilabel(examples, NAMES, max_passes=30)
+    assert np.allclose(again.weights, plainly.weights, atol=1e-9)
+
+
 def test_optimality(fitted, examples):
     rows = {r["label"]: r for r in optimality(fitted, examples).collect()}
     x, truth = design(fitted, examples)

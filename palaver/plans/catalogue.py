@@ -87,6 +87,13 @@ def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapter.predictions(cleaned(spark, sf_dir))
 
 
+def _stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows, worked out once and read from a shared folder."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # --- cleaning ------------------------------------------------------------------
 
 
@@ -419,7 +426,8 @@ def score_comments(spark, sf_dir):
 def resumed_scoring(spark, sf_dir):
     """A run that ends early, and one that goes on from its ledger; no text is scored twice."""
     path = shared_folder(spark, "ledger")
-    comments = cleaned(spark, sf_dir)
+    # Both runs read the comments several times; they are cleaned once.
+    comments = _stored(cleaned(spark, sf_dir), "cleaned")
     scores, key = toys.letter_scores, "roberta_samlowe"
     fill_ledger(comments, "comment_body", scores, key, path, steps=STEPS, most_steps=STEPS // 2)
 

@@ -30,6 +30,11 @@ def test_plan_shape(spark, name):
     assert ("MapInArrow" in plan) == (name in RUNS_A_MODEL)
 
 
+def test_resumed_scoring_cleans_once(spark):
+    plan = physical(spark, QUERIES["resumed_scoring"](spark, SF_DIR))
+    assert "documents.parquet" not in plan and "FileScan" in plan
+
+
 def test_scans_read_only_what_is_used(spark):
     plan = physical(spark, QUERIES["monthly_volume"](spark, SF_DIR))
     scans = [line for line in plan.splitlines() if "FileScan" in line]

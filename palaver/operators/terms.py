@@ -12,6 +12,7 @@ from palaver.fixed import KEYWORDS, NEGATIVE_WORDS, POSITIVE_WORDS
 from palaver.functions import text as X
 from palaver.functions.values import ratio
 from palaver.operators.common import compute_once, single, top, value_counts
+from palaver.operators.vocabulary import Neighbours, frequent_terms
 
 # Patterns with a literal from which on one shared pass looks for all their literals.
 SHARED_PATTERNS = 16
@@ -44,10 +45,13 @@ def cloud_terms(df: DataFrame, max_words: int = 100) -> DataFrame:
 
 
 def bigram_frequencies(df: DataFrame, n: int = 30, min_length: int = 3) -> DataFrame:
-    """``(bigram, count)``: neighbours after stopword removal, within one comment."""
-    tokens = df.select(X.terms(F.col("comment_body"), min_length).alias("terms"))
-    pairs = tokens.select(F.explode(X.adjacent_pairs(F.col("terms"))).alias("bigram"))
-    counts = value_counts(pairs.where(F.col("bigram").isNotNull()), "bigram", name="count")
+    """``(bigram, count)``: neighbours after stopword removal, within one comment.
+
+    A task holds counters and the pairs that may be among the first, not all distinct pairs.
+    """
+    pairs = Neighbours(lambda text: X.terms(text, min_length), alone=False)
+    found = frequent_terms(df, "comment_body", n, 1, pairs)
+    counts = found.select(F.col("term").alias("bigram"), F.col("tf").alias("count"))
     return top(counts, n, F.desc("count"), F.asc("bigram"))
 
 

@@ -11,6 +11,7 @@ belong to the list; if not, the bound is lowered and the pass repeated.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,21 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD_SET}]{{2,}}"), F.lit(0))
 
 
-def grams_of(text: Column) -> Column:
-    """Lower-cased words of two letters or more, then neighbouring pairs of them."""
-    words = words_of(text)
-    return F.concat(words, F.array_compact(adjacent_pairs(words)))
+@dataclass(frozen=True)
+class Neighbours:
+    """Pairs of neighbouring words, and with ``alone`` the words before them; no word has a space."""
+
+    words: Callable[[Column], Column]
+    alone: bool = True
+
+    def __call__(self, text: Column) -> Column:
+        words = self.words(text)
+        pairs = F.array_compact(adjacent_pairs(words))
+        return F.concat(words, pairs) if self.alone else pairs
+
+
+# Lower-cased words of two letters or more, then neighbouring pairs of them.
+grams_of = Neighbours(words_of)
 
 
 def counted_terms(
@@ -52,11 +64,12 @@ def counted_terms(
 
     The words of about ``WORDS_COUNTED`` words' texts are numbered and the numbers counted, so
     a term is spelled out once for all of these and not for each occurrence.  Pairs of
-    ``grams_of`` are pairs of numbers; the terms of other ``grams`` are taken as they are.
+    ``Neighbours`` are pairs of numbers; the terms of other ``grams`` are taken as they are.
     """
-    paired = grams is grams_of
+    paired = isinstance(grams, Neighbours)
+    alone = not paired or grams.alone
     # Words go to the tasks as one string, which costs less than a list of them.
-    given = F.array_join(words_of(F.col(text)), " ") if paired else grams(F.col(text))
+    given = F.array_join(grams.words(F.col(text)), " ") if paired else grams(F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,14 +81,17 @@ def counted_terms(
             while at < len(lists):
                 to = int(np.searchsorted(ends, ends[at] + WORDS_COUNTED, side="right")) - 1
                 to = max(to, at + 1)
-                yield _counted(lists.slice(at, to - at).flatten(), np.diff(ends[at : to + 1]), paired)
+                part, lengths = lists.slice(at, to - at).flatten(), np.diff(ends[at : to + 1])
+                yield _counted(part, lengths, paired, alone)
                 at = to
 
     return examples.select(given.alias("_given")).mapInArrow(run, "term string, df bigint, tf bigint")
 
 
-def _counted(terms: pa.Array, lengths: np.ndarray, paired: bool) -> pa.RecordBatch:
-    """Counts of the terms, and of the pairs of neighbours if wanted, of texts laid end to end."""
+def _counted(
+    terms: pa.Array, lengths: np.ndarray, paired: bool, alone: bool = True
+) -> pa.RecordBatch:
+    """Counts of the terms, of the pairs of neighbours or of both, of texts laid end to end."""
     numbered = terms.dictionary_encode(null_encoding="encode")
     known = numbered.dictionary
     keys = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -84,8 +100,8 @@ def _counted(terms: pa.Array, lengths: np.ndarray, paired: bool) -> pa.RecordBat
         inside = owner[1:] == owner[:-1]
         # The number of a pair is above all numbers of words.
         pairs = (keys[:-1] + 1) * len(known) + keys[1:]
-        keys = np.concatenate([keys, pairs[inside]])
-        owner = np.concatenate([owner, owner[1:][inside]])
+        keys = np.concatenate([keys[: len(keys) * alone], pairs[inside]])
+        owner = np.concatenate([owner[: len(owner) * alone], owner[1:][inside]])
     order = np.lexsort((owner, keys)) if len(known) > MOST_NUMBERED else None
     if order is None:
         both = np.sort(keys * len(lengths) + owner)

@@ -10,6 +10,7 @@ from palaver import fixed
 from palaver.operators import cleaning as C
 from palaver.operators import profile as A
 from palaver.operators import terms as T
+from palaver.operators import vocabulary
 from palaver.sources.comments import prepare_comments
 
 EPOCH_2025 = 1735689600
@@ -225,6 +226,23 @@ def test_bigrams_stay_within_comments(spark):
     assert got == {"red blue": 2, "blue red": 1}
 
 
+def test_rare_bigrams_are_not_all_counted(spark, monkeypatch):
+    """Only pairs that may be among the first reach the exact count."""
+    counted = []
+    plain = vocabulary.top
+
+    def watched(df, *args):
+        if "df" in df.columns:
+            counted.append(df.count())
+        return plain(df, *args)
+
+    monkeypatch.setattr(vocabulary, "top", watched)
+    bodies = ["often said " * 3] * 500 + [f"rare{i} common" for i in range(20_000)]
+    got = {r["bigram"]: r["count"] for r in T.bigram_frequencies(bodies_df(spark, *bodies), 2).collect()}
+    assert got == {"often said": 1_500, "said often": 1_000}
+    assert 0 < counted[-1] < 200
+
+
 def test_term_search_returns_total(spark):
     df = bodies_df(spark, "prompt one", "a Prompt", "prompts", "prompt again")
     rows = T.comments_containing_term(df, "prompt", limit=2).collect()

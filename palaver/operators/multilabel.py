@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
@@ -31,8 +32,10 @@ from palaver.operators.training import (
 
 # Norm of the gradient of the mean penalised loss at which a label is done.
 GRADIENT = 1e-5
-# Steps that the curvature is estimated from.
-MEMORY = 10
+# Steps that the curvature is estimated from: the more, the fewer passes.  At least, at most, and
+# bytes that those of all labels may take of the driver beyond the least.
+MEMORY, MOST_MEMORY = 10, 100
+MEMORY_BYTES = 256_000_000
 # Entries of a block that are multiplied at a time, least entries of a task for each number it
 # returns, and partial sums added by one task.
 ENTRIES = 100_000
@@ -43,6 +46,8 @@ FAN_IN = 8
 TASK_ENTRIES = 4_000_000
 TASKS_EACH = 2
 SENT_BYTES = 32_000_000
+# Blocks that are handed to Python at a time; few stay in a core's cache.
+BLOCKS_SENT = 4
 
 
 @dataclass(frozen=True)
@@ -188,7 +193,7 @@ def _loss_and_gradient(
         for batch in batches:
             for ends, columns, values, truth in zip(*batch.columns, strict=True):
                 ends = np.frombuffer(ends.as_buffer(), dtype=np.int64)
-                columns = np.frombuffer(columns.as_buffer(), dtype=np.int32)
+                columns = np.frombuffer(columns.as_buffer(), dtype=np.int32).astype(np.intp)
                 values = np.frombuffer(values.as_buffer(), dtype=np.float64)
                 truth = np.frombuffer(truth.as_buffer(), dtype=np.uint8)
                 truth = truth.reshape(-1, labels)[:, chosen].astype(np.float64)
@@ -223,6 +228,18 @@ def _loss_and_gradient(
     return loss, flat.reshape(points.shape)
 
 
+@contextmanager
+def _batches_of(session: SparkSession, rows: int) -> Iterator[None]:
+    """Meanwhile Arrow batches have at most so many rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = session.conf.get(name)
+    session.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        session.conf.set(name, before)
+
+
 # From points and the numbers of the problems they belong to: values and gradients.
 Evaluate = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -230,11 +247,11 @@ Evaluate = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 class _Descent:
     """L-BFGS of one convex problem, fed one evaluation at a time."""
 
-    def __init__(self, width: int, tolerance: float) -> None:
+    def __init__(self, width: int, tolerance: float, memory: int = MEMORY) -> None:
         self.point, self.trial = np.zeros(width), np.zeros(width)
         self.tolerance = tolerance
         self.value, self.gradient = np.inf, None
-        self.pairs: deque[tuple[np.ndarray, np.ndarray, float]] = deque(maxlen=MEMORY)
+        self.pairs: deque[tuple[np.ndarray, np.ndarray, float]] = deque(maxlen=memory)
         self.step, self.done = 1.0, False
 
     def tell(self, value: float, gradient: np.ndarray) -> None:
@@ -284,7 +301,9 @@ def minimise(
     Each problem has its own step length and curvature; a pass evaluates one trial of every
     problem that is not done yet.
     """
-    all_ = [_Descent(width, tolerance) for _ in range(problems)]
+    # A step is kept as two rows of doubles.
+    memory = min(MOST_MEMORY, MEMORY_BYTES // max(16 * width * problems, 1))
+    all_ = [_Descent(width, tolerance, max(memory, MEMORY)) for _ in range(problems)]
     used = 0
     while used < passes:
         active = np.array([i for i, d in enumerate(all_) if not d.done], dtype=np.int64)
@@ -313,14 +332,16 @@ def fit_multilabel(
 
     The penalty is C = ``c`` in the sum-of-losses convention, none on the intercept.  A label
     that all or no examples have is constant.  The driver holds ``MEMORY`` weight rows of each
-    label twice over, which ``max_features`` bounds; examples never reach it.
+    label twice over, which ``max_features`` bounds, or up to ``MOST_MEMORY`` of them in
+    ``MEMORY_BYTES``; examples never reach it.
     """
     features = fit_tfidf(examples, text, max_features, min_documents)
     width = len(features.stages[3].vocabulary)
     rows = features.transform(examples).select(
         F.unwrap_udt("features").alias("features"), F.col(labels).alias("labels")
     )
-    blocks = _example_blocks(rows, vocabulary).persist(StorageLevel.MEMORY_AND_DISK)
+    # Kept as they are, so that a pass does not unpack them.
+    blocks = _example_blocks(rows, vocabulary).persist(StorageLevel.MEMORY_AND_DISK_DESER)
     try:
         *totals, n, entries = map(int, _label_counts(blocks, len(vocabulary)))
         varied = np.array([i for i, t in enumerate(totals) if 0 < t < n], dtype=np.int64)
@@ -338,7 +359,8 @@ def fit_multilabel(
             held[:, -1] = 0.0
             return loss / n + (held**2).sum(axis=1) / (2 * c * n), gradient / n + held / (c * n)
 
-        found, passes = minimise(evaluate, len(varied), width + 1, tolerance, max_passes)
+        with _batches_of(examples.sparkSession, BLOCKS_SENT):
+            found, passes = minimise(evaluate, len(varied), width + 1, tolerance, max_passes)
     finally:
         blocks.unpersist()
     weights = np.zeros((len(vocabulary), width + 1))

@@ -146,6 +146,43 @@ def test_descent_on_quadratics():
     assert minimise(evaluate, 0, 30, 1e-6, 10) == (pytest.approx(np.empty((0, 30))), 0)
 
 
+def test_memory_saves_passes(monkeypatch):
+    """Curvatures that fall off as those of many examples' terms do, against the least memory."""
+    shape = np.arange(1, 401.0) ** -1.5 + 1e-5
+    goal = np.random.default_rng(1).normal(size=(1, 400))
+
+    def evaluate(points, active):
+        moved = points - goal
+        return 0.5 * (shape * moved**2).sum(axis=1), shape * moved
+
+    found, used = minimise(evaluate, 1, 400, 1e-5, 2_000)
+    assert np.linalg.norm(shape * (found - goal)) <= 1e-5
+    monkeypatch.setattr(multilabel, "MEMORY_BYTES", 0)
+    assert used < 0.5 * minimise(evaluate, 1, 400, 1e-5, 2_000)[1]
+
+
+def test_memory_of_many_labels_is_bounded(monkeypatch):
+    kept = []
+
+    class Watched(multilabel._Descent):
+        def __init__(self, width, tolerance, memory):
+            kept.append(memory)
+            super().__init__(width, tolerance, memory)
+
+    monkeypatch.setattr(multilabel, "_Descent", Watched)
+    for labels, width in ((2, 50_001), (28, 50_001), (200, 50_001)):
+        kept.clear()
+        minimise(lambda p, a: (np.zeros(len(a)), np.zeros_like(p)), labels, width, 1e-5, 1)
+        assert len(set(kept)) == 1 and 10 <= kept[0] <= 100
+        assert kept[0] == 10 or 16 * kept[0] * labels * width <= multilabel.MEMORY_BYTES
+
+
+def test_batches_of_the_session_are_left_alone(spark, examples):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    fit_multilabel(examples, ("pos",), max_passes=2)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_no_terms_is_an_error(spark):
     rows = spark.createDataFrame([(1, "a", ["x"])], "id int, text string, labels array<string>")
     with pytest.raises(ValueError, match="no term"):

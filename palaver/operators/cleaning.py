@@ -102,6 +102,36 @@ def clean(
     return df
 
 
+def measure_bodies(df: DataFrame, options: CleaningOptions = CleaningOptions()) -> DataFrame:
+    """The cleaned bodies' metrics and ``body_kept`` in place of the bodies.
+
+    For ``clean_measured``, where no text is wanted: rows are narrow before they are shuffled.
+    A body is judged by itself, so this may also be done before rows are joined or copied.
+    """
+    df = _with_body(df)
+    df = df.withColumn("body_kept", ~F.lit(options.remove_deleted) | ~is_deleted(F.col("comment_body")))
+    df = strip_body_urls(df) if options.strip_urls else with_text_metrics(df)
+    kept = F.col("body_kept")
+    if options.remove_empty:
+        kept = kept & ~is_empty(F.col("comment_body"))
+    if options.min_comment_length > 0:
+        kept = kept & (F.col("comment_length") >= options.min_comment_length)
+    return df.withColumn("body_kept", kept).drop("comment_body")
+
+
+def clean_measured(
+    df: DataFrame,
+    options: CleaningOptions = CleaningOptions(),
+    order_by: Sequence[str] | None = None,
+) -> DataFrame:
+    """The rows of ``clean`` without their bodies, from rows of ``measure_bodies``."""
+    if options.dedupe_comments and "comment_id" in df.columns:
+        df = dedupe_comments(df, order_by)
+    if options.remove_automoderator and "comment_author" in df.columns:
+        df = remove_bots(df)
+    return df.where("body_kept").drop("body_kept")
+
+
 def cleaning_funnel(
     df: DataFrame,
     options: CleaningOptions = CleaningOptions(),

@@ -11,6 +11,8 @@ uses the same rules.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,9 +89,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_comments(
+    spark: SparkSession, sf_dir: str, measure: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """The loaded comment table.
 
+    ``measure`` replaces the bodies by columns of its own next to the scan, so that no text is
+    shuffled.
+
     The narrow tables are joined first, so the text is shuffled once, by document id;
     the join is a sort-merge join on that key because both sides grow with the data.
     The shuffle also spreads a file that arrives as one row group.  Copies come from
@@ -109,10 +116,17 @@ def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("o_orderkey"), "value")
     facts = own.join(events, "o_orderkey").join(post, "post_key")
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    rules = dict(RULES)
+    if measure:
+        body = F.expr(rules.pop("comment_body")).alias("comment_body")
+        plain = ["doc_id", "lang", "source"]
+        documents = measure(documents.select(*plain, body))
+        rules |= {c: f"`{c}`" for c in documents.columns if c not in plain}
     joined = documents.hint("merge").join(facts, documents["doc_id"] == facts["o_orderkey"])
     copies = F.expr(f"sequence(0L, cast({COPIES} - 1 as bigint))")
     rows = joined.withColumn("copy_no", F.explode(copies))
-    return with_text_metrics(rows.select(*[F.expr(sql).alias(n) for n, sql in RULES.items()]))
+    rows = rows.select(*[F.expr(sql).alias(n) for n, sql in rules.items()])
+    return rows if measure else with_text_metrics(rows)
 
 
 def conflicting_comments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,8 +208,9 @@ on_predictions(P.score_spread_by_sentiment, "score_spread_by_sentiment")
 @query
 def score_quartiles(spark, sf_dir):
     """Exact quartiles of a score that is nearly never the same twice."""
-    per_length = F.col("comment_score") / (F.length("comment_body") + 0.5)
-    rows = predicted(spark, sf_dir).withColumn("score_per_length", per_length)
+    per_length = F.col("comment_score") / (F.col("comment_length") + 0.5)
+    comments = C.clean_measured(adapter.raw_comments(spark, sf_dir, C.measure_bodies))
+    rows = adapter.predictions(comments).withColumn("score_per_length", per_length)
     found = exact_quantiles(rows, ["predicted_sentiment"], "score_per_length", QUARTILES)
     quartiles = [F.round(F.get("q", F.lit(i)), 9).alias(f"q{i + 1}") for i in range(3)]
     return found.select("predicted_sentiment", "n", *quartiles)

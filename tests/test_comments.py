@@ -82,6 +82,24 @@ def test_clean(raw):
     assert (row["comment_length"], row["comment_word_count"]) == (13, 3)
 
 
+@pytest.mark.parametrize(
+    "options",
+    [
+        {},
+        {"min_comment_length": 10},
+        {"remove_deleted": False, "remove_empty": False},
+        {"strip_urls": False},
+        {"dedupe_comments": False, "remove_automoderator": False},
+    ],
+)
+def test_measured_rows_are_the_clean_ones(raw, options):
+    options = C.CleaningOptions(**options)
+    expected = C.clean(raw, options).drop("comment_body")
+    found = C.clean_measured(C.measure_bodies(raw, options), options).select(*expected.columns)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect()))
+    assert found.count() > 2
+
+
 def test_clean_is_idempotent(raw):
     cleaned = C.clean(raw)
     assert bodies(C.clean(cleaned)) == bodies(cleaned)

@@ -4,6 +4,8 @@ import os
 
 import pytest
 
+from palaver.operators import cleaning, quantiles
+from palaver.plans import adapter
 from palaver.plans.catalogue import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -63,6 +65,33 @@ def test_funnel_shuffles_no_text(spark):
     assert "partial_min_by" in counting and "comment_body" not in counting
 
 
+def test_measured_comments_shuffle_no_text(spark):
+    measured = adapter.raw_comments(spark, SF_DIR, cleaning.measure_bodies)
+    comments = cleaning.clean_measured(measured)
+    formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    nodes = comments._jdf.queryExecution().explainString(formatted).split("\n\n")
+    shipped = [n for n in nodes if ") Exchange" in n and "Input [" in n]
+    assert len(shipped) >= 2 and not any("text#" in n or "comment_body#" in n for n in shipped)
+    whole = cleaning.clean(adapter.raw_comments(spark, SF_DIR)).drop("comment_body")
+    assert sorted(map(repr, comments.select(*whole.columns).collect())) == sorted(map(repr, whole.collect()))
+
+
+def test_quartiles_are_taken_from_measured_comments(spark, monkeypatch):
+    """What the query stores was derived without shuffling a text."""
+    plans = []
+    plain = quantiles._written
+
+    def watched(df, purpose):
+        formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plans.append(df._jdf.queryExecution().explainString(formatted))
+        return plain(df, purpose)
+
+    monkeypatch.setattr(quantiles, "_written", watched)
+    QUERIES["score_quartiles"](spark, SF_DIR)
+    shipped = [n for n in plans[0].split("\n\n") if ") Exchange" in n and "Input [" in n]
+    assert len(shipped) >= 2 and not any("text#" in n or "comment_body#" in n for n in shipped)
+
+
 def test_model_batches_need_no_shuffle_of_their_own(spark):
     from palaver.plans import catalogue
 

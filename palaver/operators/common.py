@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Rows that one task of a scan may work on, however few tasks there are.
+TASK_ROWS = 10_000
+
 
 def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add or replace a costly column that is evaluated exactly once per row.
@@ -19,6 +22,18 @@ def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*others, F.explode(F.array(value)).alias(name))
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The same rows, dealt by the key where few tasks of the scan hold most of them.
+
+    A file of one row group is read by one task, which would also do all work next to the scan.
+    Counting rows reads no column.  A later join or grouping by the key shuffles no further.
+    """
+    tasks = df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"))
+    most, rows = tasks.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(key) if most > max(TASK_ROWS, 2 * rows / cores) else df
+
+
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """First n rows in an order.  Runs as a per-partition heap, not a full sort."""
     return df.orderBy(*order).limit(n)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from palaver.fixed import EMOTIONS
 from palaver.functions.labels import encode, sentiment_of, string_array
+from palaver.operators.common import dealt
 from palaver.sources.comments import with_text_metrics
 
 # Rules over: doc_id, text, lang, source (document); comment_at, value (its own
@@ -95,7 +96,7 @@ def raw_comments(
     """The loaded comment table.
 
     ``measure`` replaces the bodies by columns of its own next to the scan, so that no text is
-    shuffled.
+    shuffled, unless few tasks scan most of the documents.
 
     The narrow tables are joined first, so the text is shuffled once, by document id;
     the join is a sort-merge join on that key because both sides grow with the data.
@@ -120,7 +121,7 @@ def raw_comments(
     if measure:
         body = F.expr(rules.pop("comment_body")).alias("comment_body")
         plain = ["doc_id", "lang", "source"]
-        documents = measure(documents.select(*plain, body))
+        documents = measure(dealt(documents, "doc_id").select(*plain, body))
         rules |= {c: f"`{c}`" for c in documents.columns if c not in plain}
     joined = documents.hint("merge").join(facts, documents["doc_id"] == facts["o_orderkey"])
     copies = F.expr(f"sequence(0L, cast({COPIES} - 1 as bigint))")

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from palaver.operators import cleaning, quantiles
+from palaver.operators import cleaning, common, quantiles
 from palaver.plans import adapter
 from palaver.plans.catalogue import QUERIES
 
@@ -76,6 +76,20 @@ def test_measured_comments_shuffle_no_text(spark):
     assert sorted(map(repr, comments.select(*whole.columns).collect())) == sorted(map(repr, whole.collect()))
 
 
+def test_one_row_group_is_dealt_before_it_is_measured(spark, monkeypatch):
+    """One task would do the work of all; the texts are shuffled once, for the join too."""
+    here = adapter.raw_comments(spark, SF_DIR, cleaning.measure_bodies)
+    monkeypatch.setattr(common, "TASK_ROWS", 100)
+    dealt = adapter.raw_comments(spark, SF_DIR, cleaning.measure_bodies)
+    formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    nodes = dealt._jdf.queryExecution().explainString(formatted).split("\n\n")
+    shipped = [n for n in nodes if ") Exchange" in n and "hashpartitioning(doc_id" in n]
+    assert len(shipped) == 1 and "text#" in shipped[0]
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, here.collect()))
+    split = common.dealt(spark.range(0, 1_000, 1, 8), "id")
+    assert "Exchange" not in physical(spark, split)
+
+
 def test_quartiles_are_taken_from_measured_comments(spark, monkeypatch):
     """What the query stores was derived without shuffling a text."""
     plans = []
